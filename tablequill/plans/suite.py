@@ -1,0 +1,152 @@
+"""Execution match of a bounded suite of query pairs on registered tables.
+
+Each pair becomes one small plan; the suite is for a fixed list of pairs, bulk
+results are compared with ``evaluate.same_result_sets``.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+TABLES = ("customer", "orders", "lineitem", "nation", "region")
+
+# (pair, gold query, predicted query)
+PAIRS = [
+    ("same_text", "SELECT n_name FROM nation", "SELECT n_name FROM nation"),
+    (
+        "other_order",
+        "SELECT r_name FROM region ORDER BY r_name",
+        "SELECT r_name FROM region ORDER BY r_name DESC",
+    ),
+    (
+        "duplicates",
+        "SELECT DISTINCT o_orderpriority FROM orders",
+        "SELECT o_orderpriority FROM orders",
+    ),
+    (
+        "other_filter",
+        "SELECT c_custkey FROM customer WHERE c_acctbal > 0",
+        "SELECT c_custkey FROM customer WHERE c_acctbal > 1000",
+    ),
+    (
+        "join_or_subquery",
+        "SELECT c_name FROM customer JOIN orders ON c_custkey = o_custkey",
+        "SELECT c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
+    ),
+    (
+        "column_names",
+        "SELECT COUNT(*) AS n FROM lineitem",
+        "SELECT SUM(1) AS other FROM lineitem",
+    ),
+    (
+        "more_columns",
+        "SELECT n_name FROM nation",
+        "SELECT n_name, n_nationkey FROM nation",
+    ),
+    (
+        "grouped",
+        "SELECT l_returnflag, COUNT(*) FROM lineitem GROUP BY l_returnflag",
+        "SELECT l_returnflag, SUM(1) FROM lineitem GROUP BY 1",
+    ),
+    ("unknown_column", "SELECT n_name FROM nation", "SELECT n_title FROM nation"),
+    ("both_fail", "SELECT x FROM nowhere", "SELECT y FROM nowhere"),
+    ("empty_results", "SELECT n_name FROM nation WHERE 1 = 0", "SELECT r_name FROM region WHERE 1 = 0"),
+    ("not_a_query", "SELECT n_name FROM nation", "DROP TABLE nation"),
+    ("integer_and_double", "SELECT 1 FROM nation", "SELECT 1.0D FROM nation"),
+]
+
+
+def is_query(sql: str) -> bool:
+    """A single SELECT or WITH statement."""
+    text = sql.strip().rstrip(";")
+    return bool(re.match(r"(?i)(select|with)\b", text)) and ";" not in text
+
+
+def _plan(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame | None:
+    """The query with columns c0, c1, …; None if it cannot be analysed."""
+    if not is_query(sql):
+        return None
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    try:
+        df = spark.sql(sql.strip().rstrip(";"))
+    except PySparkException:
+        return None
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def _comparable(df: DataFrame) -> DataFrame:
+    """Numbers compare by value, whatever their type; the rest by type."""
+    numeric = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+    return df.select(
+        *[
+            F.col(n).cast("double") if t in numeric or t.startswith("decimal") else F.col(n)
+            for n, t in df.dtypes
+        ]
+    )
+
+
+def _differences(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """At most one row, present if the two sets of rows differ."""
+    a, b = _comparable(gold), _comparable(pred)
+    if [t for _, t in a.dtypes] != [t for _, t in b.dtypes]:
+        # Columns of different types are equal only where no row exists.
+        a, b = a.select(F.lit(0).alias("c0")), b.select(F.lit(1).alias("c0"))
+    return a.subtract(b).unionByName(b.subtract(a)).limit(1)
+
+
+def _compare(pair: str, gold: DataFrame | None, pred: DataFrame | None) -> DataFrame | None:
+    if gold is None or pred is None:
+        return None
+    if len(gold.columns) != len(pred.columns):
+        either = gold.select(F.lit(1)).limit(1).union(pred.select(F.lit(1)).limit(1))
+        return either.agg(F.lit(pair).alias("pair_id"), (F.count("*") == 0).alias("match"))
+    return _differences(gold, pred).agg(F.lit(pair).alias("pair_id"), (F.count("*") == 0).alias("match"))
+
+
+def _runs(df: DataFrame | None) -> bool:
+    if df is None:
+        return False
+    try:
+        df.write.format("noop").mode("overwrite").save()
+        return True
+    except Exception:
+        return False
+
+
+def execution_matches(
+    spark: SparkSession, pairs: list[tuple[str, str, str]], tables: dict[str, DataFrame]
+) -> DataFrame:
+    """(pair_id, gold_ran, pred_ran, execution_match).
+
+    All comparable pairs run as one job. A query that fails at run time fails
+    that job; only then are the pairs run one by one to find out which.
+    """
+    plans = {p: (_plan(spark, g, tables), _plan(spark, q, tables)) for p, g, q in pairs}
+    frames = {p: _compare(p, g, q) for p, (g, q) in plans.items()}
+    wanted = [f for f in frames.values() if f is not None]
+    verdict: dict[str, tuple[bool, bool, bool]] = {}
+    try:
+        # one row per pair
+        union = wanted[0]
+        for frame in wanted[1:]:
+            union = union.unionByName(frame)
+        match = {r.pair_id: r.match for r in union.collect()}
+        for p, (g, q) in plans.items():
+            verdict[p] = (g is not None, q is not None, bool(match.get(p, False)))
+    except Exception:
+        for p, (g, q) in plans.items():
+            ran = (_runs(g), _runs(q))
+            equal = all(ran) and frames[p].first().match
+            verdict[p] = (*ran, bool(equal))
+    rows = [(p, *v) for p, v in verdict.items()]
+    return spark.createDataFrame(
+        rows, "pair_id string, gold_ran boolean, pred_ran boolean, execution_match boolean"
+    )
