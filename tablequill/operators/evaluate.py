@@ -17,16 +17,16 @@ from tablequill.functions.text import collapse, contains_any, occurrences
 
 def normal_form(sql: Column, unify_quotes: bool = True) -> Column:
     """Lower case, single quotes, single blanks."""
-    text = F.lower(sql)
-    if unify_quotes:
-        text = F.translate(text, '"', "'")
-    return collapse(text)
+    low = F.lower(sql)
+    return collapse(low, '"', "'") if unify_quotes else collapse(low)
 
 
 def with_exact_match(predictions: DataFrame, unify_quotes: bool = True) -> DataFrame:
     gold = normal_form(F.col("gold_sql"), unify_quotes)
     pred = normal_form(F.col("pred_sql"), unify_quotes)
-    return predictions.withColumn("exact_match", gold == pred)
+    # Equal texts need no normal form.
+    same = (F.col("gold_sql") == F.col("pred_sql")) | (gold == pred)
+    return predictions.withColumn("exact_match", same)
 
 
 def verdicts(predictions: DataFrame, start_from_exact: bool = True) -> DataFrame:
@@ -150,12 +150,16 @@ def by_database(scored: DataFrame, train: DataFrame) -> DataFrame:
     )
 
 
+def _operations() -> Column:
+    """Names of the operations of the gold query."""
+    flags = operation_flags(F.col("gold_sql"))
+    return F.array_compact(F.array(*[F.when(flag, F.lit(name)) for name, flag in flags.items()]))
+
+
 def by_operation(scored: DataFrame) -> DataFrame:
     """A row counts once in every operation its gold query has."""
-    flags = operation_flags(F.col("gold_sql"))
-    present = F.array_compact(F.array(*[F.when(flag, F.lit(name)) for name, flag in flags.items()]))
     return (
-        scored.select(F.explode(present).alias("operation"), "exact_match", "execution_match")
+        scored.select(F.explode(_operations()).alias("operation"), "exact_match", "execution_match")
         .groupBy("operation")
         .agg(*_scores())
         .select("*", *_rates())
@@ -174,9 +178,25 @@ def by_complexity(scored: DataFrame) -> DataFrame:
     )
 
 
-def worst(report: DataFrame, name: str, n: int = 3) -> DataFrame:
-    """The ``n`` groups of a report with the lowest exact match."""
-    return report.orderBy("em_accuracy", name).limit(n)
+def worst(scored: DataFrame, n: int = 3) -> DataFrame:
+    """The ``n`` databases and the ``n`` operations with the lowest exact match.
+
+    One pass: a row counts for its database and for each of its operations.
+    """
+    groups = F.concat(
+        F.array(F.struct(F.lit("database").alias("kind"), _db().alias("name"))),
+        F.transform(
+            _operations(), lambda o: F.struct(F.lit("operation").alias("kind"), o.alias("name"))
+        ),
+    )
+    rates = (
+        scored.select(F.explode(groups).alias("g"), "exact_match", "execution_match")
+        .groupBy("g.kind", "g.name")
+        .agg(*_scores())
+        .select("kind", "name", *_rates())
+    )
+    lowest = Window.partitionBy("kind").orderBy("em_accuracy", "name")
+    return rates.withColumn("_rn", F.row_number().over(lowest)).where(F.col("_rn") <= n).drop("_rn")
 
 
 def filter_databases(
@@ -279,7 +299,7 @@ def running_accuracy(scored: DataFrame, run: list[str], key: str, every: int = 1
     """Accuracy after every ``every`` rows of a run, in the order of ``key``.
 
     Totals per key bucket are summed up first; the window over rows never
-    spans more than one bucket.
+    spans more than one bucket. ``scored`` is read twice: pass a stored table.
     """
     rows = scored.select(
         *run,

@@ -455,6 +455,20 @@ def oracle(text: str, *ctes: str) -> str:
 _settled: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def stored(
+    spark: SparkSession,
+    sf_dir: str,
+    name: str,
+    build: Callable[[], DataFrame],
+    partition_by: tuple[str, ...] = (),
+) -> DataFrame:
+    """A table that an earlier step of the work leaves behind, built once per session."""
+    key = (spark.conf.get("spark.app.id"), sf_dir, name)
+    if key not in _settled:
+        _settled[key] = settle(build(), name, partition_by)
+    return _settled[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -462,9 +476,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture as a frame."""
     name = f"fx_{name}"
-    key = (spark.conf.get("spark.app.id"), sf_dir, name)
-    if key in _settled:
-        return _settled[key]
+    if name in SETTLED:
+        return stored(spark, sf_dir, name, lambda: _select(spark, sf_dir, name))
+    return _select(spark, sf_dir, name)
+
+
+def _select(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     body = FIXTURES[name](Dialect(spark=True))
     inputs = {n: fx(spark, sf_dir, n[3:]) for n in _needs(body)}
     inputs |= {
@@ -474,19 +491,16 @@ def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     body = body.replace("{", "{{").replace("}", "}}")
     for n in inputs:
         body = re.sub(rf"\b(from|join) {n}\b", rf"\1 {{{n}}}", body)
-    df = spark.sql(body, **inputs)
-    if name in SETTLED:
-        df = settle(df, name)
-        _settled[key] = df
-    return df
+    return spark.sql(body, **inputs)
 
 
 def catalog_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog as nested records, with ``*`` at index 0, a foreign key that
     points at it, some short type lists, and some records without tables."""
-    key = (spark.conf.get("spark.app.id"), sf_dir, "records")
-    if key in _settled:
-        return _settled[key]
+    return stored(spark, sf_dir, "records", lambda: _records(spark, sf_dir))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = fx(spark, sf_dir, "columns").withColumn(
         "idx", F.col("table_ord") * PER_TABLE + F.col("col_ord") + 1
     )
@@ -522,8 +536,7 @@ def catalog_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             for c in full.columns if c != "db_id"
         ],
     )
-    _settled[key] = settle(full.unionByName(void), "records")
-    return _settled[key]
+    return full.unionByName(void)
 
 
 def logical_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -721,7 +721,6 @@ COUNTS = (
     "count(*) as examples, count(*) filter (coalesce(num_tables, 1) > 1) as multi_table,"
     " count(*) filter (coalesce(has_join, false)) as with_join"
 )
-ORACLES["corpus_stats"] = oracle(f"select dataset, {COUNTS} from dex group by dataset", *DDL_EXAMPLE_CTES)
 COMBINED_CTES = [
     *DDL_EXAMPLE_CTES,
     *CATALOG_CTES,
@@ -735,6 +734,9 @@ COMBINED_CTES = [
       union all
       select -example_id - 1, 'single_table', 'train', sql, null, null, null, null from logical)""",
 ]
+ORACLES["corpus_stats"] = oracle(
+    f"select dataset, {COUNTS} from combined group by dataset", *COMBINED_CTES
+)
 ORACLES["corpus_union"] = oracle("select * from combined", *COMBINED_CTES)
 ORACLES["corpus_summary"] = oracle(
     f"""select dataset, examples, multi_table, with_join, multi_table * 100 / examples as multi_table_share,
@@ -748,10 +750,10 @@ ORACLES["corpus_shuffle_order"] = oracle(
     SPLIT,
 )
 ORACLES["corpus_phase"] = oracle(
-    "select 'synthetic' as phase, example_id, dataset, split from split"
+    "select 'synthetic' as phase, example_id, dataset, split from combined"
     " where split = 'train' and dataset = 'synthetic'"
-    " union all select 'combined', example_id, dataset, split from split where split = 'dev'",
-    SPLIT,
+    " union all select 'combined', example_id, dataset, split from combined where split = 'dev'",
+    *COMBINED_CTES,
 )
 
 # --- prompts ------------------------------------------------------------------------------------------

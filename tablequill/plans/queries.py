@@ -31,6 +31,7 @@ from tablequill.plans.fixtures import (
     logical_queries,
     result_rows,
     single_table_records,
+    stored,
     table,
 )
 from tablequill.session import fresh_path
@@ -547,6 +548,19 @@ def _ddl_examples(spark: SparkSession, sf: str) -> DataFrame:
     return corpora.from_ddl(split, drop_empty=["instruction"])
 
 
+def _examples(spark: SparkSession, sf: str) -> DataFrame:
+    """All examples, stored once by dataset and split as the preparation job leaves them."""
+
+    def build() -> DataFrame:
+        return corpora.combine(
+            _ddl_examples(spark, sf).where("dataset <> 'catalog'"),
+            _catalog_examples(spark, sf).where("dataset = 'catalog'"),
+            _logical_examples(spark, sf).withColumn("example_id", -F.col("example_id") - 1),
+        )
+
+    return stored(spark, sf, "examples", build, partition_by=("dataset", "split"))
+
+
 @query("corpus_ddl")
 def _(spark, sf):
     return _ddl_examples(spark, sf).select(
@@ -561,20 +575,12 @@ def _(spark, sf):
 
 @query("corpus_stats")
 def _(spark, sf):
-    return corpora.stats(_ddl_examples(spark, sf))
-
-
-def _combined(spark: SparkSession, sf: str) -> DataFrame:
-    return corpora.combine(
-        _ddl_examples(spark, sf).where("dataset <> 'catalog'"),
-        _catalog_examples(spark, sf).where("dataset = 'catalog'"),
-        _logical_examples(spark, sf).withColumn("example_id", -F.col("example_id") - 1),
-    )
+    return corpora.stats(_examples(spark, sf))
 
 
 @query("corpus_union")
 def _(spark, sf):
-    return _combined(spark, sf).select(
+    return _examples(spark, sf).select(
         "example_id", "dataset", "split", "sql", "num_tables", "has_join", "complexity", "source"
     )
 
@@ -586,16 +592,14 @@ def _(spark, sf):
 
 @query("corpus_summary")
 def _(spark, sf):
-    return corpora.summary(_combined(spark, sf))
+    return corpora.summary(_examples(spark, sf))
 
 
 @query("corpus_phase")
 def _(spark, sf):
-    path = fresh_path(spark, "phases")
-    writers.write_partitioned(_split(spark, sf), path)
-    stored = spark.read.parquet(path)
-    one = corpora.phase(stored, "train", "synthetic").withColumn("phase", F.lit("synthetic"))
-    every = corpora.phase(stored, "dev").withColumn("phase", F.lit("combined"))
+    stored_examples = _examples(spark, sf)
+    one = corpora.phase(stored_examples, "train", "synthetic").withColumn("phase", F.lit("synthetic"))
+    every = corpora.phase(stored_examples, "dev").withColumn("phase", F.lit("combined"))
     return one.unionByName(every).select("phase", "example_id", "dataset", "split")
 
 
@@ -698,7 +702,22 @@ def _(spark, sf):
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.verdicts(fx(spark, sf, "orders_eval"))
+    """Verdicts are stored once; the reports read the columns they need."""
+    return stored(
+        spark, sf, "verdicts",
+        lambda: evaluate.verdicts(fx(spark, sf, "orders_eval")).drop(
+            "gold_ran", "pred_ran", "same_result"
+        ),
+    )
+
+
+def _scored_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(
+        spark, sf, "run_verdicts",
+        lambda: evaluate.verdicts(fx(spark, sf, "runs")).select(
+            "run_id", "example_id", "exact_match", "execution_match", "exec_error"
+        ),
+    )
 
 
 @query("eval_normalize")
@@ -730,7 +749,8 @@ def _(spark, sf):
 
 @query("eval_verdict")
 def _(spark, sf):
-    return _scored(spark, sf).select("example_id", "exact_match", "execution_match", "exec_error")
+    rows = evaluate.verdicts(fx(spark, sf, "orders_eval"))
+    return rows.select("example_id", "exact_match", "execution_match", "exec_error")
 
 
 @query("eval_verdict_egd")
@@ -782,13 +802,7 @@ def _(spark, sf):
 
 @query("eval_worst")
 def _(spark, sf):
-    scored = _scored(spark, sf)
-    dbs = evaluate.worst(evaluate.by_database(scored, fx(spark, sf, "train")), "db_id")
-    ops = evaluate.worst(evaluate.by_operation(scored), "operation")
-    cols = ["em_accuracy", "ex_accuracy"]
-    return dbs.select(F.lit("database").alias("kind"), F.col("db_id").alias("name"), *cols).unionByName(
-        ops.select(F.lit("operation").alias("kind"), F.col("operation").alias("name"), *cols)
-    )
+    return evaluate.worst(_scored(spark, sf))
 
 
 @query("eval_filter_db")
@@ -837,7 +851,7 @@ def _(spark, sf):
 
 
 def _run_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.run_summary(fx(spark, sf, "run_list"), evaluate.verdicts(fx(spark, sf, "runs")))
+    return runs.run_summary(fx(spark, sf, "run_list"), _scored_runs(spark, sf))
 
 
 @query("eval_rank_runs")
@@ -858,8 +872,7 @@ def _(spark, sf):
 
 @query("eval_running")
 def _(spark, sf):
-    scored = evaluate.verdicts(fx(spark, sf, "runs"))
-    return evaluate.running_accuracy(scored, ["run_id"], "example_id")
+    return evaluate.running_accuracy(_scored_runs(spark, sf), ["run_id"], "example_id")
 
 
 # --- candidate selection ------------------------------------------------------------------------------------
