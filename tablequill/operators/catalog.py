@@ -14,11 +14,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablequill import constants as K
-from tablequill.functions.text import one_of, strip, words
+from tablequill.functions.text import one_of, words
+from tablequill.session import settle
 
 TABLE_COLUMN, FOREIGN_KEY, TABLE_TABLE = "table_column", "foreign_key", "table_table"
 
@@ -200,40 +201,39 @@ def ddl_definitions(ddls: DataFrame) -> DataFrame:
     """One row per table definition found in ``ddls(schema_id, ddl)``.
 
     The table ends at the first closing parenthesis, so ``VARCHAR(255)`` cuts
-    it short: a property of the format that training sets rely on.
+    it short: a property of the format that training sets rely on. ``cols`` has
+    the columns of the definition.
     """
     pattern = F.lit(K.DDL_TABLE_PATTERN)
     found = F.arrays_zip(
         F.regexp_extract_all("ddl", pattern, F.lit(1)).alias("name"),
         F.regexp_extract_all("ddl", pattern, F.lit(2)).alias("body"),
     )
-    return ddls.select("schema_id", F.posexplode(found).alias("def_ord", "d")).select(
-        "schema_id", "def_ord", F.col("d.name").alias("table_name"), F.col("d.body").alias("body")
+
+    def column(text: Column, place: Column) -> Column:
+        w, upper = words(text), F.upper(text)
+        return F.struct(
+            place.alias("col_ord"),
+            F.get(w, F.lit(0)).alias("col_name"),
+            fold_type(F.get(w, F.lit(1))).alias("dtype"),
+            (upper.contains("PRIMARY") & upper.contains("KEY")).alias("is_pk"),
+        )
+
+    cols = F.filter(
+        F.transform(F.split("body", ","), column), lambda c: c["col_name"].isNotNull()
+    )
+    return (
+        ddls.select("schema_id", F.posexplode(found).alias("def_ord", "d"))
+        .select("schema_id", "def_ord", F.col("d.name").alias("table_name"), "d.body")
+        .select("schema_id", "def_ord", "table_name", cols.alias("cols"))
     )
 
 
 def ddl_columns(definitions: DataFrame) -> DataFrame:
     """Column rows of all definitions, also of those that are defined again later."""
-    parts = (
-        definitions.select(
-            "schema_id",
-            "def_ord",
-            "table_name",
-            F.posexplode(F.split("body", ",")).alias("col_ord", "text"),
-        )
-        .withColumn("w", words(F.col("text")))
-        .where(F.size("w") > 0)
-    )
-    upper = F.upper("text")
-    return parts.select(
-        "schema_id",
-        "def_ord",
-        "table_name",
-        "col_ord",
-        F.get("w", F.lit(0)).alias("col_name"),
-        fold_type(F.get("w", F.lit(1))).alias("dtype"),
-        (upper.contains("PRIMARY") & upper.contains("KEY")).alias("is_pk"),
-    )
+    return definitions.select(
+        "schema_id", "def_ord", "table_name", F.explode("cols").alias("c")
+    ).select("schema_id", "def_ord", "table_name", "c.*")
 
 
 def infer_foreign_keys(tables: DataFrame, columns: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -292,7 +292,8 @@ def infer_foreign_keys(tables: DataFrame, columns: DataFrame, candidates: DataFr
 
 
 def catalog_from_ddl(ddls: DataFrame) -> Catalog:
-    definitions = ddl_definitions(ddls)
+    # Read by every branch below: the texts are parsed once.
+    definitions = settle(ddl_definitions(ddls), "definitions")
     every = ddl_columns(definitions)
     # A repeated table name keeps the first place and the last definition.
     tables = definitions.groupBy("schema_id", "table_name").agg(
@@ -306,6 +307,16 @@ def catalog_from_ddl(ddls: DataFrame) -> Catalog:
     return Catalog(named, mark_foreign_keys(columns, fks), fks, every)
 
 
+def store(catalog: Catalog) -> Catalog:
+    """The catalog as stored tables, for jobs that read it more than once."""
+    return Catalog(
+        settle(catalog.tables, "tables"),
+        settle(catalog.columns, "columns"),
+        settle(catalog.fks, "fks"),
+        catalog.definitions,
+    )
+
+
 # --- edges, lookups ---------------------------------------------------------------
 
 

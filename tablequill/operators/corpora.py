@@ -134,7 +134,7 @@ def from_ddl(
     """
     keyed = corpus.withColumn("schema_id", ddl_id(F.col("ddl")))
     ddls = keyed.select("schema_id", "ddl").dropDuplicates(["schema_id"])
-    catalog = C.catalog_from_ddl(ddls)
+    catalog = C.store(C.catalog_from_ddl(ddls))
     texts = schema_text(catalog, style, include_db_id=False)
     known = texts.select("schema_id", F.col("text").alias("schema")).join(
         table_counts(catalog), "schema_id"

@@ -225,12 +225,11 @@ def removed_by_database(
 def database_distribution(rows: DataFrame, top_n: int = 20) -> DataFrame:
     """Rows per database, the ``top_n`` largest, and how many databases are left out."""
     counts = rows.groupBy(_db().alias("db_id")).agg(F.count("*").alias("samples"))
-    everything = Window.partitionBy()
+    total = counts.agg(F.sum("samples")).scalar()
+    left = counts.agg(F.greatest(F.count("*") - top_n, F.lit(0))).scalar()
     return (
         counts.select(
-            "*",
-            percent(F.col("samples"), F.sum("samples").over(everything)).alias("share"),
-            F.greatest(F.count("*").over(everything) - top_n, F.lit(0)).alias("databases_left"),
+            "*", percent(F.col("samples"), total).alias("share"), left.alias("databases_left")
         )
         .orderBy(F.desc("samples"), "db_id")
         .limit(top_n)

@@ -20,6 +20,7 @@ from tablequill.functions.ordered import joined
 from tablequill.functions.scale import salted_join
 from tablequill.functions.text import find, one_of, words
 from tablequill.operators.similarity import similar_terms
+from tablequill.session import settle
 
 LINK = [
     "example_id", "question_text", "schema_element", "link_type", "confidence",
@@ -376,6 +377,9 @@ def schema_links(
     """All links of the questions, reduced to the best one per span."""
     to_tables = table_links(questions, tables)
     to_columns = column_links(questions, columns)
+    if term_vectors is not None:
+        # Read again by the gates of the vector stage; narrow rows, written once.
+        to_tables, to_columns = settle(to_tables, "links"), settle(to_columns, "links")
     links = to_tables.unionByName(to_columns)
     if term_vectors is not None:
         links = links.unionByName(

@@ -52,17 +52,33 @@ def similar_columns(
         "schema_id", "s_part", "t_part", "similarity"
     )
     keep = ["place", "table_name", "full_name", "n"]
-    ordered = (F.col("s_place") < F.col("t_place")) & (F.col("s_table_name") != F.col("t_table_name"))
-
     entries = named.select("schema_id", *keep, F.explode(F.array_distinct("parts")).alias("part"))
-    one_sided = (
-        _side(entries, "s", [*keep, "part"])
+    # One side has a single part; pairs of two composite names never meet here.
+    met = (
+        _side(entries.where("n = 1"), "s", [*keep, "part"])
         .join(similar, ["schema_id", "s_part"])
         .join(_side(entries, "t", [*keep, "part"]), ["schema_id", "t_part"])
-        .where(ordered & ((F.col("s_n") == 1) | (F.col("t_n") == 1)))
+        .where(F.col("s_table_name") != F.col("t_table_name"))
+        .where((F.col("t_n") > 1) | (F.col("s_place") < F.col("t_place")))
+    )
+    turned = F.col("s_place") > F.col("t_place")
+
+    def oriented(name: str, first: str, second: str) -> Column:
+        return F.when(turned, F.col(f"{second}_{name}")).otherwise(F.col(f"{first}_{name}"))
+
+    one_sided = (
+        met.select(
+            "schema_id",
+            oriented("place", "s", "t").alias("s_place"),
+            oriented("place", "t", "s").alias("t_place"),
+            oriented("full_name", "s", "t").alias("s_full_name"),
+            oriented("full_name", "t", "s").alias("t_full_name"),
+            "similarity",
+        )
         .groupBy("schema_id", "s_place", "t_place", "s_full_name", "t_full_name")
         .agg(F.max("similarity").alias("score"))
     )
+    ordered = (F.col("s_place") < F.col("t_place")) & (F.col("s_table_name") != F.col("t_table_name"))
     ends = named.where(F.col("n") > 1).select(
         "schema_id", *keep,
         F.element_at("parts", 1).alias("first"), F.element_at("parts", -1).alias("last"),

@@ -10,23 +10,48 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablequill.functions.scale import salted_join
+
 # Vectors per block: bounds a task's memory whatever the size of a group.
 BLOCK = 512
 
 
-def _blocks(vectors: DataFrame, group: list[str], side: str) -> DataFrame:
-    """Vectors of a group in blocks of about BLOCK, spread by a hash of the term."""
-    sizes = vectors.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
-    block = F.pmod(F.xxhash64("term"), F.col("_blocks"))
-    return (
-        vectors.join(sizes, group)
-        .groupBy(*group, block.alias(f"{side}_block"))
+def _sizes(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:
+    """Blocks of each side and cells of the grid they meet in, per group."""
+
+    def count(side: DataFrame, name: str) -> DataFrame:
+        blocks = F.ceil(F.count("*") / BLOCK).cast("int")
+        return side.groupBy(*group).agg(
+            blocks.alias(f"{name}_blocks"), F.ceil(F.sqrt(blocks)).cast("int").alias(f"{name}_cells")
+        )
+
+    return count(left, "left").join(count(right, "right"), group)
+
+
+def _blocks(
+    vectors: DataFrame, sizes: DataFrame, group: list[str], side: str, other: str
+) -> DataFrame:
+    """Vectors in blocks of about BLOCK, each repeated for the cells of the other side.
+
+    A group of n blocks becomes a grid of about sqrt(n) x sqrt(n) cells: a block
+    is sent sqrt(n) times instead of n times, and every cell is its own task.
+    """
+    block = F.pmod(F.xxhash64("term"), F.col(f"{side}_blocks"))
+    packed = (
+        salted_join(vectors, sizes, group, ["term"])
+        .groupBy(*group, f"{side}_cells", f"{other}_cells", block.alias("_block"))
         .agg(
             F.collect_list(
                 F.struct("term", F.col("vector").cast("array<double>").alias("vector"))
             ).alias(side)
         )
     )
+    return packed.select(
+        *group,
+        side,
+        (F.col("_block") % F.col(f"{side}_cells")).cast("int").alias(f"{side}_cell"),
+        F.explode(F.sequence(F.lit(0), F.col(f"{other}_cells") - 1)).alias(f"{other}_cell"),
+    )
 
 
 def _matrix(block: pa.StructArray, cosine: bool) -> tuple[pa.Array, np.ndarray]:
@@ -50,9 +75,14 @@ def similar_terms(
     """
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
-    pairs = _blocks(left, group, "left").join(_blocks(right, group, "right"), group)
-    # The pairs of a large group spread over all tasks.
-    spread = pairs.repartition(*group, "left_block", "right_block").select(*group, "left", "right")
+    sizes = _sizes(left, right, group)
+    spread = (
+        _blocks(left, sizes, group, "left", "right")
+        .join(
+            _blocks(right, sizes, group, "right", "left"), [*group, "left_cell", "right_cell"]
+        )
+        .select(*group, "left", "right")
+    )
     schema = spread.select(*group).schema.add("left_term", "string").add("right_term", "string")
     schema = schema.add("similarity", "double")
 

@@ -425,7 +425,8 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _top_links(spark: SparkSession, sf: str) -> DataFrame:
-    return semantic.top_links(_pairs(spark, sf))
+    """At most five links per schema, stored once for all texts that show them."""
+    return stored(spark, sf, "top_links", lambda: semantic.top_links(_pairs(spark, sf)))
 
 
 @query("sem_pairs")
@@ -435,7 +436,8 @@ def _(spark, sf):
 
 @query("sem_top5")
 def _(spark, sf):
-    return _top_links(spark, sf).select("schema_id", "source", "target", "score", "rank")
+    top = semantic.top_links(_pairs(spark, sf))
+    return top.select("schema_id", "source", "target", "score", "rank")
 
 
 # --- logical forms --------------------------------------------------------------------------------
