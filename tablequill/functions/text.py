@@ -23,7 +23,13 @@ def blanks(text: Column, old: str = "", new: str = "") -> Column:
 
 def words(text: Column) -> Column:
     """Non-empty pieces between runs of white space."""
-    return F.filter(F.split(blanks(text), " +"), lambda w: w != "")
+    return F.array_remove(F.split(blanks(text), " +"), "")
+
+
+def first_words(text: Column, n: int) -> Column:
+    """The first ``n`` words; splitting stops there."""
+    # one piece more for a blank at the start, one for the rest of the text
+    return F.slice(F.array_remove(F.split(blanks(text), " +", n + 2), ""), 1, n)
 
 
 def collapse(text: Column, old: str = "", new: str = "") -> Column:

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablequill.functions.ordered import in_order
-from tablequill.functions.scale import bucketed_row_number, salted_join
-from tablequill.functions.text import words
+from tablequill.functions.scale import bucketed_row_number
+from tablequill.functions.text import first_words, words
 
 PAD = 0
+# The most frequent words: few enough to broadcast, and no other word can hold
+# more than 1 / HOT_WORDS of all tokens.
+HOT_WORDS = 10_000
 
 
 def vocabulary(texts: DataFrame, column: str = "text") -> DataFrame:
@@ -30,11 +33,36 @@ def vocabulary(texts: DataFrame, column: str = "text") -> DataFrame:
     return ranked.select("word", "occurrences", "word_id")
 
 
+def _with_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Attach ``word_id``: frequent words by broadcast, the others by one shuffle.
+
+    Tokens that already have their id get a key that matches nothing and
+    spreads them evenly over the tasks of the shuffle.
+    """
+    hot = vocab.where(F.col("word_id") <= HOT_WORDS).select("word", F.col("word_id").alias("hot_id"))
+    rest = vocab.where(F.col("word_id") > HOT_WORDS).select(
+        F.col("word").alias("_key"), F.col("word_id").alias("rest_id")
+    )
+    spread = F.pmod(F.xxhash64("example_id", "pos"), F.lit(4096)).cast("string")
+    key = F.when(F.col("hot_id").isNull(), F.col("word")).otherwise(
+        F.concat(F.lit("\x00"), spread)
+    )
+    return (
+        tokens.join(F.broadcast(hot), "word", "left")
+        .withColumn("_key", key)
+        .join(rest, "_key", "left")
+        .select("example_id", "pos", F.coalesce("hot_id", "rest_id").alias("word_id"))
+    )
+
+
 def encode(texts: DataFrame, vocab: DataFrame, max_length: int, column: str = "text") -> DataFrame:
-    """(example_id, input_ids, attention_mask, labels), cut and padded to ``max_length``."""
-    cut = F.slice(words(F.col(column)), 1, max_length)
+    """(example_id, input_ids, attention_mask, labels), cut and padded to ``max_length``.
+
+    ``vocab`` is a stored vocabulary that has every word of the texts.
+    """
+    cut = first_words(F.col(column), max_length)
     tokens = texts.select("example_id", F.posexplode(cut).alias("pos", "word"))
-    coded = salted_join(tokens, vocab.select("word", "word_id"), ["word"], ["example_id", "pos"])
+    coded = _with_ids(tokens, vocab)
     ids = coded.groupBy("example_id").agg(in_order(F.col("word_id"), [F.col("pos")]).alias("ids"))
     n = F.size("ids")
     return (

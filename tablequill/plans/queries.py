@@ -692,7 +692,8 @@ def _(spark, sf):
 @query("seq_encode")
 def _(spark, sf):
     texts = _chat_texts(spark, sf)
-    coded = sequences.encode(texts, sequences.vocabulary(texts), MAX_LENGTH)
+    vocab = stored(spark, sf, "vocab", lambda: sequences.vocabulary(texts))
+    coded = sequences.encode(texts, vocab, MAX_LENGTH)
 
     def text(name: str):
         return F.array_join(F.col(name).cast("array<string>"), " ").alias(name)
