@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,10 +49,9 @@ def attach_small(
     return salted_join(many, few, keys, spread, how)
 
 
-def key_bucket(key: str | Column) -> Column:
+def key_bucket(key: str) -> Column:
     """Bucket of a unique integer key; holds at most BUCKET_WIDTH rows."""
-    key = F.col(key) if isinstance(key, str) else key
-    return F.floor(key / F.lit(BUCKET_WIDTH))
+    return F.expr(f"(`{key}` - pmod(`{key}`, {BUCKET_WIDTH}L)) div {BUCKET_WIDTH}")
 
 
 def hash_order(seed: int, key: Column) -> Column:
@@ -135,8 +132,3 @@ def first_rows(df: DataFrame, partition: list[str], key: str, n: int) -> DataFra
         .where(F.col(key) <= F.col("cutoff"))
         .drop("cutoff")
     )
-
-
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Join condition that lets NULL keys meet."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablequill.functions.ordered import in_order
 from tablequill.functions.scale import bucketed_row_number
 from tablequill.functions.text import first_words, words
 
@@ -44,9 +43,8 @@ def _with_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
         F.col("word").alias("_key"), F.col("word_id").alias("rest_id")
     )
     spread = F.pmod(F.xxhash64("example_id", "pos"), F.lit(4096)).cast("string")
-    key = F.when(F.col("hot_id").isNull(), F.col("word")).otherwise(
-        F.concat(F.lit("\x00"), spread)
-    )
+    wanted = F.col("hot_id").isNull() & F.col("word").isNotNull()
+    key = F.when(wanted, F.col("word")).otherwise(F.concat(F.lit("\x00"), spread))
     return (
         tokens.join(F.broadcast(hot), "word", "left")
         .withColumn("_key", key)
@@ -61,14 +59,15 @@ def encode(texts: DataFrame, vocab: DataFrame, max_length: int, column: str = "t
     ``vocab`` is a stored vocabulary that has every word of the texts.
     """
     cut = first_words(F.col(column), max_length)
-    tokens = texts.select("example_id", F.posexplode(cut).alias("pos", "word"))
+    # A text without words keeps one row, without position and word.
+    tokens = texts.select("example_id", F.posexplode_outer(cut).alias("pos", "word"))
     coded = _with_ids(tokens, vocab)
-    ids = coded.groupBy("example_id").agg(in_order(F.col("word_id"), [F.col("pos")]).alias("ids"))
+    token = F.when(F.col("pos").isNotNull(), F.struct("pos", "word_id"))
+    ids = F.transform(F.array_sort(F.collect_list(token)), lambda t: t["word_id"])
     n = F.size("ids")
     return (
-        texts.select("example_id")
-        .join(ids, "example_id", "left")
-        .withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
+        coded.groupBy("example_id")
+        .agg(ids.alias("ids"))
         .select(
             "example_id",
             F.concat("ids", _repeat(PAD, max_length - n)).alias("input_ids"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tablequill import constants as K
+from tablequill.operators.prompts import STYLE_TEXTS
 from tablequill.plans.fixtures import NL, PER_TABLE, RUNS, oracle
 from tablequill.plans.queries import (
     FIRST_N,
@@ -99,6 +100,10 @@ SPLIT = (
 ORACLES["src_counts"] = oracle(
     "select dataset, split, count(*) as rows from split group by dataset, split", SPLIT
 )
+ORACLES["src_file_counts"] = (
+    "select 'documents.parquet' as file_name, count(*) as rows from documents"
+    " union all select 'conversations.parquet', count(*) from conversations"
+)
 ORACLES["src_schema_counts"] = oracle(
     "select count(distinct schema_id) + (select count(*) from region) as schemas,"
     " count(distinct schema_id) as with_tables from fx_columns"
@@ -117,6 +122,12 @@ ORACLES["sink_chat"] = oracle(
     f" union all select 1, 'user', {USER_TEXT} from fx_corpora_ddl"
     " union all select 2, 'assistant', sql from fx_corpora_ddl"
 )
+_PARTS = "case when complexity = 'subqueries' then 'dev' else 'train' end"
+ORACLES["sink_corpus"] = oracle(
+    f"select 'lines' as format, {_PARTS} as split, sql || ':' || question as text from fx_corpora_ddl"
+    f" union all select 'instruction', {_PARTS}, sql || ':' || {USER_TEXT} from fx_corpora_ddl"
+    f" union all select 'chat', {_PARTS}, sql || ':' || {USER_TEXT} from fx_corpora_ddl"
+)
 ORACLES["sink_partitioned"] = oracle("select example_id, dataset, split, sql from split", SPLIT)
 
 # --- schema graph ------------------------------------------------------------------------
@@ -566,6 +577,10 @@ BEST_CTES = [
         min(seq) over (partition by example_id, span_start, span_end) as first_seq
       from alls) where rn = 1 and confidence >= {K.MIN_CONFIDENCE})""",
 ]
+# the same without value links
+BEST_LINKS_NO_VALUES = [
+    cte.replace(" union all select *, 2 from vl", "") for cte in BEST_CTES if not cte.startswith(("vals", "vl"))
+]
 ORACLES["link_best_per_span"] = oracle(LINK_OUT + "best", *BEST_CTES)
 LINKS_TEXT = f"""ltext as (select example_id, coalesce('[SCHEMA LINKS]' || {NL} || body, '') as links_text
   from fx_value_questions left join (
@@ -760,8 +775,6 @@ ORACLES["corpus_phase"] = oracle(
 
 
 def _styles() -> str:
-    from tablequill.operators.prompts import STYLE_TEXTS
-
     rows = ", ".join(
         f"('{s}', {_text(m)}, {_text(g) if g else 'null'})" for s, (m, g) in STYLE_TEXTS.items()
     )
@@ -795,6 +808,15 @@ ORACLES["prompt_build"] = oracle(
     from asked join ltext using (example_id)""",
     *ASKED_CTES, *BEST_CTES, LINKS_TEXT,
 )
+ORACLES["corpus_records"] = oracle(
+    f"""select example_id, schema_id, {_text(K.INSTRUCTION)} || {_text(STYLE_TEXTS['detailed'][1])}
+      || {NL} || {lines("'[SCHEMA]'", "schema")}
+      || case when links_text = '' then '' else {NL} || {NL} || links_text end
+      || {NL} || {lines("''", "'[QUESTION]'", "question")} as input,
+      '[SQL]' || {NL} || 'SELECT 1' as output, num_tables
+    from asked join ltext using (example_id) join ntab using (schema_id)""",
+    *ASKED_CTES, *BEST_LINKS_NO_VALUES, LINKS_TEXT, RECORD_TABLES,
+)
 ORACLES["prompt_simple"] = oracle(
     f"""select example_id, {lines(_text(K.INSTRUCTION), "''", "schema")}
       || case when sql = '' then '' else {NL} || {NL} || '[SCHEMA LINKS]' || {NL} || 'x' end

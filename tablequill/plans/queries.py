@@ -24,7 +24,7 @@ from tablequill.operators import (
     sequences,
 )
 from tablequill.operators.catalog import Catalog
-from tablequill.plans import suite
+from tablequill.plans import jobs, suite
 from tablequill.plans.fixtures import (
     catalog_records,
     fx,
@@ -149,6 +149,12 @@ def _(spark, sf):
     return readers.split_counts(_split(spark, sf))
 
 
+@query("src_file_counts")
+def _(spark, sf):
+    files = [readers.file_counts(table(spark, sf, t)) for t in ("documents", "conversations")]
+    return files[0].unionByName(files[1])
+
+
 @query("src_schema_counts")
 def _(spark, sf):
     return readers.schema_counts(catalog_records(spark, sf))
@@ -192,6 +198,35 @@ def _(spark, sf):
     return spark.read.parquet(path).select("example_id", "dataset", "split", "sql")
 
 
+@query("sink_corpus")
+def _(spark, sf):
+    folder = fresh_path(spark, "corpus")
+    records = _records(spark, sf).withColumn(
+        "split", F.when(F.col("complexity") == "subqueries", "dev").otherwise("train")
+    )
+    writers.write_corpus(records, folder)
+
+    def back(name: str, schema: str, text: str) -> DataFrame:
+        lines = [
+            readers.read_lines(spark, f"{folder}/{name}/{split}", schema).select(
+                F.lit(name).alias("format"), F.lit(split).alias("split"), F.expr(text).alias("text")
+            )
+            for split in ("train", "dev")
+        ]
+        return lines[0].unionByName(lines[1])
+
+    return (
+        back("lines", "sql string, question string", "concat(sql, ':', question)")
+        .unionByName(back("instruction", "output string, input string", "concat(output, ':', input)"))
+        .unionByName(
+            back(
+                "chat", "messages array<struct<role:string,content:string>>",
+                "concat(messages[2].content, ':', messages[1].content)",
+            )
+        )
+    )
+
+
 # --- schema graph ------------------------------------------------------------------------
 
 
@@ -648,6 +683,18 @@ def _questions_with_schema(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("corpus_records")
+def _(spark, sf):
+    """From catalog, questions and vectors to training records in one plan."""
+    cat = _catalog(spark, sf)
+    examples = fx(spark, sf, "value_questions").selectExpr(
+        "*", "'catalog' AS dataset", "'train' AS split", "'SELECT 1' AS sql"
+    )
+    ready = corpora.from_catalog(examples, cat)
+    records = jobs.training_records(ready, "detailed", link_catalog=cat)
+    return records.select("example_id", "schema_id", "input", "output", "num_tables")
+
+
 @query("prompt_simple")
 def _(spark, sf):
     asked = _questions_with_schema(spark, sf).withColumn(

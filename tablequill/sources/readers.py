@@ -131,6 +131,12 @@ def split_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("dataset", "split").agg(F.count("*").alias("rows"))
 
 
+def file_counts(rows: DataFrame) -> DataFrame:
+    """Rows per file of a file source."""
+    name = F.col("_metadata.file_name").alias("file_name")
+    return rows.select(name).groupBy("file_name").agg(F.count("*").alias("rows"))
+
+
 def schema_counts(records: DataFrame) -> DataFrame:
     """Number of schemas, and of those with tables."""
     return records.agg(

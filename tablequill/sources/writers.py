@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablequill import constants as K
+from tablequill.functions.scale import hash_order
 from tablequill.operators.prompts import answer_of
 
 
@@ -47,3 +48,34 @@ def write_partitioned(examples: DataFrame, path: str) -> None:
     by many tasks.
     """
     examples.write.partitionBy("dataset", "split").option("maxRecordsPerFile", 1_000_000).parquet(path)
+
+
+FORMATS = {"lines": None, "instruction": instruction_records, "chat": chat_records}
+
+
+def in_shuffled_order(train: DataFrame, seed: int = 42) -> DataFrame:
+    """Rows in a reproducible random order, spread over all tasks by range."""
+    order = hash_order(seed, F.col("example_id"))
+    return (
+        train.withColumn("_order", order)
+        .repartitionByRange("_order", "example_id")
+        .sortWithinPartitions("_order", "example_id")
+        .drop("_order")
+    )
+
+
+def write_corpus(
+    examples: DataFrame, folder: str, formats: tuple[str, ...] = tuple(FORMATS), seed: int = 42
+) -> None:
+    """All outputs of a preparation: per dataset, and combined in every format.
+
+    ``folder/datasets`` is partitioned by dataset and split. ``folder/<format>/train``
+    is in shuffled order, ``folder/<format>/dev`` keeps the order of its rows.
+    """
+    write_partitioned(examples, f"{folder}/datasets")
+    train = in_shuffled_order(examples.where(F.col("split") == "train"), seed)
+    dev = examples.where(F.col("split") == "dev")
+    for name in formats:
+        form = FORMATS[name] or (lambda rows: rows)
+        write_lines(form(train), f"{folder}/{name}/train")
+        write_lines(form(dev), f"{folder}/{name}/dev")

@@ -333,3 +333,43 @@ def test_file_position(spark, tmp_path):
     spark.range(10).coalesce(1).write.parquet(str(tmp_path / "p"))
     df = readers.with_file_position(spark.read.parquet(str(tmp_path / "p")))
     assert [r.row_index for r in df.orderBy("id").collect()] == list(range(10))
+
+
+def test_corpus_is_written_in_hash_order(spark, tmp_path):
+    df = spark.range(50).selectExpr(
+        "id AS example_id", "'S' AS schema", "concat('q', id) AS question", "'X' AS sql",
+        "if(id < 40, 'a', 'b') AS dataset", "if(id % 5 = 0, 'dev', 'train') AS split",
+    )
+    writers.write_corpus(df, str(tmp_path), ("lines",), seed=1)
+    ids = "example_id long"
+    train = readers.read_lines(spark, f"{tmp_path}/lines/train", ids)
+    assert train.count() == 40
+    ordered = writers.in_shuffled_order(df.where("split = 'train'"), seed=1)
+    want = [r[0] for r in df.where("split = 'train'").orderBy(
+        scale.hash_order(1, F.col("example_id"))).select("example_id").collect()]
+    assert [r.example_id for r in ordered.collect()] == want != sorted(want)
+    assert readers.read_lines(spark, f"{tmp_path}/lines/dev", ids).count() == 10
+    assert spark.read.parquet(f"{tmp_path}/datasets").groupBy("dataset", "split").count().count() == 4
+
+
+def test_jobs(spark, university):
+    from tablequill.plans import jobs
+
+    cat = C.store(C.catalog_from_records(university))
+    df = spark.createDataFrame([(1, "university", "name of Student")], "example_id long, schema_id string, question string")
+    examples = corpora.from_catalog(
+        df.selectExpr("*", "'c' AS dataset", "'train' AS split", "'SELECT 1' AS sql"), cat
+    )
+    plain = jobs.training_records(examples, "simple").first()
+    assert plain.input.endswith("grade\n\n[FOREIGN KEYS]\nEnrollment.student_id -> Student.student_id\n"
+                                "Enrollment.course_id -> Course.course_id\n\n[QUESTION]\nname of Student")
+    linked = jobs.training_records(examples, "expert", link_catalog=cat).first()
+    assert '\n\n[SCHEMA LINKS]\nQuestion word "Student" → table: Student (confidence: 1.00)\n' in linked.input
+    preds = spark.createDataFrame(
+        [(1, "d", "SELECT a FROM t", "select A from T", 1, False, True, True, False)],
+        "example_id long, db_id string, gold_sql string, pred_sql string, num_tables int,"
+        " has_join boolean, gold_ran boolean, pred_ran boolean, same_result boolean",
+    )
+    report = jobs.evaluation_report(preds, preds.select("db_id"))
+    assert report["overall"].first().em_accuracy == 100.0
+    assert report["by_complexity"].first().complexity == K.COMPLEXITY_LABELS[0]
