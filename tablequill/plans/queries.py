@@ -45,7 +45,7 @@ VECTOR_THRESHOLD = 0.3
 SAMPLE = 500
 FIRST_N = 120
 MAX_PER_DB = 50
-MAX_LENGTH = 48
+MAX_LENGTH = 1024
 TOP_DATABASES = 8
 
 
@@ -100,7 +100,9 @@ def _(spark, sf):
 def _(spark, sf):
     path = fresh_path(spark, "arrays")
     records = catalog_records(spark, sf)
-    files = records.groupBy(F.pmod(F.xxhash64("db_id"), F.lit(8)).alias("file")).agg(
+    # about 16 records per file, whatever the size of the catalog
+    n_files = records.agg(F.ceil(F.count("*") / 16)).scalar()
+    files = records.groupBy(F.pmod(F.xxhash64("db_id"), n_files).alias("file")).agg(
         F.to_json(F.collect_list(F.struct(*records.columns))).alias("value")
     )
     files.select("value").write.option("maxRecordsPerFile", 1).text(path)

@@ -5,7 +5,6 @@ python tests/oracle_check.py [sf_dir] [name ...]
 
 from __future__ import annotations
 
-import math
 import sys
 import time
 from pathlib import Path
@@ -33,12 +32,6 @@ def _key(row):
     return tuple((v is None, str(v)) for v in row)
 
 
-def _equal(a, b) -> bool:
-    if isinstance(a, float) and isinstance(b, float):
-        return a == b or math.isclose(a, b, rel_tol=1e-12)
-    return a == b
-
-
 def compare(df, con, sql: str) -> tuple[int, list[str]]:
     """(rows, problems)"""
     names = sorted(df.columns)
@@ -56,7 +49,7 @@ def compare(df, con, sql: str) -> tuple[int, list[str]]:
     if len(mine) != len(other):
         problems.append(f"rows {len(mine)} != {len(other)}")
     for a, b in zip(mine, other):
-        if len(a) != len(b) or not all(map(_equal, a, b)):
+        if a != b:
             problems.append(f"first difference\n   spark  {str(a)[:900]}\n   duckdb {str(b)[:900]}")
             break
     return len(mine), problems
