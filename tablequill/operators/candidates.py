@@ -6,7 +6,7 @@ many candidates does not fill one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablequill import constants as K
@@ -87,5 +87,6 @@ def select_candidate(examples: DataFrame, candidates: DataFrame) -> DataFrame:
 def method_rates(selected: DataFrame) -> DataFrame:
     """Share of every method; ``executed`` is the rate of rescued examples."""
     counts = selected.groupBy("method").agg(F.count("*").alias("examples"))
-    total = counts.agg(F.sum("examples")).scalar()
+    # at most one row per method reaches this window
+    total = F.sum("examples").over(Window.partitionBy())
     return counts.select("*", percent(F.col("examples"), total).alias("share"))

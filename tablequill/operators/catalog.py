@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablequill import constants as K
@@ -34,21 +34,26 @@ class Catalog:
     definitions: DataFrame | None = None
 
 
+def _first_of_name() -> Column:
+    """Whether a column is the first of its name in its table."""
+    same = Window.partitionBy("schema_id", "table_name", "col_name").orderBy("col_ord")
+    return F.row_number().over(same) == 1
+
+
 def mark_foreign_keys(columns: DataFrame, fks: DataFrame) -> DataFrame:
     """Set is_fk and the reference; of several references of a column the last wins.
 
-    Where a table has two columns of the same name, the first is marked.
+    Where a table has two columns of the same name, the first is marked. Join
+    and window share one partitioning.
     """
     refs = fks.groupBy(
         "schema_id", F.col("from_table").alias("table_name"), F.col("from_column").alias("col_name")
     ).agg(F.max_by(F.struct("to_table", "to_column"), "fk_ord").alias("ref"))
-    first = columns.groupBy("schema_id", "table_name", "col_name").agg(F.min("col_ord").alias("_f"))
-    targets = refs.join(first, ["schema_id", "table_name", "col_name"])
     bare = columns.drop("is_fk", "fk_table", "fk_column")
-    ref = F.when(F.col("col_ord") == F.col("_f"), F.col("ref"))
     return (
-        bare.join(targets, ["schema_id", "table_name", "col_name"], "left")
-        .withColumn("ref", ref)
+        bare.join(refs, ["schema_id", "table_name", "col_name"], "left")
+        .withColumn("_first", _first_of_name())
+        .withColumn("ref", F.when(F.col("_first"), F.col("ref")))
         .select(
             *columns_of(bare),
             F.col("ref").isNotNull().alias("is_fk"),
@@ -60,11 +65,11 @@ def mark_foreign_keys(columns: DataFrame, fks: DataFrame) -> DataFrame:
 
 def mark_primary_keys(columns: DataFrame, keys: DataFrame) -> DataFrame:
     """Set is_pk on the first column of that name, for ``keys(schema_id, table_name, col_name)``."""
-    first = columns.groupBy("schema_id", "table_name", "col_name").agg(F.min("col_ord").alias("_f"))
-    marked = first.join(keys.distinct(), ["schema_id", "table_name", "col_name"], "left_semi")
+    marked = keys.distinct().withColumn("_key", F.lit(True))
     return (
         columns.join(marked, ["schema_id", "table_name", "col_name"], "left")
-        .withColumn("is_pk", F.col("is_pk") | F.coalesce(F.col("_f") == F.col("col_ord"), F.lit(False)))
+        .withColumn("_first", _first_of_name())
+        .withColumn("is_pk", F.col("is_pk") | (F.col("_first") & F.col("_key").isNotNull()))
         .select(*columns_of(columns))
     )
 
@@ -202,12 +207,16 @@ def ddl_definitions(ddls: DataFrame) -> DataFrame:
 
     The table ends at the first closing parenthesis, so ``VARCHAR(255)`` cuts
     it short: a property of the format that training sets rely on. ``cols`` has
-    the columns of the definition.
+    the columns of the definition. A name that is defined again keeps its first
+    place (``table_ord``), and only its last definition counts (``is_last``).
     """
     pattern = F.lit(K.DDL_TABLE_PATTERN)
-    found = F.arrays_zip(
-        F.regexp_extract_all("ddl", pattern, F.lit(1)).alias("name"),
-        F.regexp_extract_all("ddl", pattern, F.lit(2)).alias("body"),
+    name, place = F.col("d.name"), F.col("def_ord")
+    last = F.size("names") - F.array_position(F.reverse("names"), name)
+    found = ddls.select(
+        "schema_id",
+        F.regexp_extract_all("ddl", pattern, F.lit(1)).alias("names"),
+        F.regexp_extract_all("ddl", pattern, F.lit(2)).alias("bodies"),
     )
 
     def column(text: Column, place: Column) -> Column:
@@ -222,18 +231,26 @@ def ddl_definitions(ddls: DataFrame) -> DataFrame:
     cols = F.filter(
         F.transform(F.split("body", ","), column), lambda c: c["col_name"].isNotNull()
     )
+    pairs = F.arrays_zip(F.col("names").alias("name"), F.col("bodies").alias("body"))
     return (
-        ddls.select("schema_id", F.posexplode(found).alias("def_ord", "d"))
-        .select("schema_id", "def_ord", F.col("d.name").alias("table_name"), "d.body")
-        .select("schema_id", "def_ord", "table_name", cols.alias("cols"))
+        found.select("schema_id", "names", F.posexplode(pairs).alias("def_ord", "d"))
+        .select(
+            "schema_id",
+            "def_ord",
+            name.alias("table_name"),
+            (F.array_position("names", name) - 1).cast("int").alias("table_ord"),
+            (last == place).alias("is_last"),
+            F.col("d.body").alias("body"),
+        )
+        .select("schema_id", "def_ord", "table_name", "table_ord", "is_last", cols.alias("cols"))
     )
 
 
 def ddl_columns(definitions: DataFrame) -> DataFrame:
     """Column rows of all definitions, also of those that are defined again later."""
     return definitions.select(
-        "schema_id", "def_ord", "table_name", F.explode("cols").alias("c")
-    ).select("schema_id", "def_ord", "table_name", "c.*")
+        "schema_id", "def_ord", "table_name", "table_ord", "is_last", F.explode("cols").alias("c")
+    ).select("schema_id", "def_ord", "table_name", "table_ord", "is_last", "c.*")
 
 
 def infer_foreign_keys(tables: DataFrame, columns: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -255,29 +272,24 @@ def infer_foreign_keys(tables: DataFrame, columns: DataFrame, candidates: DataFr
         F.min_by("table_name", "table_ord").alias("to_table")
     )
     hits = referring.join(named, ["schema_id", "base"])
-    # Both kinds of target are equi-joins: at most one key column per table, and
-    # columns found by name.
-    key = (
-        columns.where("is_pk")
-        .groupBy("schema_id", F.col("table_name").alias("to_table"))
-        .agg(F.min("col_ord").alias("key_ord"), F.min_by("col_name", "col_ord").alias("key_name"))
+    # Per table the first key column and the last column named id; per name the last column.
+    low = F.lower("col_name")
+    position = F.struct(F.col("col_ord").alias("o"), F.col("col_name").alias("n"))
+    by_table = columns.groupBy("schema_id", F.col("table_name").alias("to_table")).agg(
+        F.min(F.when(F.col("is_pk"), position)).alias("key_col"),
+        F.max(F.when(low == "id", position)).alias("id_col"),
     )
     by_name = columns.groupBy(
-        "schema_id", F.col("table_name").alias("to_table"), F.lower("col_name").alias("low")
-    ).agg(F.max("col_ord").alias("o"), F.max_by("col_name", "col_ord").alias("n"))
-    ids = by_name.where("low = 'id'").select(
-        "schema_id", "to_table", F.struct("o", "n").alias("id_col")
-    )
-    same = by_name.select("schema_id", "to_table", "low", F.struct("o", "n").alias("same_col"))
+        "schema_id", F.col("table_name").alias("to_table"), low.alias("low")
+    ).agg(F.max(position).alias("same_col"))
     resolved = (
         hits.withColumn("low", F.lower("from_column"))
-        .join(key, ["schema_id", "to_table"], "left")
-        .join(ids, ["schema_id", "to_table"], "left")
-        .join(same, ["schema_id", "to_table", "low"], "left")
+        .join(by_table, ["schema_id", "to_table"])
+        .join(by_name, ["schema_id", "to_table", "low"], "left")
     )
     last_named = F.greatest("id_col", "same_col")["n"]
     return (
-        resolved.withColumn("to_column", F.coalesce("key_name", last_named))
+        resolved.withColumn("to_column", F.coalesce(F.col("key_col.n"), last_named))
         .where(F.col("to_column").isNotNull() & (F.col("from_table") != F.col("to_table")))
         .select(
             "schema_id",
@@ -295,16 +307,14 @@ def catalog_from_ddl(ddls: DataFrame) -> Catalog:
     # Read by every branch below: the texts are parsed once.
     definitions = settle(ddl_definitions(ddls), "definitions")
     every = ddl_columns(definitions)
-    # A repeated table name keeps the first place and the last definition.
-    tables = definitions.groupBy("schema_id", "table_name").agg(
-        F.min("def_ord").alias("table_ord"), F.max("def_ord").alias("def_ord")
+    tables = definitions.where(F.col("def_ord") == F.col("table_ord")).select(
+        "schema_id", "table_ord", "table_name"
     )
-    columns = every.join(tables, ["schema_id", "table_name", "def_ord"]).select(
+    columns = every.where("is_last").select(
         "schema_id", "table_ord", "table_name", "col_ord", "col_name", "dtype", "is_pk"
     )
-    named = tables.select("schema_id", "table_ord", "table_name")
-    fks = infer_foreign_keys(named, columns, every)
-    return Catalog(named, mark_foreign_keys(columns, fks), fks, every)
+    fks = infer_foreign_keys(tables, columns, every)
+    return Catalog(tables, mark_foreign_keys(columns, fks), fks, every)
 
 
 def store(catalog: Catalog) -> Catalog:

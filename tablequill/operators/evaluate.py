@@ -225,8 +225,10 @@ def removed_by_database(
 def database_distribution(rows: DataFrame, top_n: int = 20) -> DataFrame:
     """Rows per database, the ``top_n`` largest, and how many databases are left out."""
     counts = rows.groupBy(_db().alias("db_id")).agg(F.count("*").alias("samples"))
-    total = counts.agg(F.sum("samples")).scalar()
-    left = counts.agg(F.greatest(F.count("*") - top_n, F.lit(0))).scalar()
+    # one row per database reaches this window
+    everything = Window.partitionBy()
+    total = F.sum("samples").over(everything)
+    left = F.greatest(F.count("*").over(everything) - top_n, F.lit(0))
     return (
         counts.select(
             "*", percent(F.col("samples"), total).alias("share"), left.alias("databases_left")

@@ -206,6 +206,8 @@ def _vector_hits(
     asked: DataFrame, targets: DataFrame, term_vectors: DataFrame, threshold: float
 ) -> DataFrame:
     """Words with the terms of their schema whose dot product reaches the threshold."""
+    # Read for the distinct words and again for the links.
+    asked = settle(asked, "words")
     vectors = term_vectors.select("term", "vector")
     left = asked.select("schema_id", F.col("word").alias("term")).distinct().join(vectors, "term")
     right = targets.select("schema_id", "term").distinct().join(vectors, "term")

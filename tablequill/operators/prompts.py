@@ -43,17 +43,25 @@ def with_style(
 
     The simple style never has guidelines; ``styles`` has one row per style.
     """
-    guidelines = F.when(
-        F.lit(include_guidelines) & (F.col("style") != "simple"), F.col("guidelines")
-    )
-    instruction = F.concat(F.lit(K.INSTRUCTION), F.coalesce(guidelines, F.lit("")))
     return (
         requests.join(styles, "style")
-        .withColumn("instruction", instruction)
+        .withColumn("instruction", _instruction(include_guidelines))
         .drop("guidelines")
     )
 
 
+def _instruction(include_guidelines: bool) -> Column:
+    guidelines = F.when(
+        F.lit(include_guidelines) & (F.col("style") != "simple"), F.col("guidelines")
+    )
+    return F.concat(F.lit(K.INSTRUCTION), F.coalesce(guidelines, F.lit("")))
+
+
+def instruction_of(styles: DataFrame, style: str, include_guidelines: bool = True) -> Column:
+    """Instruction of one style, as a scalar subquery."""
+    return styles.where(F.col("style") == style).select(_instruction(include_guidelines)).scalar()
+
+
 def few_shot_blocks(examples: DataFrame, group: str, key: str, n: int = 2) -> DataFrame:
     """(group, few_shot): the first ``n`` examples of each group as one block."""
     first = first_rows(examples.select(group, key, "schema", "question", "sql"), [group], key, n)

@@ -195,53 +195,52 @@ def text_to_columns(texts: DataFrame) -> DataFrame:
     its columns; a table opened again with columns replaces the earlier one.
     Texts without such tables fall back to ``table: column`` lines.
     """
-    lines = texts.select(
-        "schema_id", F.posexplode(F.split("schema", "\n")).alias("line_ord", "raw")
-    ).select("schema_id", "line_ord", strip(F.col("raw")).alias("line"))
-    inside = _tables_section(lines.where("line <> ''"))
-    last = inside.groupBy("schema_id", "table_name").agg(F.max("opened").alias("opened"))
-    primary = inside.join(last, ["schema_id", "table_name", "opened"])
-    out = ["schema_id", "table_name", "line_ord", "col_name"]
-    rest = lines.join(primary.select("schema_id").distinct(), "schema_id", "left_anti")
-    return primary.select(*out).unionByName(_pair_lines(rest).select(*out))
-
-
-def _tables_section(lines: DataFrame) -> DataFrame:
     line = F.col("line")
-    is_tables = line == "[TABLES]"
-    leaves = line.startswith("[") & line.endswith("]") & ~is_tables
+    lines = (
+        texts.select("schema_id", F.posexplode(F.split("schema", "\n")).alias("line_ord", "raw"))
+        .select("schema_id", "line_ord", strip(F.col("raw")).alias("line"))
+        .where(line != "")
+    )
+    # All windows lie within a text: the lines are shuffled once.
     by_line = Window.partitionBy("schema_id").orderBy("line_ord")
     section = Window.partitionBy("schema_id", "section").orderBy("line_ord")
+    is_tables = line == "[TABLES]"
+    leaves = line.startswith("[") & line.endswith("]") & ~is_tables
     opens = F.col("inside") & line.endswith(":") & ~is_tables
-    name = unquote(strip(F.expr("substring(line, 1, length(line) - 1)")))
+    opened = unquote(strip(F.expr("substring(line, 1, length(line) - 1)")))
+    col = F.col("col")
+    is_column = (
+        F.col("inside") & ~is_tables & ~leaves & ~opens & (F.col("current.name") != "")
+        & (col != "") & ~col.startswith("#") & ~col.startswith("--")
+    )
     state = (
         lines.withColumn("section", F.sum(leaves.cast("int")).over(by_line))
         .withColumn("inside", F.max(is_tables).over(section))
-        .withColumn("opener", F.when(opens, F.struct("line_ord", name.alias("name"))))
+        .withColumn("opener", F.when(opens, F.struct("line_ord", opened.alias("name"))))
         .withColumn("current", F.last("opener", ignorenulls=True).over(section))
+        .withColumn("col", unquote(strip(F.substring_index(line, "(", 1))))
+        .withColumn("column_of", F.when(is_column, F.col("current.name")))
+        .withColumn(
+            "last_opened",
+            F.max("current.line_ord").over(Window.partitionBy("schema_id", "column_of")),
+        )
+        .withColumn("found", F.max(F.col("column_of").isNotNull()).over(Window.partitionBy("schema_id")))
     )
-    col = unquote(strip(F.substring_index(line, "(", 1)))
+    listed = F.col("column_of").isNotNull() & (F.col("current.line_ord") == F.col("last_opened"))
+    parts = F.split(line, ":")
+    pair = F.struct(
+        strip(F.get(parts, F.lit(0))).alias("table"),
+        strip(F.substring_index(strip(F.get(parts, F.lit(1))), "(", 1)).alias("col"),
+    )
+    is_pair = ~F.col("found") & ~line.startswith("[") & ~line.startswith("#") & (F.size(parts) == 2)
     return (
-        state.where(F.col("inside") & ~is_tables & ~leaves & F.col("opener").isNull())
-        .where(F.col("current.name") != "")
+        state.where(listed | is_pair)
+        .withColumn("pair", pair)
         .select(
             "schema_id",
-            F.col("current.name").alias("table_name"),
-            F.col("current.line_ord").alias("opened"),
+            F.when(listed, F.col("column_of")).otherwise(F.col("pair.table")).alias("table_name"),
             "line_ord",
-            col.alias("col_name"),
+            F.when(listed, col).otherwise(F.col("pair.col")).alias("col_name"),
         )
-        .where("col_name <> '' AND NOT startswith(col_name, '#') AND NOT startswith(col_name, '--')")
+        .where("table_name <> '' AND col_name <> ''")
     )
-
-
-def _pair_lines(lines: DataFrame) -> DataFrame:
-    line = F.col("line")
-    parts = F.split(line, ":")
-    named = lines.where(~line.startswith("[") & ~line.startswith("#") & (F.size(parts) == 2))
-    return named.select(
-        "schema_id",
-        strip(F.get(parts, F.lit(0))).alias("table_name"),
-        "line_ord",
-        strip(F.substring_index(strip(F.get(parts, F.lit(1))), "(", 1)).alias("col_name"),
-    ).where("table_name <> '' AND col_name <> ''")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablequill import constants as K
 from tablequill.functions.text import one_of
 from tablequill.operators.similarity import similar_terms
+from tablequill.session import settle
 
 
 def name_parts(name: Column) -> Column:
@@ -48,9 +49,10 @@ def similar_columns(
     named = _named(columns)
     parts = named.select("schema_id", F.explode("parts").alias("term")).distinct()
     vectors = parts.join(term_vectors.select("term", "vector"), "term")
-    similar = similar_terms(vectors, vectors, ["schema_id"], threshold, cosine=True).toDF(
-        "schema_id", "s_part", "t_part", "similarity"
-    )
+    # The similar parts are joined three times below.
+    similar = settle(
+        similar_terms(vectors, vectors, ["schema_id"], threshold, cosine=True), "similar"
+    ).toDF("schema_id", "s_part", "t_part", "similarity")
     keep = ["place", "table_name", "full_name", "n"]
     entries = named.select("schema_id", *keep, F.explode(F.array_distinct("parts")).alias("part"))
     # One side has a single part; pairs of two composite names never meet here.

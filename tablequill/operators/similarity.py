@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablequill.functions.scale import salted_join
+from tablequill.session import settle
 
 # Vectors per block: bounds a task's memory whatever the size of a group.
 BLOCK = 512
@@ -75,6 +76,10 @@ def similar_terms(
     """
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
+    # Counted and then packed: each side is computed once.
+    same = left is right
+    left = settle(left, "vectors")
+    right = left if same else settle(right, "vectors")
     sizes = _sizes(left, right, group)
     spread = (
         _blocks(left, sizes, group, "left", "right")

@@ -33,12 +33,13 @@ def training_records(
     if prompt_style == "simple":
         return prompts.simple_record(ready)
     styles = prompts.style_table(examples.sparkSession) if styles is None else styles
-    styled = prompts.with_style(ready.withColumn("style", F.lit(prompt_style)), styles)
-    links_text = F.col("links_text") if link_catalog is not None else None
     prompt = prompts.user_prompt(
-        F.col("instruction"), F.col("schema"), F.col("question"), links_text
+        prompts.instruction_of(styles, prompt_style),
+        F.col("schema"),
+        F.col("question"),
+        F.col("links_text") if link_catalog is not None else None,
     )
-    return prompts.training_record(styled, prompt).drop("style", "system_message", "instruction")
+    return prompts.training_record(ready, prompt)
 
 
 def evaluation_report(predictions: DataFrame, train: DataFrame) -> dict[str, DataFrame]:
