@@ -5,46 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablequill.session import settle
+from tablequill.session import settle_sized
 
-SALTS = 8
+# A key is hot if it holds more than one row in HOT_SHARE, and more than HOT_ROWS rows.
+HOT_SHARE = 1000
+HOT_ROWS = 100_000
 # Rows per bucket of a unique integer key; also the most keys one task sorts.
 BUCKET_WIDTH = 65536
-# A settled table of at most this many (narrow) rows may be broadcast.
-BROADCAST_ROWS = 100_000
+# A settled table of at most this size (bytes of JSON) may be broadcast.
+BROADCAST_BYTES = 64 * 1024 * 1024
 # Spark pushes row_number() <= n below the shuffle only up to this n
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
 
 
+def hot_keys(many: DataFrame, keys: list[str]) -> DataFrame:
+    """Hot keys with the number of salts each needs.
+
+    Fewer than HOT_SHARE keys can hold more than one row in HOT_SHARE, so the
+    result may be broadcast whatever the size of ``many``.
+    """
+    counts = many.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    limit = F.greatest(F.floor(total / F.lit(HOT_SHARE)), F.lit(HOT_ROWS))
+    return counts.where(F.col("_n") > limit).select(
+        *keys, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")
+    )
+
+
 def salted_join(
-    many: DataFrame,
-    few: DataFrame,
-    keys: list[str],
-    spread: list[str],
-    how: str = "inner",
-    salts: int = SALTS,
+    many: DataFrame, few: DataFrame, keys: list[str], spread: list[str], how: str = "inner"
 ) -> DataFrame:
-    """Join where a single key may hold a large share of ``many``.
+    """Join where single keys may hold a large share of ``many``.
 
-    Rows of ``many`` spread over ``salts`` sub-keys by the columns ``spread``;
-    every row of ``few`` is repeated once per sub-key.
+    Rows of a hot key spread over sub-keys by the columns ``spread`` until no
+    sub-key holds more than about one row in HOT_SHARE; only the rows of
+    ``few`` with a hot key are repeated.
     """
-    left = many.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot = F.broadcast(hot_keys(many, keys))
+    salt = F.pmod(F.xxhash64(*spread), F.coalesce("_salts", F.lit(1))).cast("int")
+    left = many.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
+    last = F.coalesce("_salts", F.lit(1)) - 1
+    right = (
+        few.join(hot, keys, "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+        .drop("_salts")
+    )
     return left.join(right, keys + ["_salt"], how).drop("_salt")
 
 
-def attach_small(
-    many: DataFrame, few: DataFrame, keys: list[str], spread: list[str], how: str = "left"
+def attach(
+    many: DataFrame, few: DataFrame, keys: list[str], spread: list[str], how: str = "inner"
 ) -> DataFrame:
-    """Join with a table that should be small, after counting it.
+    """Join with a table that is small compared to ``many``.
 
-    ``few`` is written to the shared folder first, so the count reads file
-    footers only. Beyond the bound the join is salted instead of broadcast.
+    ``few`` is stored first and measured while it is written: below the bound
+    it is broadcast and ``many`` stays where it is, beyond it the join is salted.
     """
-    few = settle(few, "small")
-    if few.count() <= BROADCAST_ROWS:
+    few, size = settle_sized(few, "few")
+    if size <= BROADCAST_BYTES:
         return many.join(F.broadcast(few), keys, how)
     return salted_join(many, few, keys, spread, how)
 
@@ -128,7 +147,7 @@ def first_rows(df: DataFrame, partition: list[str], key: str, n: int) -> DataFra
         return df.withColumn("_rn", F.row_number().over(ranked)).where(F.col("_rn") <= n).drop("_rn")
     cut = first_cutoffs(df, partition, key, F.lit(n))
     return (
-        attach_small(df, cut, partition, [key], "inner")
+        attach(df, cut, partition, [key])
         .where(F.col(key) <= F.col("cutoff"))
         .drop("cutoff")
     )

@@ -34,7 +34,7 @@ def positional_split(corpus: DataFrame, partition: list[str], key: str) -> DataF
     cut = scale.first_cutoffs(corpus, partition, key, quota)
     split = F.when(F.col(key) <= F.col("cutoff"), F.lit("train")).otherwise(F.lit("dev"))
     return (
-        scale.attach_small(corpus, cut, partition, [key], "left")
+        scale.attach(corpus, cut, partition, [key], "left")
         .withColumn("split", split)
         .drop("cutoff")
     )
@@ -93,11 +93,11 @@ def table_counts(catalog: C.Catalog) -> DataFrame:
 def with_schema(corpus: DataFrame, texts: DataFrame, counts: DataFrame) -> DataFrame:
     """Attach the text and size of each schema; rows without tables drop out.
 
-    ``corpus`` carries example_id and schema_id; a popular schema is salted.
+    ``corpus`` carries example_id and schema_id; see ``scale.attach`` for popular schemas.
     """
     known = texts.select("schema_id", F.col("text").alias("schema")).join(counts, "schema_id")
     return (
-        scale.salted_join(corpus, known, ["schema_id"], ["example_id"])
+        scale.attach(corpus, known, ["schema_id"], ["example_id"])
         .withColumn("has_join", has_join(F.col("sql")))
     )
 
@@ -140,7 +140,7 @@ def from_ddl(
         table_counts(catalog), "schema_id"
     )
     how = "inner" if drop_empty is None else "left"
-    joined = scale.salted_join(keyed.drop("ddl"), known, ["schema_id"], ["example_id"], how)
+    joined = scale.attach(keyed.drop("ddl"), known, ["schema_id"], ["example_id"], how)
     if drop_empty is not None:
         joined = joined.where(F.col("schema").isNotNull() | ~F.col("dataset").isin(drop_empty))
     empty = EMPTY_SCHEMA[style]
@@ -175,7 +175,7 @@ def from_logical_form(
     known = texts.select(F.col("schema_id").alias("table_id"), F.col("text").alias("schema")).join(
         tables.select(F.col("id").alias("table_id"), "header"), "table_id"
     )
-    rendered = scale.salted_join(queries, known, ["table_id"], ["example_id"]).withColumn(
+    rendered = scale.attach(queries, known, ["table_id"], ["example_id"]).withColumn(
         "sql",
         logical_form.render_sql(F.col("header"), F.col("sel"), F.col("agg"), F.col("conds")),
     )

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tablequill import constants as K
 from tablequill.functions.ordered import joined
-from tablequill.functions.scale import salted_join
+from tablequill.functions.scale import attach
 from tablequill.functions.text import find, one_of, words
 from tablequill.operators.similarity import similar_terms
 from tablequill.session import settle
@@ -98,9 +98,9 @@ def name_words(low: Column) -> Column:
 
 
 def _meet(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Questions with the chunks of their schema; popular schemas are salted."""
+    """Questions with the chunks of their schema; see ``scale.attach`` for popular schemas."""
     asked = questions.withColumn("low_q", F.lower("question"))
-    return salted_join(asked, chunks, ["schema_id"], ["example_id"])
+    return attach(asked, chunks, ["schema_id"], ["example_id"])
 
 
 # --- string matches -------------------------------------------------------------------
@@ -215,7 +215,7 @@ def _vector_hits(
     pairs = similar.select(
         "schema_id", F.col("left_term").alias("word"), F.col("right_term").alias("term"), "similarity"
     ).join(targets, ["schema_id", "term"])
-    return salted_join(asked, pairs, ["schema_id", "word"], ["example_id"])
+    return attach(asked, pairs, ["schema_id", "word"], ["example_id"])
 
 
 def table_vector_links(

@@ -680,7 +680,7 @@ def _questions_with_schema(spark: SparkSession, sf: str) -> DataFrame:
     questions = fx(spark, sf, "value_questions").withColumn(
         "sql", F.when(F.col("question").contains("?"), "").otherwise(F.lit("SELECT 1"))
     )
-    return scale.salted_join(
+    return scale.attach(
         questions, texts.withColumnRenamed("text", "schema"), ["schema_id"], ["example_id"]
     )
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", app: str = "tablequill") -> SparkSession:
@@ -60,3 +61,11 @@ def settle(
     path = fresh_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle_sized(df: DataFrame, name: str = "settled") -> tuple[DataFrame, int]:
+    """``settle`` and the size of the rows in bytes of JSON, measured while writing."""
+    seen = Observation()
+    size = F.sum(F.length(F.to_json(F.struct(*df.columns)))).alias("bytes")
+    stored = settle(df.observe(seen, size), name)
+    return stored, seen.get["bytes"] or 0

@@ -53,30 +53,45 @@ def test_hash_order_buckets_agree_with_the_order(spark):
     assert sorted(got.select("id", "n").collect()) == sorted(want.select("id", "n").collect())
 
 
+def key(r):
+    return tuple(map(str, r))
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_join(spark, rows, how):
-    few = spark.createDataFrame([("hot", 1), ("b", 2), ("none", 3)], "p string, v int")
+def test_salted_join(spark, rows, how, monkeypatch):
+    monkeypatch.setattr(scale, "HOT_ROWS", 9)
+    few = spark.createDataFrame([("hot", 1), ("hot", 4), ("b", 2), ("none", 3)], "p string, v int")
+    hot = {r.p: r._salts for r in scale.hot_keys(rows, ["p"]).collect()}
+    assert hot == {"hot": 10, "a": 2}
     got = scale.salted_join(rows, few, ["p"], ["k"], how)
     want = rows.join(few, "p", how)
     cols = ["p", "k", "v"]
-
-    def key(r):
-        return tuple(map(str, r))
-
     assert sorted(got.select(*cols).collect(), key=key) == sorted(
         want.select(*cols).collect(), key=key
     )
 
 
-@pytest.mark.parametrize("limit", [0, 100])
-def test_attach_small_above_and_below_the_bound(spark, rows, monkeypatch, limit):
-    monkeypatch.setattr(scale, "BROADCAST_ROWS", limit)
+def test_salts_leave_no_large_sub_key(spark, monkeypatch):
+    """One key has a third of all rows; no sub-key has much more than one in HOT_SHARE."""
+    monkeypatch.setattr(scale, "HOT_ROWS", 10)
+    monkeypatch.setattr(scale, "HOT_SHARE", 50)
+    many = spark.range(30_000).selectExpr("id AS k", "if(id % 3 = 0, -1, id) AS p")
+    salts = scale.hot_keys(many, ["p"]).collect()
+    assert [(r.p, r._salts) for r in salts] == [(-1, 17)]
+    sub = many.where("p = -1").groupBy(F.pmod(F.xxhash64("k"), F.lit(17))).count()
+    assert sub.agg(F.max("count")).first()[0] < 30_000 / 50 * 1.3
+
+
+@pytest.mark.parametrize("limit", [0, 10_000])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_attach_above_and_below_the_bound(spark, rows, monkeypatch, limit, how):
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", limit)
     few = spark.createDataFrame([("hot", 1), ("b", 2)], "p string, v int")
-    got = scale.attach_small(rows, few, ["p"], ["k"])
-    assert got.count() == rows.count()
+    got = scale.attach(rows, few, ["p"], ["k"], how)
+    assert got.count() == rows.join(few, "p", how).count()
     assert got.where("v = 1").count() == rows.where("p = 'hot'").count()
     plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert ("broadcast" in plan) == (limit > 0)
+    assert ("_salt" in plan) == (limit == 0)
 
 
 def test_first_rows_limits_groups_before_the_shuffle(rows):
