@@ -69,7 +69,11 @@ def attach(
 
 
 def key_bucket(key: str) -> Column:
-    """Bucket of a unique integer key; holds at most BUCKET_WIDTH rows."""
+    """Bucket of a unique integer key; holds at most BUCKET_WIDTH rows.
+
+    The key should be an ordinal without large gaps, such as a row number or
+    ``readers.with_ordinal``: the number of buckets is the key range / BUCKET_WIDTH.
+    """
     return F.expr(f"(`{key}` - pmod(`{key}`, {BUCKET_WIDTH}L)) div {BUCKET_WIDTH}")
 
 

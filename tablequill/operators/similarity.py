@@ -55,14 +55,41 @@ def _blocks(
     )
 
 
-def _matrix(block: pa.StructArray, cosine: bool) -> tuple[pa.Array, np.ndarray]:
-    terms = pc.struct_field(block, "term")
-    flat = pc.list_flatten(pc.struct_field(block, "vector")).to_numpy(zero_copy_only=False)
-    matrix = flat.reshape(len(block), -1)
-    if cosine:
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-    return terms, matrix
+def _multiplier(group: list[str], threshold: float, cosine: bool):
+    """Function from batches of block pairs to batches of similar terms.
+
+    It refers to nothing of this package, so that Python workers need no copy
+    of the package on their path.
+    """
+
+    def matrix(block: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
+        terms = pc.struct_field(block, "term")
+        flat = pc.list_flatten(pc.struct_field(block, "vector")).to_numpy(zero_copy_only=False)
+        rows = flat.reshape(len(block), -1)
+        if cosine:
+            norms = np.linalg.norm(rows, axis=1, keepdims=True)
+            rows = np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+        return terms, rows
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lefts, rights = batch.column("left"), batch.column("right")
+            for i in range(batch.num_rows):
+                lterms, lrows = matrix(lefts[i].values)
+                rterms, rrows = matrix(rights[i].values)
+                sims = lrows @ rrows.T
+                at_left, at_right = np.nonzero(sims >= threshold)
+                arrays = [
+                    pa.array([batch.column(g)[i].as_py()] * len(at_left), batch.column(g).type)
+                    for g in group
+                ]
+                arrays += [lterms.take(pa.array(at_left)), rterms.take(pa.array(at_right))]
+                arrays.append(pa.array(sims[at_left, at_right]))
+                yield pa.RecordBatch.from_arrays(
+                    arrays, names=[*group, "left_term", "right_term", "similarity"]
+                )
+
+    return multiply
 
 
 def similar_terms(
@@ -90,23 +117,4 @@ def similar_terms(
     )
     schema = spread.select(*group).schema.add("left_term", "string").add("right_term", "string")
     schema = schema.add("similarity", "double")
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lefts, rights = batch.column("left"), batch.column("right")
-            for i in range(batch.num_rows):
-                lterms, lmat = _matrix(lefts[i].values, cosine)
-                rterms, rmat = _matrix(rights[i].values, cosine)
-                sims = lmat @ rmat.T
-                rows, cols = np.nonzero(sims >= threshold)
-                arrays = [
-                    pa.array([batch.column(g)[i].as_py()] * len(rows), batch.column(g).type)
-                    for g in group
-                ]
-                arrays += [lterms.take(pa.array(rows)), rterms.take(pa.array(cols))]
-                arrays.append(pa.array(sims[rows, cols]))
-                yield pa.RecordBatch.from_arrays(
-                    arrays, names=[*group, "left_term", "right_term", "similarity"]
-                )
-
-    return spread.mapInArrow(multiply, schema)
+    return spread.mapInArrow(_multiplier(group, threshold, cosine), schema)

@@ -104,6 +104,8 @@ ORACLES["src_file_counts"] = (
     "select 'documents.parquet' as file_name, count(*) as rows from documents"
     " union all select 'conversations.parquet', count(*) from conversations"
 )
+# the documents are stored in the order of their ids
+ORACLES["src_ordinal"] = "select doc_id, row_number() over (order by doc_id) - 1 as ord from documents"
 ORACLES["src_schema_counts"] = oracle(
     "select count(distinct schema_id) + (select count(*) from region) as schemas,"
     " count(distinct schema_id) as with_tables from fx_columns"

@@ -157,6 +157,11 @@ def _(spark, sf):
     return files[0].unionByName(files[1])
 
 
+@query("src_ordinal")
+def _(spark, sf):
+    return readers.with_ordinal(table(spark, sf, "documents")).select("doc_id", "ord")
+
+
 @query("src_schema_counts")
 def _(spark, sf):
     return readers.schema_counts(catalog_records(spark, sf))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablequill.constants import UNKNOWN
+from tablequill.functions.scale import attach
 
 EXAMPLE_SCHEMA = (
     "example_id string, dataset string, split string, schema_id string, question string,"
@@ -70,12 +71,27 @@ def read_logical_form(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def with_file_position(df: DataFrame) -> DataFrame:
-    """(file_name, row_index) of every row of a Parquet source, without a shuffle."""
-    return df.select(
+def with_ordinal(df: DataFrame, name: str = "ord") -> DataFrame:
+    """Dense position of every row of a Parquet source: files by path, rows as stored.
+
+    Spark numbers the rows of a file itself; only the row counts of the files
+    are summed up, and the rows stay where they are.
+    """
+    rows = df.select(
         "*",
-        F.col("_metadata.file_name").alias("file_name"),
-        F.col("_metadata.row_index").alias("row_index"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.row_index").alias("_row"),
+    )
+    counts = df.select(F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(
+        F.count("*").alias("_n")
+    )
+    # one row per file reaches this window
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return (
+        attach(rows, offsets, ["_file"], ["_row"])
+        .withColumn(name, F.col("_before") + F.col("_row"))
+        .drop("_file", "_row", "_before")
     )
 
 

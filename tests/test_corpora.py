@@ -329,10 +329,12 @@ def test_last_and_first_per_key(spark):
     ]
 
 
-def test_file_position(spark, tmp_path):
-    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "p"))
-    df = readers.with_file_position(spark.read.parquet(str(tmp_path / "p")))
-    assert [r.row_index for r in df.orderBy("id").collect()] == list(range(10))
+def test_ordinal_over_files(spark, tmp_path):
+    for i, n in enumerate((3, 0, 4)):
+        spark.range(i * 10, i * 10 + n).coalesce(1).write.parquet(str(tmp_path / f"p{i}"))
+    df = spark.read.parquet(*[str(tmp_path / f"p{i}") for i in range(3)])
+    got = [(r.id, r.ord) for r in readers.with_ordinal(df).orderBy("ord").collect()]
+    assert got == [(0, 0), (1, 1), (2, 2), (20, 3), (21, 4), (22, 5), (23, 6)]
 
 
 def test_corpus_is_written_in_hash_order(spark, tmp_path):

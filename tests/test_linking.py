@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -217,3 +222,23 @@ def test_threshold_must_be_positive(spark):
     df = vectors(spark, a=[1]).withColumn("schema_id", F.lit("s"))
     with pytest.raises(ValueError):
         similarity.similar_terms(df, df, ["schema_id"], 0.0, True)
+
+
+def test_python_workers_do_not_need_the_package(tmp_path):
+    """The matrix product runs in workers whose path lacks this repository."""
+    repo = str(Path(__file__).resolve().parent.parent)
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import functions as F
+from tablequill.operators.similarity import similar_terms
+from tablequill.session import local_session
+spark = local_session("2")
+df = spark.createDataFrame([("s", "a", [1.0, 0.0]), ("s", "b", [0.6, 0.8])], "g string, term string, vector array<double>")
+print("pairs", similar_terms(df, df, ["g"], 0.5, True).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180
+    )
+    assert "pairs 4" in done.stdout, done.stderr[-2000:]
