@@ -241,18 +241,24 @@ def database_distribution(rows: DataFrame, top_n: int = 20) -> DataFrame:
 def by_database_capped(scored: DataFrame, key: str, max_per_db: int, train: DataFrame) -> DataFrame:
     """First ``max_per_db`` rows of every database, with a total over all of them.
 
-    The total is the row whose ``db_id`` is NULL.
+    The total is the row whose ``db_id`` is NULL; its ``train_samples`` counts
+    all training rows, also those of databases that are not evaluated.
     """
     kept = scale.first_rows(scored.withColumn("db_id", _db()), ["db_id"], key, max_per_db)
     per_db = kept.groupBy("db_id").agg(*_scores()).join(train_counts(train), "db_id", "left")
+    all_train = train.agg(F.count("*")).scalar()
+    own_train = F.coalesce("train_samples", F.lit(0))
     return (
         per_db.rollup("db_id")
         .agg(
             F.sum("total").alias("total"),
             F.sum("em_correct").alias("em_correct"),
             F.sum("ex_correct").alias("ex_correct"),
-            F.coalesce(F.sum("train_samples"), F.lit(0)).alias("train_samples"),
+            F.sum("train_samples").alias("train_samples"),
+            F.grouping("db_id").alias("_all"),
         )
+        .withColumn("train_samples", F.when(F.col("_all") == 1, all_train).otherwise(own_train))
+        .drop("_all")
         .select("*", *_rates())
     )
 

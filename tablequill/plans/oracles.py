@@ -1015,7 +1015,8 @@ ORACLES["eval_by_db_capped"] = oracle(
     f"""select db_id, total, em_correct, ex_correct, train_samples, {RATES} from (
       select db_id, cast(sum(total) as bigint) as total, cast(sum(em_correct) as bigint) as em_correct,
         cast(sum(ex_correct) as bigint) as ex_correct,
-        cast(coalesce(sum(train_samples), 0) as bigint) as train_samples
+        case when grouping(db_id) = 1 then (select count(*) from fx_train)
+          else cast(coalesce(sum(train_samples), 0) as bigint) end as train_samples
       from (select db_id, {SCORES} from (
           select coalesce(db_id, 'unknown') as db_id, exact_match, execution_match,
             row_number() over (partition by coalesce(db_id, 'unknown') order by example_id) as rn

@@ -30,3 +30,34 @@ def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF_DIR)
     rows, problems = oracle_check.compare(df, duck, entry.oracle_sql()[name])
     assert problems == [] and rows > 0
+
+
+LARGE = [
+    "split_positional", "limit_first_n", "lf_balanced_sample", "corpus_shuffle_order", "corpus_ddl",
+    "corpus_catalog", "link_table_partial", "link_column_word", "link_column_vector",
+    "link_value_columns", "sem_top5", "seq_vocab", "seq_encode", "eval_running", "eval_by_db_capped",
+]
+
+
+@pytest.mark.parametrize("name", LARGE)
+def test_query_without_small_data_shortcuts(spark, duck, name, monkeypatch):
+    """Nothing is small enough to broadcast, keys are hot early, blocks and chunks are tiny."""
+    from tablequill.functions import scale
+    from tablequill.operators import linking, sequences, similarity
+
+    for module, constant, value in [
+        (scale, "BROADCAST_BYTES", 0), (scale, "HOT_ROWS", 5), (scale, "BUCKET_WIDTH", 17),
+        (scale, "GROUP_LIMIT", 5), (similarity, "BLOCK", 20), (linking, "CHUNK_TABLES", 3),
+        (linking, "CHUNK_COLUMNS", 2), (sequences, "HOT_WORDS", 50),
+    ]:
+        monkeypatch.setattr(module, constant, value)
+    sizes = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    for conf in sizes:
+        spark.conf.set(conf, "-1")
+    try:
+        df = entry.queries()[name](spark, SF_DIR)
+        rows, problems = oracle_check.compare(df, duck, entry.oracle_sql()[name])
+    finally:
+        for conf in sizes:
+            spark.conf.unset(conf)
+    assert problems == [] and rows > 0

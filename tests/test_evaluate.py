@@ -187,9 +187,10 @@ def test_distribution(scored):
     ]
 
 
-def test_capped_by_database(scored, train):
+def test_capped_by_database(spark, scored, train):
+    train = train.union(spark.createDataFrame([("elsewhere",)], "db_id string"))
     got = {r.db_id: r for r in evaluate.by_database_capped(scored, "example_id", 2, train).collect()}
-    assert got["db0"].total == 2 and got[None].total == 10 and got[None].train_samples == 3
+    assert got["db0"].total == 2 and got[None].total == 10 and got[None].train_samples == 4
     assert got[None].em_correct == sum(r.em_correct for d, r in got.items() if d)
 
 
