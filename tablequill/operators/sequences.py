@@ -33,24 +33,18 @@ def vocabulary(texts: DataFrame, column: str = "text") -> DataFrame:
 
 
 def _with_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Attach ``word_id``: frequent words by broadcast, the others by one shuffle.
+    """Attach ``word_id``: frequent words by broadcast, only the others by a shuffle.
 
-    Tokens that already have their id get a key that matches nothing and
-    spreads them evenly over the tasks of the shuffle.
+    The texts are split once per branch, which costs less than to shuffle the
+    frequent words, nearly all of the tokens.
     """
     hot = vocab.where(F.col("word_id") <= HOT_WORDS).select("word", F.col("word_id").alias("hot_id"))
-    rest = vocab.where(F.col("word_id") > HOT_WORDS).select(
-        F.col("word").alias("_key"), F.col("word_id").alias("rest_id")
-    )
-    spread = F.pmod(F.xxhash64("example_id", "pos"), F.lit(4096)).cast("string")
-    wanted = F.col("hot_id").isNull() & F.col("word").isNotNull()
-    key = F.when(wanted, F.col("word")).otherwise(F.concat(F.lit("\x00"), spread))
-    return (
-        tokens.join(F.broadcast(hot), "word", "left")
-        .withColumn("_key", key)
-        .join(rest, "_key", "left")
-        .select("example_id", "pos", F.coalesce("hot_id", "rest_id").alias("word_id"))
-    )
+    rest = vocab.where(F.col("word_id") > HOT_WORDS).select("word", "word_id")
+    tagged = tokens.join(F.broadcast(hot), "word", "left")
+    rare = F.col("hot_id").isNull() & F.col("word").isNotNull()
+    found = tagged.where(~rare).select("example_id", "pos", F.col("hot_id").alias("word_id"))
+    others = tagged.where(rare).join(rest, "word").select("example_id", "pos", "word_id")
+    return found.unionByName(others)
 
 
 def encode(texts: DataFrame, vocab: DataFrame, max_length: int, column: str = "text") -> DataFrame:
