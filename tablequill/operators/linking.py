@@ -394,10 +394,10 @@ def schema_links(
     return best_links(links, min_confidence)
 
 
-def links_text(
+def with_links_text(
     examples: DataFrame, links: DataFrame, min_confidence: float = K.MIN_CONFIDENCE
 ) -> DataFrame:
-    """(example_id, links_text) for ``examples(example_id)``, empty without links."""
+    """``examples`` with a column ``links_text``, empty for examples without links."""
     value_mark = F.when(F.col("link_type") == VALUE, F.lit("value, ")).otherwise(F.lit(""))
     target = F.when(F.col("link_type") == TABLE, F.lit(TABLE)).otherwise(F.lit(COLUMN))
     line = F.format_string(
@@ -410,7 +410,7 @@ def links_text(
         .groupBy("example_id")
         .agg(joined(line, order, "\n").alias("body"))
     )
-    return examples.join(texts, "example_id", "left").select(
-        "example_id",
-        F.coalesce(F.concat(F.lit("[SCHEMA LINKS]\n"), "body"), F.lit("")).alias("links_text"),
+    text = F.coalesce(F.concat(F.lit("[SCHEMA LINKS]\n"), "body"), F.lit(""))
+    return (
+        examples.join(texts, "example_id", "left").withColumn("links_text", text).drop("body")
     )

@@ -28,8 +28,7 @@ def training_records(
         links = linking.schema_links(
             questions, link_catalog.tables, link_catalog.columns, term_vectors
         )
-        texts = linking.links_text(examples.select("example_id"), links)
-        ready = examples.join(texts, "example_id")
+        ready = linking.with_links_text(examples, links)
     if prompt_style == "simple":
         return prompts.simple_record(ready)
     styles = prompts.style_table(examples.sparkSession) if styles is None else styles

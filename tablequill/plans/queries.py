@@ -446,7 +446,7 @@ def _(spark, sf):
 
 @query("link_text")
 def _(spark, sf):
-    return linking.links_text(
+    return linking.with_links_text(
         fx(spark, sf, "value_questions").select("example_id"), _best_links(spark, sf)
     )
 
@@ -672,8 +672,7 @@ def _(spark, sf):
 @query("prompt_build")
 def _(spark, sf):
     asked = _questions_with_schema(spark, sf)
-    links = linking.links_text(asked.select("example_id"), _best_links(spark, sf))
-    ready = asked.join(links, "example_id")
+    ready = linking.with_links_text(asked, _best_links(spark, sf))
     prompt = prompts.user_prompt(
         F.lit(K.INSTRUCTION), F.col("schema"), F.col("question"), F.col("links_text")
     )
@@ -692,7 +691,7 @@ def _questions_with_schema(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("corpus_records")
 def _(spark, sf):
-    """From catalog, questions and vectors to training records in one plan."""
+    """From catalog and questions to training records with links."""
     cat = _catalog(spark, sf)
     examples = fx(spark, sf, "value_questions").selectExpr(
         "*", "'catalog' AS dataset", "'train' AS split", "'SELECT 1' AS sql"

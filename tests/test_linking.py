@@ -107,7 +107,7 @@ def test_column_vectors_take_first_variant_and_skip_linked(spark, cat):
 def test_best_link_per_span_and_text(spark, cat):
     q = ask(spark, "name of Student", "nothing here")
     links = L.schema_links(q, cat.tables, cat.columns, include_values=True)
-    text = {r.example_id: r.links_text for r in L.links_text(q.select("example_id"), links).collect()}
+    text = {r.example_id: r.links_text for r in L.with_links_text(q.select("example_id"), links).collect()}
     # the span of "Student" goes to the table, not to student_id or the value
     assert text == {
         0: '[SCHEMA LINKS]\nQuestion word "Student" → table: Student (confidence: 1.00)\n'
@@ -119,7 +119,7 @@ def test_best_link_per_span_and_text(spark, cat):
 def test_value_line(spark, cat):
     q = ask(spark, "who is Mary")
     links = L.schema_links(q, cat.tables, cat.columns, include_values=True)
-    assert L.links_text(q.select("example_id"), links).first().links_text == (
+    assert L.with_links_text(q.select("example_id"), links).first().links_text == (
         '[SCHEMA LINKS]\nQuestion word "Mary" → column: Student.name (value, confidence: 0.80)'
     )
 
