@@ -373,11 +373,17 @@ def _(spark, sf):
 
 
 def _table_links(spark: SparkSession, sf: str) -> DataFrame:
-    return linking.table_links(fx(spark, sf, "questions"), fx(spark, sf, "tables"))
+    return stored(
+        spark, sf, "table_links",
+        lambda: linking.table_links(fx(spark, sf, "questions"), fx(spark, sf, "tables")),
+    )
 
 
 def _column_links(spark: SparkSession, sf: str) -> DataFrame:
-    return linking.column_links(fx(spark, sf, "questions"), fx(spark, sf, "columns"))
+    return stored(
+        spark, sf, "column_links",
+        lambda: linking.column_links(fx(spark, sf, "questions"), fx(spark, sf, "columns")),
+    )
 
 
 @query("link_table_exact")
@@ -433,9 +439,13 @@ def _(spark, sf):
 
 
 def _best_links(spark: SparkSession, sf: str) -> DataFrame:
-    return linking.schema_links(
-        fx(spark, sf, "value_questions"), fx(spark, sf, "tables"), fx(spark, sf, "columns"),
-        include_values=True,
+    """The links of all questions, stored once for the texts and prompts that show them."""
+    return stored(
+        spark, sf, "links",
+        lambda: linking.schema_links(
+            fx(spark, sf, "value_questions"), fx(spark, sf, "tables"), fx(spark, sf, "columns"),
+            include_values=True,
+        ),
     )
 
 
@@ -739,14 +749,16 @@ def _(spark, sf):
 
 @query("seq_vocab")
 def _(spark, sf):
-    return sequences.vocabulary(_chat_texts(spark, sf))
+    return _vocabulary(spark, sf)
+
+
+def _vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(spark, sf, "vocab", lambda: sequences.vocabulary(_chat_texts(spark, sf)))
 
 
 @query("seq_encode")
 def _(spark, sf):
-    texts = _chat_texts(spark, sf)
-    vocab = stored(spark, sf, "vocab", lambda: sequences.vocabulary(texts))
-    coded = sequences.encode(texts, vocab, MAX_LENGTH)
+    coded = sequences.encode(_chat_texts(spark, sf), _vocabulary(spark, sf), MAX_LENGTH)
 
     def text(name: str):
         return F.array_join(F.col(name).cast("array<string>"), " ").alias(name)

@@ -44,6 +44,10 @@ def test_query_without_small_data_shortcuts(spark, duck, name, monkeypatch):
     """Nothing is small enough to broadcast, keys are hot early, blocks and chunks are tiny."""
     from tablequill.functions import scale
     from tablequill.operators import linking, sequences, similarity
+    from tablequill.plans import fixtures
+
+    # tables that the tests above stored are built again, under the changed limits
+    monkeypatch.setattr(fixtures, "_settled", {})
 
     for module, constant, value in [
         (scale, "BROADCAST_BYTES", 0), (scale, "HOT_ROWS", 5), (scale, "BUCKET_WIDTH", 17),
