@@ -20,8 +20,8 @@ import pyarrow as pa
 from tablequill.llm import textkernel as tk
 
 # Chunks a worker remembers; it starts again when it has seen so many.
-REMEMBERED = 2_000_000
-SLICE_BYTES = 4 << 20
+REMEMBERED = 1_500_000
+SLICE_BYTES = 2 << 20
 
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -75,8 +75,8 @@ class Encoder:
 
     def _forget(self) -> None:
         self.keys = np.empty(0, np.uint64)
-        self.at = np.empty(0, np.int64)
-        self.size = np.empty(0, np.int64)
+        self.at = np.empty(0, np.int32)
+        self.size = np.empty(0, np.int32)
         self.ids = np.empty(0, np.uint32)
 
     def _chunks(self, texts: list[str]) -> tuple[list[int], list[int]]:
@@ -133,8 +133,8 @@ class Encoder:
     def _remember(self, data, starts, ends, keys) -> None:
         texts = [data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist())]
         ids, sizes = self._chunks(texts)
-        size, flat = np.array(sizes, np.int64), np.array(ids, np.uint32)
-        at = len(self.ids) + np.cumsum(size) - size
+        size, flat = np.array(sizes, np.int32), np.array(ids, np.uint32)
+        at = (len(self.ids) + np.cumsum(size) - size).astype(np.int32)
         order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
         self.keys = np.concatenate([self.keys, keys])[order]
         self.at = np.concatenate([self.at, at])[order]
@@ -175,7 +175,7 @@ class Encoder:
                 known = self._find(distinct)
             known = known[back]
             sizes = self.size[known]
-            total = np.concatenate([[0], np.cumsum(sizes)])
+            total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
             place = np.repeat(self.at[known] - total[:-1], sizes) + np.arange(total[-1])
             yield first, self.ids[place], total[bounds]
 

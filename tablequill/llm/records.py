@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tablequill.llm import encoding
 
 # Bytes of text that make up one file: what a reader holds in memory.
-BYTES_PER_FILE = 24 << 20
+BYTES_PER_FILE = 12 << 20
 HEADER, FOOTER = 12, 5
 INDEX = "shard int, ordinal long, doc_id long, offset long, size long, n_tokens long"
 # Files whose sums one task adds up.
