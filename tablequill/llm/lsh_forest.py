@@ -73,7 +73,8 @@ def _signer(trees: int, most: int, used: int):
             for k in range(trees * most):
                 values[k, first + full] = np.minimum.reduceat(keys * factor[k] + shift[k], begins)
         sketch = (tk.mix(values) & np.uint64(0xFF)).astype(np.uint8).T.copy()
-        prefix = np.zeros((n, trees), np.uint64)
+        # the number of the tree is part of the hash, so a node is one number
+        prefix = np.tile(np.arange(1, trees + 1, dtype=np.uint64), (n, 1))
         for t in range(trees):
             for k in range(used):
                 prefix[:, t] = tk.mix(prefix[:, t] * np.uint64(0x9E3779B97F4A7C15) + values[t * most + k])
@@ -233,19 +234,18 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     )
     distinct = settle(distinct.withColumn("rid", F.monotonically_increasing_id()), "distinct")
 
-    members = distinct.where(F.col("nodes").isNotNull()).select(
-        "rid", "sketch", F.posexplode("nodes").alias("tree", "node")
-    )
-    narrow = members.select("rid", "tree", "node")
-    nodes = settle(narrow.groupBy("tree", "node").agg(
+    # 24 narrow rows per text meet their nodes; sketches only join what shares one
+    members = distinct.where(F.col("nodes").isNotNull()).select("rid", F.explode("nodes").alias("node"))
+    nodes = settle(members.groupBy("node").agg(
         F.count("*").alias("n"), F.min("rid").alias("least")
     ).where("n > 1"), "nodes")
-    large = narrow.join(nodes.where(F.col("n") > NODE), ["tree", "node"]).select(
-        "rid", F.col("least").alias("root")
-    )
-    small = members.join(nodes.where(F.col("n") <= NODE).select("tree", "node"), ["tree", "node"])
+    # the nodes grow with the corpus: never broadcast them
+    shared = settle(members.join(nodes.hint("merge"), "node"), "shared")
+    large = shared.where(F.col("n") > NODE).select("rid", F.col("least").alias("root"))
+    sketches = distinct.select("rid", "sketch")
+    small = shared.where(F.col("n") <= NODE).join(sketches.hint("merge"), "rid")
     error = (threshold * (1 - threshold) / (TREES * MAX_DEPTH)) ** 0.5
-    near = _sorted_tasks(small.select(F.xxhash64("tree", "node").alias("task"), "rid", "sketch")).mapInArrow(
+    near = _sorted_tasks(small.select(F.col("node").alias("task"), "rid", "sketch")).mapInArrow(
         _near_in_nodes(threshold - ERRORS * error), "rid long, root long"
     )
     clusters = settle(graph.components(large.unionByName(near), "rid", "root"), "clusters")
