@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from tablequill.llm import graph
 from tablequill.llm import textkernel as tk
 from tablequill.llm.subspace_join import _spanning, chunk_tasks, runs
+from tablequill.llm.rows import boxed, unboxed
 from tablequill.session import settle
 
 THRESHOLD = 0.8
@@ -322,17 +323,14 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         times, (chosen["text_key"] == times["text_key"]) & chosen["first_id"].eqNullSafe(times["id"])
     ).select(chosen["text_key"].alias("_key"), F.col("id").alias("_id"), F.col("_times"))
     stay = settle(stay, "stay")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(*own, text_key(F.col(text)).alias("_key"))
-    match = (keyed["_key"] == stay["_key"]) & keyed[id_col].eqNullSafe(stay["_id"])
-    wordless = docs.where(~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    once = keyed.join(stay.where("_times = 1"), match).select(*[keyed[f"`{c}`"] for c in docs.columns])
-    out = once.unionByName(wordless)
+    keyed = boxed(docs, F.col(f"`{id_col}`").alias("own_id"), text_key(F.col(text)).alias("own_key"),
+                  F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("has_words"))
+    match = (F.col("own_key") == F.col("_key")) & F.col("own_id").eqNullSafe(F.col("_id"))
+    out = unboxed(keyed.where("has_words").join(stay.where("_times = 1"), match))
+    out = out.unionByName(unboxed(keyed.where("not has_words")))
     if stay.where("_times > 1").take(1):
-        again = keyed.join(stay.where("_times > 1"), match).select(
-            *[keyed[f"`{c}`"] for c in docs.columns], keyed["_key"]
-        )
-        out = out.unionByName(again.dropDuplicates(["_key"]).drop("_key"))
+        again = keyed.where("has_words").join(stay.where("_times > 1"), match)
+        out = out.unionByName(unboxed(again.groupBy("own_key").agg(F.first("row").alias("row"))))
     return out
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablequill.llm.rows import boxed, unboxed
 from tablequill.session import settle
 
 WEIGHTS = (5, 2, 1)
@@ -140,15 +141,10 @@ def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     times = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
     whole = mixed.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), times.alias("_times"))
     numbered = whole.groupBy("_id", "_size").agg(F.max("_times").alias("_times")).where("_times > 0")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(*own, n_words(F.col(text)).alias("_words"))
-    same = rows[f"`{id_col}`"].eqNullSafe(numbered["_id"]) & (rows["_words"] == numbered["_size"])
-    return (
-        rows.join(numbered, same)
-        .select(*[rows[f"`{c}`"] for c in docs.columns],
-                F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"))
-        .drop("_copy")
-    )
+    rows = boxed(docs, F.col(f"`{id_col}`").alias("own_id"), n_words(F.col(text)).alias("words"))
+    same = F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("words") == F.col("_size"))
+    copies = rows.join(numbered, same).select("row", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return unboxed(copies)
 
 
 def op6_rows(docs: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablequill.llm import measures
+from tablequill.llm.rows import boxed, unboxed
 
 RULE_COLUMNS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
@@ -59,11 +60,10 @@ def mask(rules: tuple[str, ...]) -> int:
     return sum(1 << BIT[r] for r in rules)
 
 
-def failures(prefix: str = "") -> Column:
-    """Bits of the failed rules, from measurements in columns named with ``prefix``."""
+def failures() -> Column:
+    """Bits of the failed rules, from the columns of the measurements."""
     bits = F.lit(0).cast("long")
     for i, (_, fails) in enumerate(RULES):
-        fails = " ".join(prefix + w if w in RULE_COLUMNS else w for w in fails.split(" "))
         bit = F.when(F.expr(fails), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
         bits = bits.bitwiseOR(bit)
     return bits
@@ -106,12 +106,9 @@ def ablations(rows: DataFrame, version: int = CURRENT) -> DataFrame:
 
 def filter_documents(docs: DataFrame, text: str = "text", version: int = CURRENT) -> DataFrame:
     """The rows of ``docs`` that the policy keeps, all their columns unchanged."""
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(*own, measured(F.col(text)).alias("_rule_measures")).select(
-        *own, *[F.col(f"_rule_measures.{c}").alias(f"_rule_{c}") for c in RULE_COLUMNS]
-    )
+    rows = boxed(docs, measured(F.col(text)).alias("m")).select("row", "m.*")
     chosen = F.lit(mask(POLICIES[version])).cast("long")
-    return rows.where(failures("_rule_").bitwiseAND(chosen) == 0).select(*own)
+    return unboxed(rows.where(failures().bitwiseAND(chosen) == 0))
 
 
 def op8_rows(docs: DataFrame) -> DataFrame:

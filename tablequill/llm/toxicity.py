@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tablequill.llm import labelled
 from tablequill.llm import textkernel as tk
+from tablequill.llm.rows import boxed, unboxed
 from tablequill.session import settle
 
 # Labelled documents the model is fitted on, at most about so many.
@@ -341,10 +342,8 @@ def score(model: Model, text: str = "text") -> Column:
 def filter_documents(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with a score below ``limit``, all their columns unchanged."""
     model = train(docs, labels)
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.select(*own, score(model).alias("_toxicity")).where(
-        F.col("_toxicity") < limit
-    ).select(*own)
+    scored = boxed(docs, score(model).alias("toxicity"))
+    return unboxed(scored.where(F.col("toxicity") < limit))
 
 
 def op2_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
