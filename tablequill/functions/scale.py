@@ -2,28 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablequill.session import settle_sized
+from tablequill.session import settle, settle_sized
 
 # A key is hot if it holds more than one row in HOT_SHARE, and more than HOT_ROWS rows.
 HOT_SHARE = 1000
 HOT_ROWS = 100_000
-# Rows per bucket of a unique integer key; also the most keys one task sorts.
+# Values per bucket of an integer key; also the most values one task sorts.
 BUCKET_WIDTH = 65536
 # A settled table of at most this size (bytes of JSON) may be broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Spark pushes row_number() <= n below the shuffle only up to this n
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns of the same name in which NULL equals NULL; keeps the left keys."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(
+        Column.__and__, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    )
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def hot_keys(many: DataFrame, keys: list[str]) -> DataFrame:
     """Hot keys with the number of salts each needs.
 
     Fewer than HOT_SHARE keys can hold more than one row in HOT_SHARE, so the
-    result may be broadcast whatever the size of ``many``.
+    result may be broadcast whatever the size of ``many``. NULL is a key.
     """
     counts = many.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
@@ -34,42 +42,49 @@ def hot_keys(many: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def salted_join(
-    many: DataFrame, few: DataFrame, keys: list[str], spread: list[str], how: str = "inner"
+    many: DataFrame, few: DataFrame, keys: list[str], spread: list[str], how: str = "inner",
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join where single keys may hold a large share of ``many``.
 
     Rows of a hot key spread over sub-keys by the columns ``spread`` until no
     sub-key holds more than about one row in HOT_SHARE; only the rows of
-    ``few`` with a hot key are repeated.
+    ``few`` with a hot key are repeated. Rows with a NULL key spread as well.
     """
     hot = F.broadcast(hot_keys(many, keys))
     salt = F.pmod(F.xxhash64(*spread), F.coalesce("_salts", F.lit(1))).cast("int")
-    left = many.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
+    left = null_safe_join(many, hot, keys, "left").withColumn("_salt", salt).drop("_salts")
     last = F.coalesce("_salts", F.lit(1)) - 1
     right = (
-        few.join(hot, keys, "left")
+        null_safe_join(few, hot, keys, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
         .drop("_salts")
     )
+    if null_safe:
+        return null_safe_join(left, right, keys + ["_salt"], how).drop("_salt")
     return left.join(right, keys + ["_salt"], how).drop("_salt")
 
 
 def attach(
-    many: DataFrame, few: DataFrame, keys: list[str], spread: list[str], how: str = "inner"
+    many: DataFrame, few: DataFrame, keys: list[str], spread: list[str], how: str = "inner",
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join with a table that is small compared to ``many``.
 
     ``few`` is stored first and measured while it is written: below the bound
     it is broadcast and ``many`` stays where it is, beyond it the join is salted.
+    With ``null_safe`` a NULL key matches a NULL key.
     """
     few, size = settle_sized(few, "few")
-    if size <= BROADCAST_BYTES:
-        return many.join(F.broadcast(few), keys, how)
-    return salted_join(many, few, keys, spread, how)
+    if size > BROADCAST_BYTES:
+        return salted_join(many, few, keys, spread, how, null_safe)
+    if null_safe:
+        return null_safe_join(many, F.broadcast(few), keys, how)
+    return many.join(F.broadcast(few), keys, how)
 
 
 def key_bucket(key: str) -> Column:
-    """Bucket of a unique integer key; holds at most BUCKET_WIDTH rows.
+    """Bucket of an integer key; holds at most BUCKET_WIDTH different keys.
 
     The key should be an ordinal without large gaps, such as a row number or
     ``readers.with_ordinal``: the number of buckets is the key range / BUCKET_WIDTH.
@@ -82,9 +97,9 @@ def hash_order(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def hash_bucket(order_key: Column) -> Column:
-    """One of 4096 buckets in the order of ``hash_order``."""
-    return F.substring(order_key, 1, 3)
+def hash_bucket(order_key: Column, digits: int = 3) -> Column:
+    """One of 16 ** digits buckets in the order of ``hash_order``."""
+    return F.substring(order_key, 1, digits)
 
 
 def bucket_offsets(df: DataFrame, partition: list[str], bucket: list[str], sums: dict) -> DataFrame:
@@ -108,23 +123,43 @@ def bucketed_row_number(
 ) -> DataFrame:
     """``row_number()`` per partition without sorting a partition in one task.
 
-    ``bucket`` must be non-null columns whose ascending order agrees with ``order``.
+    ``bucket`` must be columns whose ascending order agrees with ``order``.
     """
     offsets = bucket_offsets(df, partition, bucket, {"_n": F.count("*")})
     inside = Window.partitionBy(*partition, *bucket).orderBy(*order)
     keys = partition + bucket
     return (
-        df.join(offsets.select(*keys, "_n_before"), keys)
+        null_safe_join(df, offsets.select(*keys, "_n_before"), keys)
         .withColumn(name, F.row_number().over(inside) + F.col("_n_before"))
         .drop("_n_before")
     )
 
 
+def range_row_number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``row_number()`` over all rows: ranges of the order are dealt out and stored, the
+    counts of the ranges summed up, and every range is sorted by itself."""
+    part = f"_{name}_part"
+    stored = settle(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    # one row per range reaches this window
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    before = stored.groupBy(part).agg(F.count("*").alias("_n")).select(
+        part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    )
+    inside = Window.partitionBy(part).orderBy(*order)
+    return (
+        stored.join(before, part)
+        .withColumn(name, F.row_number().over(inside) + F.col("_before"))
+        .drop(part, "_before")
+    )
+
+
 def first_cutoffs(df: DataFrame, partition: list[str], key: str, quota: Column) -> DataFrame:
-    """Per partition: the key of the last row among the first ``quota`` rows.
+    """(partition, cutoff, at_cutoff): where the first ``quota`` rows by ``key`` end.
 
-    ``key`` is a unique integer, ``quota`` an expression over ``total``. Counts
-    per key bucket find the bucket the quota ends in; only its keys are sorted.
+    ``cutoff`` is the key of the last of them, ``at_cutoff`` how many rows with
+    this key belong to them. ``key`` is an integer, ``quota`` an expression over
+    ``total``. Counts per key bucket find the bucket the quota ends in; only the
+    counts of its keys are sorted.
     """
     keys = df.select(*partition, key, key_bucket(key).alias("_bucket"))
     sizes = bucket_offsets(keys, partition, ["_bucket"], {"_n": F.count("*")})
@@ -136,22 +171,39 @@ def first_cutoffs(df: DataFrame, partition: list[str], key: str, quota: Column)
         .where(F.col("_n_before") + F.col("_n") >= F.col("_quota"))
         .select(*partition, "_bucket", (F.col("_quota") - F.col("_n_before")).alias("_k"))
     )
+    upto = (
+        Window.partitionBy(*[F.col(c) for c in partition])
+        .orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     return (
-        keys.join(last, partition + ["_bucket"])
-        .groupBy(*partition, "_k")
-        .agg(F.sort_array(F.collect_list(key)).alias("_keys"))
-        .select(*partition, F.element_at("_keys", F.col("_k").cast("int")).alias("cutoff"))
+        null_safe_join(keys, last, partition + ["_bucket"])
+        .groupBy(*partition, "_k", key).agg(F.count("*").alias("_n"))
+        .withColumn("_upto", F.sum("_n").over(upto))
+        .where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k")))
+        .select(*partition, F.col(key).alias("cutoff"),
+                (F.col("_k") - F.col("_upto") + F.col("_n")).alias("at_cutoff"))
     )
 
 
+def before_cutoff(df: DataFrame, cut: DataFrame, partition: list[str], key: str, name: str) -> DataFrame:
+    """Adds the flag ``name``: the row is among the rows that ``first_cutoffs`` counts.
+
+    Wide rows are compared with the cut where they are. Only if a cut divides
+    rows with the same key, those rows are numbered, in the order of a hash of
+    all their columns.
+    """
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    rows = attach(df.withColumn("_tie", spread), cut, partition, ["_tie"], "left", null_safe=True)
+    inside = F.coalesce(F.col(key) < F.col("cutoff"), F.lit(False))
+    at = F.coalesce(F.col(key) == F.col("cutoff"), F.lit(False))
+    order = Window.partitionBy(*[F.col(c) for c in partition], key).orderBy("_tie")
+    extra = ["_tie", "cutoff", "at_cutoff"]
+    clear = rows.where(~at).withColumn(name, inside).drop(*extra)
+    edge = rows.where(at).withColumn(name, F.row_number().over(order) <= F.col("at_cutoff")).drop(*extra)
+    return clear.unionByName(edge)
+
+
 def first_rows(df: DataFrame, partition: list[str], key: str, n: int) -> DataFrame:
-    """The first ``n`` rows by ``key`` of every partition."""
-    if n < GROUP_LIMIT:
-        ranked = Window.partitionBy(*partition).orderBy(key)
-        return df.withColumn("_rn", F.row_number().over(ranked)).where(F.col("_rn") <= n).drop("_rn")
+    """The first ``n`` rows by ``key`` of every partition; NULL is a partition like any other."""
     cut = first_cutoffs(df, partition, key, F.lit(n))
-    return (
-        attach(df, cut, partition, [key])
-        .where(F.col(key) <= F.col("cutoff"))
-        .drop("cutoff")
-    )
+    return before_cutoff(df, cut, partition, key, "_first").where("_first").drop("_first")

@@ -32,10 +32,10 @@ def distinct_candidates(candidates: DataFrame) -> DataFrame:
 
 
 def syntax_error(sql: Column) -> Column:
-    """Text of the first failed rule, empty if the query passes."""
+    """Text of the first failed rule, empty if the query passes; NULL is an empty query."""
     upper = F.upper(sql)
     return (
-        F.when(sql == "", F.lit(K.ERROR_EMPTY))
+        F.when(sql.isNull() | (sql == ""), F.lit(K.ERROR_EMPTY))
         .when(~upper.contains("SELECT"), F.lit(K.ERROR_NO_SELECT))
         .when(~contains_any(upper, ["FROM", "COUNT("]), F.lit(K.ERROR_NO_FROM))
         .otherwise(F.lit(""))

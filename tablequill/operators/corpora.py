@@ -25,19 +25,16 @@ EXAMPLE = [
 
 
 def positional_split(corpus: DataFrame, partition: list[str], key: str) -> DataFrame:
-    """First nine tenths of every partition are ``train``, the rest ``dev``.
+    """First nine tenths of every partition (NULL is one) are ``train``, the rest ``dev``.
 
     Only ``partition`` and ``key`` are read to find the place of the cut; the
     wide rows are compared with it where they are.
     """
     quota = F.expr("total * 9 div 10")
     cut = scale.first_cutoffs(corpus, partition, key, quota)
-    split = F.when(F.col(key) <= F.col("cutoff"), F.lit("train")).otherwise(F.lit("dev"))
-    return (
-        scale.attach(corpus, cut, partition, [key], "left")
-        .withColumn("split", split)
-        .drop("cutoff")
-    )
+    placed = scale.before_cutoff(corpus, cut, partition, key, "_train")
+    split = F.when(F.col("_train"), F.lit("train")).otherwise(F.lit("dev"))
+    return placed.withColumn("split", split).drop("_train")
 
 
 def of_complexity(corpus: DataFrame, complexities: list[str]) -> DataFrame:
@@ -116,8 +113,14 @@ def from_catalog(corpus: DataFrame, catalog: C.Catalog, style: str = "structured
 
 
 def without_catalog(corpus: DataFrame, catalog: C.Catalog) -> DataFrame:
-    """Rows that ``from_catalog`` skips: schema unknown or without tables."""
-    return corpus.join(catalog.tables.select("schema_id"), "schema_id", "left_anti")
+    """Rows that ``from_catalog`` skips: schema unknown, NULL or without tables.
+
+    Only the distinct schema ids meet the catalog; the rows then meet the
+    unknown ids, spread where one id has many rows.
+    """
+    known = catalog.tables.select("schema_id").distinct()
+    unknown = corpus.select("schema_id").distinct().join(known, "schema_id", "left_anti")
+    return scale.attach(corpus, unknown, ["schema_id"], ["example_id"], null_safe=True)
 
 
 def ddl_id(ddl: Column) -> Column:
@@ -228,12 +231,11 @@ def _counts() -> list[Column]:
 def summary(examples: DataFrame) -> DataFrame:
     """Training rows per dataset and in total (dataset NULL), with shares in percent."""
     train = examples.where(F.col("split") == "train")
-    share = F.lit(100) / F.col("examples")
     return train.rollup("dataset").agg(*_counts()).select(
         "*",
         (F.col("multi_table") * 100 / F.col("examples")).alias("multi_table_share"),
         (F.col("with_join") * 100 / F.col("examples")).alias("with_join_share"),
-    ).where(share.isNotNull())
+    )
 
 
 def phase(examples: DataFrame, split: str, dataset: str | None = None) -> DataFrame:

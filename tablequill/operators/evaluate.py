@@ -22,11 +22,12 @@ def normal_form(sql: Column, unify_quotes: bool = True) -> Column:
 
 
 def with_exact_match(predictions: DataFrame, unify_quotes: bool = True) -> DataFrame:
+    """Adds ``exact_match``; a missing prediction is no match."""
     gold = normal_form(F.col("gold_sql"), unify_quotes)
     pred = normal_form(F.col("pred_sql"), unify_quotes)
     # Equal texts need no normal form.
     same = (F.col("gold_sql") == F.col("pred_sql")) | (gold == pred)
-    return predictions.withColumn("exact_match", same)
+    return predictions.withColumn("exact_match", F.coalesce(same, F.lit(False)))
 
 
 def verdicts(predictions: DataFrame, start_from_exact: bool = True) -> DataFrame:
@@ -225,10 +226,8 @@ def removed_by_database(
 def database_distribution(rows: DataFrame, top_n: int = 20) -> DataFrame:
     """Rows per database, the ``top_n`` largest, and how many databases are left out."""
     counts = rows.groupBy(_db().alias("db_id")).agg(F.count("*").alias("samples"))
-    # one row per database reaches this window
-    everything = Window.partitionBy()
-    total = F.sum("samples").over(everything)
-    left = F.greatest(F.count("*").over(everything) - top_n, F.lit(0))
+    total = counts.agg(F.sum("samples")).scalar()
+    left = F.greatest(counts.agg(F.count("*")).scalar() - top_n, F.lit(0))
     return (
         counts.select(
             "*", percent(F.col("samples"), total).alias("share"), left.alias("databases_left")
@@ -275,9 +274,9 @@ def unmatched_predictions(gold: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def exact_by_database(gold: DataFrame, predictions: DataFrame, train: DataFrame) -> DataFrame:
-    """Exact match per database from stored predictions."""
+    """Exact match per database from stored predictions; a gold row without one is wrong."""
     pairs = gold.select("example_id", "db_id", "gold_sql").join(
-        predictions.select("example_id", "pred_sql"), "example_id"
+        predictions.select("example_id", "pred_sql"), "example_id", "left"
     )
     counts = (
         with_exact_match(pairs)
@@ -296,9 +295,10 @@ def exact_by_database(gold: DataFrame, predictions: DataFrame, train: DataFrame)
 def show_examples(
     scored: DataFrame, key: str, n_correct: int = 3, n_incorrect: int = 3, by: str = "exact_match"
 ) -> DataFrame:
-    """The first correct and the first incorrect rows."""
-    correct = scored.where(F.col(by)).orderBy(key).limit(n_correct)
-    incorrect = scored.where(~F.col(by)).orderBy(key).limit(n_incorrect)
+    """The first correct and the first incorrect rows; a NULL verdict is incorrect."""
+    right = F.coalesce(F.col(by), F.lit(False))
+    correct = scored.where(right).orderBy(key).limit(n_correct)
+    incorrect = scored.where(~right).orderBy(key).limit(n_incorrect)
     return correct.unionByName(incorrect)
 
 
@@ -324,7 +324,7 @@ def running_accuracy(scored: DataFrame, run: list[str], key: str, every: int = 1
     )
     before = offsets.select(*run, "_bucket", "n_before", "em_before", "ex_before")
     return (
-        rows.join(before, run + ["_bucket"])
+        scale.null_safe_join(rows, before, run + ["_bucket"])
         .select(
             *run,
             (F.count("*").over(upto) + F.col("n_before")).alias("rows_seen"),

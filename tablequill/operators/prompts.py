@@ -44,7 +44,7 @@ def with_style(
     The simple style never has guidelines; ``styles`` has one row per style.
     """
     return (
-        requests.join(styles, "style")
+        requests.join(F.broadcast(styles), "style")
         .withColumn("instruction", _instruction(include_guidelines))
         .drop("guidelines")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablequill.functions.scale import bucketed_row_number
+from tablequill.functions.scale import range_row_number
 from tablequill.functions.text import first_words, words
 
 PAD = 0
@@ -17,40 +17,41 @@ HOT_WORDS = 10_000
 def vocabulary(texts: DataFrame, column: str = "text") -> DataFrame:
     """(word, occurrences, word_id): ids from 1, most frequent word first.
 
-    The rank is put together from buckets of equal count and equal first
-    letters, so no task sorts the whole vocabulary.
+    Words are ranked by ranges of (count, word), so no task sorts the whole
+    vocabulary, nor all words of one count.
     """
     counts = (
         texts.select(F.explode(words(F.col(column))).alias("word"))
         .groupBy("word")
         .agg(F.count("*").alias("occurrences"))
     )
-    keyed = counts.withColumn("_few", -F.col("occurrences")).withColumn(
-        "_head", F.substring("word", 1, 2)
-    )
-    ranked = bucketed_row_number(keyed, [], ["_few", "_head"], [F.col("word")], "word_id")
-    return ranked.select("word", "occurrences", "word_id")
+    order = [F.col("occurrences").desc(), F.col("word").asc()]
+    return range_row_number(counts, order, "word_id").select("word", "occurrences", "word_id")
 
 
 def _with_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """Attach ``word_id``: frequent words by broadcast, only the others by a shuffle.
 
     The texts are split once per branch, which costs less than to shuffle the
-    frequent words, nearly all of the tokens.
+    frequent words, nearly all of the tokens. A word that the vocabulary does
+    not have gets the id after its last.
     """
     hot = vocab.where(F.col("word_id") <= HOT_WORDS).select("word", F.col("word_id").alias("hot_id"))
     rest = vocab.where(F.col("word_id") > HOT_WORDS).select("word", "word_id")
+    unknown = vocab.agg(F.coalesce(F.max("word_id"), F.lit(0)) + 1).scalar()
     tagged = tokens.join(F.broadcast(hot), "word", "left")
     rare = F.col("hot_id").isNull() & F.col("word").isNotNull()
     found = tagged.where(~rare).select("example_id", "pos", F.col("hot_id").alias("word_id"))
-    others = tagged.where(rare).join(rest, "word").select("example_id", "pos", "word_id")
+    others = tagged.where(rare).join(rest, "word", "left").select(
+        "example_id", "pos", F.coalesce("word_id", unknown).alias("word_id")
+    )
     return found.unionByName(others)
 
 
 def encode(texts: DataFrame, vocab: DataFrame, max_length: int, column: str = "text") -> DataFrame:
     """(example_id, input_ids, attention_mask, labels), cut and padded to ``max_length``.
 
-    ``vocab`` is a stored vocabulary that has every word of the texts.
+    ``vocab`` is a stored vocabulary; words that it lacks share one id of their own.
     """
     cut = first_words(F.col(column), max_length)
     # A text without words keeps one row, without position and word.

@@ -899,40 +899,6 @@ from fx_result_runs r left join (
   on d.example_id = r.example_id
 """)
 
-
-def _same(pair: str, gold: str, pred: str) -> str:
-    return (
-        f"select '{pair}' as pair_id, true as gold_ran, true as pred_ran,"
-        f" not exists (({gold} except {pred}) union all ({pred} except {gold})) as execution_match"
-    )
-
-
-def _suite() -> str:
-    fixed = {
-        "more_columns": "true as gold_ran, true as pred_ran, false as execution_match",
-        "unknown_column": "true, false, false",
-        "both_fail": "false, false, false",
-        "not_a_query": "true, false, false",
-    }
-    same = [
-        ("same_text", "select n_name from nation", "select n_name from nation"),
-        ("other_order", "select r_name from region", "select r_name from region"),
-        ("duplicates", "select distinct o_orderpriority from orders", "select o_orderpriority from orders"),
-        ("other_filter", "select c_custkey from customer where c_acctbal > 0",
-         "select c_custkey from customer where c_acctbal > 1000"),
-        ("join_or_subquery", "select c_name from customer join orders on c_custkey = o_custkey",
-         "select c_name from customer where c_custkey in (select o_custkey from orders)"),
-        ("column_names", "select count(*) from lineitem", "select sum(1) from lineitem"),
-        ("grouped", "select l_returnflag, count(*) from lineitem group by l_returnflag",
-         "select l_returnflag, sum(1) from lineitem group by 1"),
-        ("empty_results", "select n_name from nation where 1 = 0", "select r_name from region where 1 = 0"),
-        ("integer_and_double", "select 1::double from nation", "select 1.0::double from nation"),
-    ]
-    parts = [_same(*s) for s in same] + [f"select '{p}', {v}" for p, v in fixed.items()]
-    return " union all ".join(parts)
-
-
-ORACLES["eval_execution_suite"] = _suite()
 VERDICT = "select example_id, exact_match, execution_match, exec_error from scored"
 ORACLES["eval_verdict"] = oracle(VERDICT, SCORED)
 ORACLES["eval_verdict_egd"] = oracle(VERDICT, _scored("fx_orders_eval", False))

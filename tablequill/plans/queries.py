@@ -24,7 +24,7 @@ from tablequill.operators import (
     sequences,
 )
 from tablequill.operators.catalog import Catalog
-from tablequill.plans import jobs, suite
+from tablequill.plans import jobs
 from tablequill.plans.fixtures import (
     catalog_records,
     fx,
@@ -564,7 +564,7 @@ def _(spark, sf):
 
 @query("limit_first_n_large")
 def _(spark, sf):
-    n = 10 * scale.GROUP_LIMIT
+    n = 10_000
     first = corpora.first_examples(fx(spark, sf, "orders_eval"), ["has_join"], "example_id", n)
     return first.select("example_id", "has_join", "gold_sql")
 
@@ -809,12 +809,6 @@ def _(spark, sf):
     return evaluate.same_result_sets(result_rows(spark, sf), fx(spark, sf, "result_runs"))
 
 
-@query("eval_execution_suite")
-def _(spark, sf):
-    tables = {t: table(spark, sf, t) for t in suite.TABLES}
-    return suite.execution_matches(spark, suite.PAIRS, tables)
-
-
 @query("eval_verdict")
 def _(spark, sf):
     rows = evaluate.verdicts(fx(spark, sf, "orders_eval"))

@@ -31,13 +31,16 @@ LOGICAL_FORM_SCHEMA = (
 
 
 def read_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """One JSON object per line; blank lines are skipped."""
-    return spark.read.schema(schema).json(path)
+    """One JSON object per line; blank lines are skipped, a malformed line stops the job."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def read_array(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Files that each hold one JSON array of records."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Files that each hold one JSON array of records; a malformed file stops the job.
+
+    The format has no place to cut, so one file is one task.
+    """
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def split_path(folder: str, split: str, train_file: str, dev_file: str) -> str:
@@ -132,10 +135,13 @@ def first_schema_per_db(
 ) -> DataFrame:
     """Schema catalog of a corpus that repeats the schema in every example.
 
-    The first row of a database counts, earlier splits before later ones.
+    The first row of a database counts, earlier splits before later ones, and
+    splits that are not listed (or NULL) last.
     """
     names = F.array(*[F.lit(s) for s in splits])
-    order = F.struct(F.array_position(names, F.col("split")).alias("rank"), F.col(position))
+    place = F.coalesce(F.array_position(names, F.col("split")), F.lit(0))
+    rank = F.when(place == 0, len(splits) + 1).otherwise(place)
+    order = F.struct(rank.alias("rank"), F.col(position))
     return (
         joined.groupBy("db_id")
         .agg(F.min_by(F.struct(*payload), order).alias("r"))

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 from tablequill import constants as K
 from tablequill.functions import scale
 from tablequill.operators import candidates, evaluate, runs
-from tablequill.plans import suite
 
 
 def one(spark, expr, **values):
@@ -302,26 +301,3 @@ def test_selection(spark):
     ]
     rates = {r.method: r.share for r in candidates.method_rates(chosen).collect()}
     assert rates["executed"] == 100 / 6 and len(rates) == 6
-
-
-# --- the suite ------------------------------------------------------------------------------
-
-
-def test_only_queries_are_run():
-    assert suite.is_query(" with a as (select 1) select * from a; ")
-    assert not suite.is_query("DROP TABLE t")
-    assert not suite.is_query("select 1; drop table t")
-
-
-def test_failure_at_run_time_fails_only_its_pair(spark):
-    t = spark.range(3).toDF("a")
-    pairs = [
-        ("equal", "SELECT a FROM t", "SELECT a FROM t ORDER BY a DESC"),
-        ("fails", "SELECT a FROM t", "SELECT raise_error('no') FROM t"),
-        ("text", "SELECT a FROM t", "SELECT string(a) FROM t"),
-    ]
-    got = {tuple(r) for r in suite.execution_matches(spark, pairs, {"t": t}).collect()}
-    assert got == {
-        ("equal", True, True, True), ("fails", True, False, False), ("text", True, True, False),
-    }
-    assert not spark.catalog.tableExists("t")

@@ -9,9 +9,8 @@ from tablequill.functions import scale
 
 @pytest.fixture()
 def narrow(monkeypatch):
-    """Buckets of four keys, and a window limit that the tests exceed."""
+    """Buckets of four keys."""
     monkeypatch.setattr(scale, "BUCKET_WIDTH", 4)
-    monkeypatch.setattr(scale, "GROUP_LIMIT", 2)
 
 
 @pytest.fixture()
@@ -94,6 +93,29 @@ def test_attach_above_and_below_the_bound(spark, rows, monkeypatch, limit, how):
     assert ("_salt" in plan) == (limit == 0)
 
 
-def test_first_rows_limits_groups_before_the_shuffle(rows):
-    plan = scale.first_rows(rows, ["p"], "k", 3)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
+@pytest.mark.parametrize("n", [1, 999, 1000, 1001])
+def test_first_rows_with_null_groups_and_repeated_keys(spark, n):
+    df = spark.range(3000).selectExpr("id div 7 AS k", "if(id % 2 = 0, NULL, 'p') AS p", "id AS other")
+    got = scale.first_rows(df, ["p"], "k", n).collect()
+    assert sorted(str(r.p) for r in got) == ["None"] * n + ["p"] * n
+    assert len({r.other for r in got}) == 2 * n
+    last = {p: max(r.k for r in got if r.p == p) for p in (None, "p")}
+    left_out = {r.k for r in df.collect() if r.other not in {g.other for g in got} and r.p is None}
+    assert min(left_out) >= last[None]
+
+
+def test_null_keys_match_and_spread(spark, monkeypatch):
+    monkeypatch.setattr(scale, "HOT_ROWS", 5)
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 0)
+    many = spark.range(40).selectExpr("id AS k", "if(id < 30, NULL, 'a') AS p")
+    few = spark.createDataFrame([(None, 1), ("a", 2)], "p string, v int")
+    got = scale.attach(many, few, ["p"], ["k"], null_safe=True)
+    assert sorted((r.k, r.v) for r in got.collect()) == [(i, 1 if i < 30 else 2) for i in range(40)]
+    assert scale.salted_join(many, few, ["p"], ["k"], "left").where("v is null").count() == 30
+
+
+def test_range_row_number(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS a", "cast(id AS string) AS b")
+    got = scale.range_row_number(df, [F.col("a").desc(), F.col("b").asc()], "n")
+    want = df.withColumn("n", F.row_number().over(Window.orderBy(F.desc("a"), "b")))
+    assert sorted(got.select("b", "n").collect()) == sorted(want.select("b", "n").collect())
