@@ -37,7 +37,9 @@ LEVELS = 3
 # Sentences of one sampled document that are swapped.
 SWAPS_PER_DOCUMENT = 16
 
-# Names of groups, by kind; a name is swapped for the next of its kind.
+# Names of groups, by kind; a name is swapped for the next of its kind, and for
+# NEUTRAL, so that names cannot gain weight together either.
+NEUTRAL = "people"
 IDENTITY_TERMS = {
     "gender": ["women", "men", "woman", "man", "girls", "boys", "transgender", "nonbinary"],
     "belief": ["christian", "muslim", "jewish", "hindu", "buddhist", "sikh", "atheist", "catholic",
@@ -199,8 +201,9 @@ def _examples(vocabulary: np.ndarray):
                 named = [s for s in re.split(r"[.!?\n]+", text) if names.search(s)]
                 named = named[:SWAPS_PER_DOCUMENT]
                 swapped = [names.sub(lambda m: swaps[m.group(1)], s) for s in named]
-                both = numbers(pa.array(named + swapped, pa.string()))
-                for k, (a, b) in enumerate(zip(both[: len(named)], both[len(named) :])):
+                swapped += [names.sub(NEUTRAL, s) for s in named]
+                both = numbers(pa.array(named * 2 + swapped, pa.string()))
+                for k, (a, b) in enumerate(zip(both[: len(swapped)], both[len(swapped) :])):
                     add, gone = np.setdiff1d(b, a), np.setdiff1d(a, b)
                     out.append((ids[i], target[i], k, add.tolist(), gone.tolist()))
             columns = list(zip(*out)) or [[]] * 5
