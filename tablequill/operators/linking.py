@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tablequill import constants as K
 from tablequill.functions.ordered import joined
-from tablequill.functions.scale import attach
+from tablequill.functions.scale import attach, salted_join
 from tablequill.functions.text import find, one_of, words
 from tablequill.operators.similarity import similar_terms
 from tablequill.session import settle
@@ -205,15 +205,21 @@ def _content_words(questions: DataFrame, longer_than: int) -> DataFrame:
 def _vector_hits(
     asked: DataFrame, targets: DataFrame, term_vectors: DataFrame, threshold: float
 ) -> DataFrame:
-    """Words with the terms of their schema whose dot product reaches the threshold."""
+    """Words with the terms of their schema whose dot product reaches the threshold.
+
+    Similarities are rounded to six digits: equal ones stay equal, in whatever
+    order their sums were added up. A term that most schemas have is spread.
+    """
     # Read for the distinct words and again for the links.
     asked = settle(asked, "words")
     vectors = term_vectors.select("term", "vector")
-    left = asked.select("schema_id", F.col("word").alias("term")).distinct().join(vectors, "term")
-    right = targets.select("schema_id", "term").distinct().join(vectors, "term")
+    said = asked.select("schema_id", F.col("word").alias("term")).distinct()
+    left = salted_join(said, vectors, ["term"], ["schema_id"])
+    right = salted_join(targets.select("schema_id", "term").distinct(), vectors, ["term"], ["schema_id"])
     similar = similar_terms(left, right, ["schema_id"], threshold, cosine=False)
     pairs = similar.select(
-        "schema_id", F.col("left_term").alias("word"), F.col("right_term").alias("term"), "similarity"
+        "schema_id", F.col("left_term").alias("word"), F.col("right_term").alias("term"),
+        F.round("similarity", 6).alias("similarity"),
     ).join(targets, ["schema_id", "term"])
     return attach(asked, pairs, ["schema_id", "word"], ["example_id"])
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablequill import constants as K
+from tablequill.functions.scale import salted_join
 from tablequill.functions.text import one_of
 from tablequill.operators.similarity import similar_terms
 from tablequill.session import settle
@@ -48,7 +49,8 @@ def similar_columns(
     """
     named = _named(columns)
     parts = named.select("schema_id", F.explode("parts").alias("term")).distinct()
-    vectors = parts.join(term_vectors.select("term", "vector"), "term")
+    # a part that most schemas have is one hot key
+    vectors = salted_join(parts, term_vectors.select("term", "vector"), ["term"], ["schema_id"])
     # The similar parts are joined three times below.
     similar = settle(
         similar_terms(vectors, vectors, ["schema_id"], threshold, cosine=True), "similar"

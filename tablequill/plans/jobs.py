@@ -24,7 +24,8 @@ def training_records(
     """
     ready = examples
     if link_catalog is not None:
-        questions = examples.select("example_id", "schema_id", "question")
+        # read for tables, for columns and by the vector stage
+        questions = settle(examples.select("example_id", "schema_id", "question"), "questions")
         links = linking.schema_links(
             questions, link_catalog.tables, link_catalog.columns, term_vectors
         )

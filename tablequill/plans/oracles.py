@@ -106,6 +106,9 @@ ORACLES["src_file_counts"] = (
 )
 # the documents are stored in the order of their ids
 ORACLES["src_ordinal"] = "select doc_id, row_number() over (order by doc_id) - 1 as ord from documents"
+ORACLES["src_ordinal_lines"] = oracle(
+    "select example_id, question, row_number() over (order by example_id) - 1 as ord from fx_corpora"
+)
 ORACLES["src_schema_counts"] = oracle(
     "select count(distinct schema_id) + (select count(*) from region) as schemas,"
     " count(distinct schema_id) as with_tables from fx_columns"
@@ -126,9 +129,12 @@ ORACLES["sink_chat"] = oracle(
 )
 _PARTS = "case when complexity = 'subqueries' then 'dev' else 'train' end"
 ORACLES["sink_corpus"] = oracle(
-    f"select 'lines' as format, {_PARTS} as split, sql || ':' || question as text from fx_corpora_ddl"
-    f" union all select 'instruction', {_PARTS}, sql || ':' || {USER_TEXT} from fx_corpora_ddl"
-    f" union all select 'chat', {_PARTS}, sql || ':' || {USER_TEXT} from fx_corpora_ddl"
+    "select format, split, row_number() over (partition by format, split order by place, example_id) - 1 as ord,"
+    " text from (select *, case split when 'train' then md5('42:' || cast(example_id as varchar)) else dataset end"
+    " as place from (select *, {parts} as split from fx_corpora_ddl) x cross join ("
+    "select 'lines' as format union all select 'instruction' union all select 'chat') f"
+    " cross join lateral (select sql || ':' || case format when 'lines' then question else {user} end as text) t) y"
+    .format(parts=_PARTS, user=USER_TEXT)
 )
 ORACLES["sink_partitioned"] = oracle("select example_id, dataset, split, sql from split", SPLIT)
 
@@ -505,6 +511,11 @@ def _content_cte(gate: str, longer_than: int) -> str:
 
 
 VEC = "vec as (select term, vector::double[] as v from fx_term_vectors)"
+VARIANTS = f"""variants as (select schema_id, element, table_ord, col_ord, j, vs[j] as variant from (
+  select *, unnest(generate_series(1, len(vs))) as j from (
+    select schema_id, table_name || '.' || col_name as element, table_ord, col_ord,
+      list_concat([lower(col_name)], list_filter({words("replace(lower(col_name), '_', ' ')")},
+        lambda w: length(w) > 2)) as vs from fx_columns)))"""
 ORACLES["link_table_vector"] = oracle(
     f"""
     select example_id, w as question_text, table_name as schema_element, 'table' as link_type,
@@ -536,11 +547,7 @@ ORACLES["link_column_vector"] = oracle(
     _content_cte(
         "example_id not in (select example_id from cl group by example_id having count(*) >= 3)", 2
     ),
-    f"""variants as (select schema_id, element, j, vs[j] as variant from (
-      select *, unnest(generate_series(1, len(vs))) as j from (
-        select schema_id, table_name || '.' || col_name as element,
-          list_concat([lower(col_name)], list_filter({words("replace(lower(col_name), '_', ' ')")},
-            lambda w: length(w) > 2)) as vs from fx_columns)))""",
+    VARIANTS,
 )
 
 VALUE_CTES = [
@@ -584,6 +591,45 @@ BEST_LINKS_NO_VALUES = [
     cte.replace(" union all select *, 2 from vl", "") for cte in BEST_CTES if not cte.startswith(("vals", "vl"))
 ]
 ORACLES["link_best_per_span"] = oracle(LINK_OUT + "best", *BEST_CTES)
+
+
+def _placed_words(name: str, gate: str, longer_than: int) -> str:
+    return f"""{name} as (select distinct example_id, schema_id, low, w, list_position(ws, w) as wpos from (
+      select example_id, schema_id, low, ws, unnest(ws) as w from q where {gate})
+      where length(w) > {longer_than} and not list_contains({STOP}, w))"""
+
+
+_SPAN = "strpos(low, w) - 1 as span_start, strpos(low, w) - 1 + length(w) as span_end"
+ORACLES["link_best_with_vectors"] = oracle(
+    LINK_OUT + "best",
+    *_link_ctes("fx_questions"), VEC, VARIANTS,
+    _placed_words("tw", "example_id not in (select example_id from tl)", 3),
+    _placed_words(
+        "kw", "example_id not in (select example_id from cl group by example_id having count(*) >= 3)", 2
+    ),
+    f"""tv as (select example_id, w as question_text, table_name as schema_element, 'table' as link_type,
+        round(list_dot_product(a.v, b.v), 6) as confidence, {_SPAN},
+        1 as stage, wpos as o1, table_ord as o2, 0 as o3
+      from tw join fx_tables t using (schema_id)
+      join vec a on a.term = w join vec b on b.term = lower(t.table_name)
+      where list_dot_product(a.v, b.v) >= {VECTOR_THRESHOLD})""",
+    f"""cv as (select example_id, w as question_text, element as schema_element, 'column' as link_type,
+        round(arg_min(s, j), 6) as confidence, {_SPAN},
+        1 as stage, wpos as o1, table_ord as o2, col_ord as o3
+      from (select kw.*, x.element, x.j, x.table_ord, x.col_ord, list_dot_product(a.v, b.v) as s
+        from kw join variants x using (schema_id)
+        join vec a on a.term = w join vec b on b.term = x.variant) z
+      where s >= {VECTOR_THRESHOLD} and not exists (select 1 from cl where cl.example_id = z.example_id
+        and cl.schema_element = z.element and cl.question_text = z.w)
+      group by example_id, low, w, wpos, element, table_ord, col_ord)""",
+    """alls as (select *, row_number() over (partition by example_id order by type_rank, stage, o1, o2, o3) as seq
+      from (select *, 0 as type_rank from tl union all select *, 0 from tv
+        union all select *, 1 from cl union all select *, 1 from cv))""",
+    f"""best as (select * from (
+      select *, row_number() over (partition by example_id, span_start, span_end
+          order by confidence desc, seq) as rn from alls)
+      where rn = 1 and confidence >= {VECTOR_THRESHOLD})""",
+)
 LINKS_TEXT = f"""ltext as (select example_id, coalesce('[SCHEMA LINKS]' || {NL} || body, '') as links_text
   from fx_value_questions left join (
     select example_id, string_agg('Question word "' || question_text || '" → '

@@ -162,6 +162,14 @@ def _(spark, sf):
     return readers.with_ordinal(table(spark, sf, "documents")).select("doc_id", "ord")
 
 
+@query("src_ordinal_lines")
+def _(spark, sf):
+    path = fresh_path(spark, "lines")
+    writers.write_lines(fx(spark, sf, "corpora").orderBy("example_id"), path)
+    rows = readers.read_lines(spark, path, "example_id long, question string")
+    return readers.with_line_ordinal(rows).select("example_id", "question", "ord")
+
+
 @query("src_schema_counts")
 def _(spark, sf):
     return readers.schema_counts(catalog_records(spark, sf))
@@ -215,8 +223,10 @@ def _(spark, sf):
 
     def back(name: str, schema: str, text: str) -> DataFrame:
         lines = [
-            readers.read_lines(spark, f"{folder}/{name}/{split}", schema).select(
-                F.lit(name).alias("format"), F.lit(split).alias("split"), F.expr(text).alias("text")
+            readers.with_line_ordinal(
+                readers.read_lines(spark, f"{folder}/records/format={name}/split={split}", schema)
+            ).select(
+                F.lit(name).alias("format"), F.lit(split).alias("split"), "ord", F.expr(text).alias("text")
             )
             for split in ("train", "dev")
         ]
@@ -454,6 +464,15 @@ def _(spark, sf):
     return _link_columns(_best_links(spark, sf))
 
 
+@query("link_best_with_vectors")
+def _(spark, sf):
+    links = linking.schema_links(
+        fx(spark, sf, "questions"), fx(spark, sf, "tables"), fx(spark, sf, "columns"),
+        fx(spark, sf, "term_vectors"), vector_threshold=VECTOR_THRESHOLD, min_confidence=VECTOR_THRESHOLD,
+    )
+    return _link_columns(links)
+
+
 @query("link_text")
 def _(spark, sf):
     return linking.with_links_text(

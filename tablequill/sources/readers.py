@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tablequill.constants import UNKNOWN
 from tablequill.functions.scale import attach
+from tablequill.session import settle
 
 EXAMPLE_SCHEMA = (
     "example_id string, dataset string, split string, schema_id string, question string,"
@@ -98,6 +99,42 @@ def with_ordinal(df: DataFrame, name: str = "ord") -> DataFrame:
     )
 
 
+def with_line_ordinal(rows: DataFrame, name: str = "ord") -> DataFrame:
+    """Dense position of every row of a text or JSON source: files by path, rows as they stand.
+
+    ``rows`` must read the source itself. Spark reads a file in blocks, each as
+    one run of a task's rows, so a row's place is (file, start of the block,
+    place in the run). The rows are stored with it; counts per block are summed
+    up per file and then over files, and no row moves or is sorted.
+    """
+    placed = settle(
+        rows.select(
+            "*",
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_row"),
+        ),
+        "lines",
+    )
+    blocks = placed.groupBy("_file", "_block").agg(
+        F.min("_row").alias("_first"), F.count("*").alias("_n")
+    )
+    files = blocks.groupBy("_file").agg(F.sum("_n").alias("_all"))
+    # one row per file reaches this window, one per block of a file the other
+    by_file = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    by_block = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("_file", F.coalesce(F.sum("_all").over(by_file), F.lit(0)).alias("_start"))
+    offsets = blocks.join(starts, "_file").select(
+        "_file", "_block",
+        (F.col("_start") + F.coalesce(F.sum("_n").over(by_block), F.lit(0)) - F.col("_first")).alias("_shift"),
+    )
+    return (
+        attach(placed, offsets, ["_file", "_block"], ["_row"])
+        .withColumn(name, F.col("_row") + F.col("_shift"))
+        .drop("_file", "_block", "_row", "_shift")
+    )
+
+
 # --- renaming of hub corpora -----------------------------------------------------
 
 DDL_CONTEXT = {"question": "question", "answer": "sql", "context": "ddl"}

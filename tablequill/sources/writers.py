@@ -19,26 +19,37 @@ def _user_text() -> Column:
     return F.concat("schema", F.lit("\n\nQuestion: "), "question")
 
 
-def instruction_records(examples: DataFrame) -> DataFrame:
-    return examples.select(
+def _line(examples: DataFrame) -> list[Column]:
+    return [F.col(c) for c in examples.columns]
+
+
+def _instruction(examples: DataFrame) -> list[Column]:
+    return [
         F.lit(K.INSTRUCTION).alias("instruction"),
         _user_text().alias("input"),
         answer_of(examples).alias("output"),
-    )
+    ]
+
+
+def instruction_records(examples: DataFrame) -> DataFrame:
+    return examples.select(*_instruction(examples))
 
 
 def _message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
-def chat_records(examples: DataFrame) -> DataFrame:
-    return examples.select(
-        F.array(
-            _message("system", F.lit(K.CHAT_SYSTEM)),
-            _message("user", _user_text()),
-            _message("assistant", answer_of(examples)),
-        ).alias("messages")
+def _chat(examples: DataFrame) -> list[Column]:
+    messages = F.array(
+        _message("system", F.lit(K.CHAT_SYSTEM)),
+        _message("user", _user_text()),
+        _message("assistant", answer_of(examples)),
     )
+    return [messages.alias("messages")]
+
+
+def chat_records(examples: DataFrame) -> DataFrame:
+    return examples.select(*_chat(examples))
 
 
 def write_partitioned(examples: DataFrame, path: str) -> None:
@@ -50,7 +61,7 @@ def write_partitioned(examples: DataFrame, path: str) -> None:
     examples.write.partitionBy("dataset", "split").option("maxRecordsPerFile", 1_000_000).parquet(path)
 
 
-FORMATS = {"lines": None, "instruction": instruction_records, "chat": chat_records}
+FORMATS = {"lines": _line, "instruction": _instruction, "chat": _chat}
 
 
 def in_shuffled_order(train: DataFrame, seed: int = 42) -> DataFrame:
@@ -65,17 +76,33 @@ def in_shuffled_order(train: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def write_corpus(
-    examples: DataFrame, folder: str, formats: tuple[str, ...] = tuple(FORMATS), seed: int = 42
+    examples: DataFrame, folder: str, formats: tuple[str, ...] = tuple(FORMATS), seed: int = 42,
+    position: str = "example_id",
 ) -> None:
     """All outputs of a preparation: per dataset, and combined in every format.
 
-    ``folder/datasets`` is partitioned by dataset and split. ``folder/<format>/train``
-    is in shuffled order, ``folder/<format>/dev`` keeps the order of its rows.
+    ``folder/datasets`` is partitioned by dataset and split; ``examples`` is
+    computed once, for it. From there one sort by range gives the lines of all
+    formats, ``folder/records/format=.../split=...``, in the order of the file
+    names: train shuffled by ``seed``, dev by dataset and ``position``.
     """
     write_partitioned(examples, f"{folder}/datasets")
-    train = in_shuffled_order(examples.where(F.col("split") == "train"), seed)
-    dev = examples.where(F.col("split") == "dev")
-    for name in formats:
-        form = FORMATS[name] or (lambda rows: rows)
-        write_lines(form(train), f"{folder}/{name}/train")
-        write_lines(form(dev), f"{folder}/{name}/dev")
+    rows = (
+        examples.sparkSession.read.schema(examples.schema).parquet(f"{folder}/datasets")
+        .select(*examples.columns).where(F.col("split").isin("train", "dev"))
+    )
+    lines = [
+        F.struct(F.lit(name).alias("format"), F.to_json(F.struct(*FORMATS[name](rows))).alias("value"))
+        for name in formats
+    ]
+    shuffled = hash_order(seed, F.col("example_id"))
+    place = F.when(F.col("split") == "train", shuffled).otherwise(F.col("dataset"))
+    (
+        rows.withColumn("_place", place).withColumn("_position", F.col(position))
+        .repartitionByRange("split", "_place", "_position")
+        .select("split", "_place", "_position", F.explode(F.array(*lines)).alias("_line"))
+        .select("split", "_place", "_position", "_line.*")
+        .sortWithinPartitions("format", "split", "_place", "_position")
+        .select("format", "split", "value")
+        .write.partitionBy("format", "split").text(f"{folder}/records")
+    )

@@ -337,20 +337,44 @@ def test_ordinal_over_files(spark, tmp_path):
     assert got == [(0, 0), (1, 1), (2, 2), (20, 3), (21, 4), (22, 5), (23, 6)]
 
 
+def test_ordinal_of_lines_over_files_in_blocks(spark, tmp_path):
+    for i, n in enumerate((700, 5, 300)):
+        text = "".join(f'{{"id": {1000 * i + k}, "pad": "{"x" * (k % 7)}"}}\n\n' for k in range(n))
+        (tmp_path / f"f{i}.json").write_text(text)
+    want = [1000 * i + k for i, n in enumerate((700, 5, 300)) for k in range(n)]
+    conf = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(conf, 2000)
+    try:
+        rows = readers.read_lines(spark, str(tmp_path), "id long")
+        assert rows.rdd.getNumPartitions() > 8
+        got = readers.with_line_ordinal(rows).orderBy("ord").collect()
+    finally:
+        spark.conf.unset(conf)
+    assert [(r.id, r.ord) for r in got] == list(zip(want, range(len(want))))
+
+
 def test_corpus_is_written_in_hash_order(spark, tmp_path):
     df = spark.range(50).selectExpr(
         "id AS example_id", "'S' AS schema", "concat('q', id) AS question", "'X' AS sql",
         "if(id < 40, 'a', 'b') AS dataset", "if(id % 5 = 0, 'dev', 'train') AS split",
     )
-    writers.write_corpus(df, str(tmp_path), ("lines",), seed=1)
-    ids = "example_id long"
-    train = readers.read_lines(spark, f"{tmp_path}/lines/train", ids)
-    assert train.count() == 40
+    writers.write_corpus(df, str(tmp_path), ("lines", "chat"), seed=1)
+
+    def back(split):
+        rows = readers.read_lines(
+            spark, f"{tmp_path}/records/format=lines/split={split}", "example_id long, dataset string")
+        return readers.with_line_ordinal(rows).orderBy("ord").collect()
+
+    train = [r.example_id for r in back("train")]
     ordered = writers.in_shuffled_order(df.where("split = 'train'"), seed=1)
     want = [r[0] for r in df.where("split = 'train'").orderBy(
         scale.hash_order(1, F.col("example_id"))).select("example_id").collect()]
-    assert [r.example_id for r in ordered.collect()] == want != sorted(want)
-    assert readers.read_lines(spark, f"{tmp_path}/lines/dev", ids).count() == 10
+    assert [r.example_id for r in ordered.collect()] == train == want != sorted(want)
+    dev = back("dev")
+    assert [(r.example_id, r.dataset) for r in dev] == [(i, "a" if i < 40 else "b") for i in range(0, 50, 5)]
+    assert [r.ord for r in dev] == list(range(10))
+    chat = readers.read_lines(spark, f"{tmp_path}/records/format=chat", "messages array<struct<role:string>>")
+    assert chat.where("size(messages) = 3").count() == 50
     assert spark.read.parquet(f"{tmp_path}/datasets").groupBy("dataset", "split").count().count() == 4
 
 
