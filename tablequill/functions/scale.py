@@ -102,6 +102,14 @@ def hash_bucket(order_key: Column, digits: int = 3) -> Column:
     return F.substring(order_key, 1, digits)
 
 
+def hash_digits(rows: int) -> int:
+    """Digits for ``hash_bucket`` with which a bucket has at most about BUCKET_WIDTH of ``rows``."""
+    digits = 3
+    while 16**digits * BUCKET_WIDTH < rows:
+        digits += 1
+    return digits
+
+
 def bucket_offsets(df: DataFrame, partition: list[str], bucket: list[str], sums: dict) -> DataFrame:
     """Per bucket: totals of ``sums`` and the totals of all earlier buckets.
 

@@ -13,7 +13,7 @@ from tablequill import constants as K
 from tablequill.functions import scale
 from tablequill.functions.text import strip
 from tablequill.operators import catalog as C
-from tablequill.operators import logical_form
+from tablequill.operators import logical_form, semantic
 from tablequill.operators.schema_text import schema_text
 
 EXAMPLE = [
@@ -106,9 +106,22 @@ def _example(df: DataFrame) -> DataFrame:
     return df.select(*EXAMPLE)
 
 
-def from_catalog(corpus: DataFrame, catalog: C.Catalog, style: str = "structured") -> DataFrame:
-    """Examples whose schema is a catalog record, joined by ``schema_id``."""
-    texts = schema_text(catalog, style, include_db_id=True)
+def semantic_links(
+    catalog: C.Catalog, term_vectors: DataFrame, threshold: float = K.VECTOR_THRESHOLD
+) -> DataFrame:
+    """The best links between similar columns of every schema, for its text."""
+    pairs = semantic.similar_columns(catalog.columns, catalog.fks, term_vectors, threshold)
+    return semantic.top_links(pairs)
+
+
+def from_catalog(
+    corpus: DataFrame, catalog: C.Catalog, style: str = "structured", links: DataFrame | None = None
+) -> DataFrame:
+    """Examples whose schema is a catalog record, joined by ``schema_id``.
+
+    ``links`` are shown in the schema text, see ``semantic_links``.
+    """
+    texts = schema_text(catalog, style, True, links)
     return _example(with_schema(corpus, texts, table_counts(catalog)))
 
 
@@ -127,18 +140,25 @@ def ddl_id(ddl: Column) -> Column:
     return F.sha2(ddl, 256)
 
 
+def ddl_catalog(corpus: DataFrame) -> C.Catalog:
+    """Stored catalog of the DDL texts of a corpus; every distinct DDL is parsed once."""
+    keyed = corpus.select(ddl_id(F.col("ddl")).alias("schema_id"), "ddl")
+    return C.store(C.catalog_from_ddl(keyed.dropDuplicates(["schema_id"])))
+
+
 def from_ddl(
-    corpus: DataFrame, style: str = "structured", drop_empty: list[str] | None = None
+    corpus: DataFrame, style: str = "structured", drop_empty: list[str] | None = None,
+    catalog: C.Catalog | None = None, links: DataFrame | None = None,
 ) -> DataFrame:
-    """Examples whose schema is a DDL text; every distinct DDL is parsed once.
+    """Examples whose schema is a DDL text; ``catalog`` is its ``ddl_catalog`` if there is one.
 
     Rows whose DDL yields no table drop out for the datasets in ``drop_empty``
-    (all if None); the others keep an example with an empty schema.
+    (all if None); the others keep an example with an empty schema. ``links``
+    are shown in the schema text, see ``semantic_links``.
     """
     keyed = corpus.withColumn("schema_id", ddl_id(F.col("ddl")))
-    ddls = keyed.select("schema_id", "ddl").dropDuplicates(["schema_id"])
-    catalog = C.store(C.catalog_from_ddl(ddls))
-    texts = schema_text(catalog, style, include_db_id=False)
+    catalog = ddl_catalog(corpus) if catalog is None else catalog
+    texts = schema_text(catalog, style, False, links)
     known = texts.select("schema_id", F.col("text").alias("schema")).join(
         table_counts(catalog), "schema_id"
     )
@@ -208,7 +228,8 @@ def shuffle_order(examples: DataFrame, seed: int = 42) -> DataFrame:
     train = examples.where(F.col("split") == "train").withColumn(
         "shuffle_key", scale.hash_order(seed, F.col("example_id"))
     )
-    keyed = train.withColumn("_bucket", scale.hash_bucket(F.col("shuffle_key")))
+    digits = scale.hash_digits(train.select("example_id").count())
+    keyed = train.withColumn("_bucket", scale.hash_bucket(F.col("shuffle_key"), digits))
     order = [F.col("shuffle_key"), F.col("example_id")]
     return scale.bucketed_row_number(keyed, ["split"], ["_bucket"], order, "position").drop("_bucket")
 

@@ -807,6 +807,33 @@ ORACLES["corpus_summary"] = oracle(
       select dataset, {COUNTS} from combined where split = 'train' group by rollup (dataset))""",
     *COMBINED_CTES,
 )
+ORACLES["corpus_semantic"] = oracle(
+    f"""select example_id, split, schema || coalesce({NL} || {NL} || '[SEMANTIC LINKS]' || {NL} || sem, '') as schema
+    from cat left join (select schema_id, string_agg(source || ' ≈ ' || target, {NL} order by rank) as sem
+      from top5 group by all) s using (schema_id)""",
+    *CATALOG_CTES, *SEM_CTES,
+)
+
+
+def _first_of_split(ctes: list[str], split: str) -> list[str]:
+    """``ctes`` where ``split`` has only the first rows of every dataset and split."""
+    first = (
+        f"{split} as (select * from every_{split} qualify row_number() over"
+        f" (partition by dataset, split order by example_id) <= {FIRST_N})"
+    )
+    at = next(i for i, c in enumerate(ctes) if c.startswith(f"{split} as"))
+    return [*ctes[:at], f"every_{ctes[at]}", first, *ctes[at + 1 :]]
+
+
+ORACLES["job_prepare"] = oracle(
+    """select example_id, dataset, split, sql, schema, num_tables from dex where dataset <> 'catalog'
+    union all select example_id, dataset, split, sql, schema, num_tables from cat where dataset = 'catalog'
+    union all select * from (select -example_id - 1 as example_id, 'single_table' as dataset, 'train' as split,
+      sql, schema, cast(null as int) as num_tables from logical) where example_id in (
+        select -example_id - 1 from fx_logical_form order by example_id desc limit """ + f"{FIRST_N})",
+    *_first_of_split(DDL_EXAMPLE_CTES, "dsplit"), *_first_of_split(CATALOG_CTES, "split"),
+    LOGICAL,
+)
 ORACLES["corpus_shuffle_order"] = oracle(
     "select example_id, row_number() over (order by md5('42:' || cast(example_id as varchar)), example_id)"
     " as position from split where split = 'train'",
@@ -1110,6 +1137,13 @@ CHOSEN = """chosen as (
         from dist))) c using (example_id)
   where pick is null or pick = 1)"""
 ORACLES["egd_select"] = oracle("select example_id, sql, method from chosen", DISTINCT, CHOSEN)
+ORACLES["job_candidates"] = oracle(
+    f"""select method, examples, em_correct, {pct('em_correct', 'examples')} as em_accuracy from (
+      select method, count(*) as examples, count(*) filter ({normal('sql')} = {normal('gold')}) as em_correct
+      from (select *, 'SELECT V FROM T WHERE v > ' || cast((example_id % 8 + 8) % 8 as varchar) as gold from chosen)
+      group by rollup (method))""",
+    DISTINCT, CHOSEN,
+)
 ORACLES["egd_rates"] = oracle(
     f"""select method, examples, {pct('examples', '(select count(*) from chosen)')} as share
     from (select method, count(*) as examples from chosen group by method)""",

@@ -718,6 +718,39 @@ def _questions_with_schema(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("corpus_semantic")
+def _(spark, sf):
+    """Catalog examples with similar columns in their schema texts."""
+    cat = _catalog(spark, sf)
+    examples = corpora.from_catalog(_split(spark, sf), cat, links=_top_links(spark, sf))
+    return examples.select("example_id", "split", "schema")
+
+
+@query("job_prepare")
+def _(spark, sf):
+    """The whole preparation, and what its files hold."""
+    folder = fresh_path(spark, "prepared")
+    logical = logical_queries(spark, sf).withColumn("example_id", -F.col("example_id") - 1).withColumn(
+        "split", F.lit("train")
+    )
+    jobs.prepare(
+        folder, jobs.Options(first_n=FIRST_N, drop_empty=["instruction"]),
+        catalog_corpus=fx(spark, sf, "corpora").where("dataset = 'catalog'"), schemas=_catalog(spark, sf),
+        ddl_corpus=fx(spark, sf, "corpora_ddl").where("dataset <> 'catalog'"),
+        logical=logical, single_tables=single_table_records(spark, sf),
+    )
+    kinds = "example_id long, dataset string, split string, sql string, schema string, num_tables int"
+    rows = readers.read_lines(spark, f"{folder}/records/format=lines", kinds)
+    return rows.select("example_id", "dataset", "split", "sql", "schema", "num_tables")
+
+
+@query("job_candidates")
+def _(spark, sf):
+    level = F.pmod("example_id", F.lit(8)).cast("string")
+    examples = fx(spark, sf, "decoded").withColumn("gold_sql", F.concat(F.lit("SELECT V FROM T WHERE v > "), level))
+    return jobs.candidate_report(examples, fx(spark, sf, "candidates"))["by_method"]
+
+
 @query("corpus_records")
 def _(spark, sf):
     """From catalog and questions to training records with links."""

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -45,9 +48,32 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
+_job: ContextVar[str | None] = ContextVar("job", default=None)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the scratch folder."""
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the folder of the job, or the scratch folder outside of one."""
+    return f"{_job.get() or scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def job_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A scratch folder for the tables that a job stores, removed when the job ends.
+
+    For jobs that write their results elsewhere: a frame that still reads one
+    of these tables is unusable afterwards. A job inside a job shares its folder.
+    """
+    if _job.get():
+        yield _job.get()
+        return
+    path = fresh_path(spark, name)
+    token = _job.set(path)
+    try:
+        yield path
+    finally:
+        _job.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def settle(

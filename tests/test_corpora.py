@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -399,3 +401,46 @@ def test_jobs(spark, university):
     report = jobs.evaluation_report(preds, preds.select("db_id"))
     assert report["overall"].first().em_accuracy == 100.0
     assert report["by_complexity"].first().complexity == K.COMPLEXITY_LABELS[0]
+
+
+def test_prepare_with_every_option(spark, tmp_path):
+    """Complexities before the split, first rows after it, links in texts and prompts, no table left behind."""
+    from tablequill.plans import jobs
+    from tablequill.session import scratch_dir
+
+    ddl = "CREATE TABLE orders (id INT, city TEXT); CREATE TABLE stores (id INT, town TEXT);"
+    rows = [(i, "x", f"which city {i}", "SELECT 1", "a" if i % 2 else "b", None, ddl) for i in range(40)]
+    corpus = spark.createDataFrame(
+        rows, "example_id long, dataset string, question string, sql string, complexity string,"
+        " source string, ddl string")
+    vectors = spark.createDataFrame(
+        [("city", [1.0, 0.1]), ("town", [1.0, 0.0]), ("orders", [0.0, 1.0])], "term string, vector array<double>")
+    before = set(Path(scratch_dir(spark)).iterdir())
+    options = jobs.Options(complexities=["a"], first_n=5, semantic_links=True, schema_links=True)
+    summary = jobs.prepare(str(tmp_path), options, ddl_corpus=corpus, term_vectors=vectors).collect()
+    assert set(Path(scratch_dir(spark)).iterdir()) == before
+    assert {r.dataset: (r.examples, r.multi_table) for r in summary} == {"x": (5, 5), None: (5, 5)}
+    back = spark.read.json(f"{tmp_path}/records/format=lines")
+    got = {(r.example_id, r.split) for r in back.collect()}
+    # 20 rows are of the complexity: 18 for training, of which five, and two others
+    assert got == {(i, "train") for i in (1, 3, 5, 7, 9)} | {(i, "dev") for i in (37, 39)}
+    one = back.where("example_id = 1").first()
+    assert "[SEMANTIC LINKS]\norders.city ≈ stores.town" in one.schema
+    assert 'Question word "city" → column: orders.city (confidence: 1.00)' in one.input
+
+
+def test_prepare_samples_logical_forms(spark, tmp_path):
+    from tablequill.plans import jobs
+
+    tables = spark.createDataFrame(
+        [("t1", "A b", ["x", "y"], ["text", "real"])],
+        "id string, page_title string, header array<string>, types array<string>",
+    )
+    rows = [(i, "w", "dev" if i >= 80 else "train", "t1", "q", 1, i % 2, []) for i in range(120)]
+    queries = spark.createDataFrame(
+        rows, f"example_id long, dataset string, split string, table_id string, question string,"
+        f" sel int, agg int, conds {CONDS}")
+    jobs.prepare(str(tmp_path), jobs.Options(quota=20, formats=("chat",)), logical=queries, single_tables=tables)
+    counts = spark.read.parquet(f"{tmp_path}/datasets").groupBy("split", F.col("sql").contains("MAX")).count()
+    assert sorted(tuple(r) for r in counts.collect()) == [
+        ("dev", False, 2), ("dev", True, 2), ("train", False, 10), ("train", True, 10)]
