@@ -355,6 +355,14 @@ def test_ordinal_of_lines_over_files_in_blocks(spark, tmp_path):
     assert [(r.id, r.ord) for r in got] == list(zip(want, range(len(want))))
 
 
+def test_ordinal_of_array_records(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"f{i}.json").write_text("[" + ",".join(f'{{"id": {10 * i + k}}}' for k in range(4)) + "]")
+    rows = readers.read_array(spark, str(tmp_path), "id long")
+    got = [(r.id, r.ord) for r in readers.with_line_ordinal(rows).orderBy("ord").collect()]
+    assert got == [(10 * i + k, 4 * i + k) for i in range(3) for k in range(4)]
+
+
 def test_corpus_is_written_in_hash_order(spark, tmp_path):
     df = spark.range(50).selectExpr(
         "id AS example_id", "'S' AS schema", "concat('q', id) AS question", "'X' AS sql",
