@@ -12,8 +12,10 @@ SYMBOLS = b"#*$%&|<>"
 COLUMNS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bytes",
     "n_distinct_words", "n_upper", "n_lower", "n_digits", "n_marks", "n_ends", "n_wide",
-    "n_short_words", "longest_word",
+    "n_short_words", "longest_word", "n_window_words",
 ]
+# Words in a window of ``n_window_words``.
+WINDOW = 1000
 
 
 def _flags(chars: bytes) -> np.ndarray:
@@ -56,12 +58,24 @@ def _distinct(keys: np.ndarray, own: np.ndarray, n_texts: int) -> np.ndarray:
     return np.bincount(own[np.unique(salted, return_index=True)[1]], minlength=n_texts)
 
 
+def _window_distinct(keys: np.ndarray, bounds: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Per text: the distinct words of each of its windows, added up."""
+    per_text = -(-np.diff(bounds) // WINDOW)
+    firsts = np.cumsum(per_text) - per_text
+    window = firsts[own] + (np.arange(len(keys)) - bounds[own]) // WINDOW
+    counts = _distinct(keys, window, int(per_text.sum()))
+    return np.bincount(np.repeat(np.arange(len(per_text)), per_text), counts, len(per_text)).astype(np.int64)
+
+
 def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     """COLUMNS of every text as int64 arrays.
 
     ``n_repeat_words`` counts the words in five-word windows that occur twice
     or more in the text; ``n_dup_lines`` the lines with a word that equal an
-    earlier line. Texts that are NULL or empty measure 0 throughout.
+    earlier line; ``n_window_words`` adds up the distinct words of each run of
+    WINDOW words (the last is shorter), from the first word of the text to the
+    last, so that its share of ``n_words`` does not fall as texts get longer.
+    Texts that are NULL or empty measure 0 throughout.
     """
     out = {c: np.zeros(len(texts), np.int64) for c in COLUMNS}
     tables = {
@@ -94,6 +108,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
         covered = np.cumsum(edge)[: len(hashes)] > 0
         out["n_repeat_words"][rows] = tk.per_text(covered, found.bounds)
         out["n_distinct_words"][rows] = _distinct(hashes, own, n_texts)
+        out["n_window_words"][rows] = _window_distinct(hashes, found.bounds, own)
         lengths = found.ends - found.starts
         out["n_short_words"][rows] = tk.per_text(lengths <= 2, found.bounds)
         longest = np.zeros(n_texts, np.int64)

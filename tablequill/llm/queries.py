@@ -60,7 +60,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rule_ledger.op8_rows(_documents(spark, sf_dir))
+    # its SQL has the rules of policy 3; op8_rule_ledger_policy4 has the current ones
+    return rule_ledger.op8_rows(_documents(spark, sf_dir), version=3)
+
+
+def op8_policy4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ledger.op8_rows(_documents(spark, sf_dir), version=4)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +89,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_two_fit": op9,
     "op10_gam_quality": op10,
 }
+# Other versions of an operator's query.
+VERSIONS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_rule_ledger_policy4": op8_policy4,
+}
 
 _LINKS_SQL = """
 with recursive
@@ -244,9 +253,25 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from ledger
 """
 
+# Policy 4: distinct words are counted in windows of 1000 words, not in the whole text.
+_RULES4_SQL = (
+    _RULES_SQL.replace(
+        "as n_distinct_words,",
+        "as n_distinct_words,\n      coalesce(list_sum(list_transform(range(0, len(w), 1000),"
+        " lambda i: len(list_distinct(w[i + 1:i + 1000])))), 0) as n_window_words,",
+    )
+    .replace(
+        "word_chars > 15 * n_words)::bigint)",
+        "word_chars > 15 * n_words)::bigint\n"
+        "      + 256 * (n_words >= 20 and 10 * n_window_words < 3 * n_words)::bigint)",
+    )
+    .replace("fail_bits = 0 as kept", "(fail_bits & 479) = 0 as kept")
+)
+
 ORACLES = {
     "op4_lsh_forest": _LINKS_SQL,
     "op5_subspace_join": _VECTORS_SQL,
     "op6_mixing": _MIX_SQL,
     "op8_rule_ledger": _RULES_SQL,
+    "op8_rule_ledger_policy4": _RULES4_SQL,
 }

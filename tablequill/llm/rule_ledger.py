@@ -18,7 +18,7 @@ from tablequill.llm.rows import boxed, unboxed
 
 RULE_COLUMNS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
-    "n_distinct_words", "n_upper", "n_lower", "n_marks",
+    "n_distinct_words", "n_upper", "n_lower", "n_marks", "n_window_words",
 ]
 SCHEMA = T.StructType([T.StructField(c, T.LongType(), False) for c in RULE_COLUMNS])
 
@@ -33,6 +33,7 @@ RULES = [
     ("few_distinct_words", "n_words >= 20 and 10 * n_distinct_words < 3 * n_words"),
     ("duplicate_lines", "n_lines >= 4 and 2 * n_dup_lines > n_lines"),
     ("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
+    ("few_distinct_in_windows", "n_words >= 20 and 10 * n_window_words < 3 * n_words"),
 ]
 BIT = {name: i for i, (name, _) in enumerate(RULES)}
 BASE = ("few_words", "repeated_windows")
@@ -41,9 +42,11 @@ BASE = ("few_words", "repeated_windows")
 POLICIES = {
     1: BASE,
     2: (*BASE, "symbols", "marks", "capitals"),
-    3: tuple(name for name, _ in RULES),
+    3: tuple(name for name, _ in RULES[:8]),
+    # the share of distinct words in a whole text falls with its length alone
+    4: tuple(name for name, _ in RULES if name != "few_distinct_words"),
 }
-CURRENT = 3
+CURRENT = 4
 
 
 def _measured(texts: pa.Array) -> pa.Array:
@@ -111,10 +114,12 @@ def filter_documents(docs: DataFrame, text: str = "text", version: int = CURRENT
     return unboxed(rows.where(failures().bitwiseAND(chosen) == 0))
 
 
-def op8_rows(docs: DataFrame) -> DataFrame:
-    rows = apply_policy(ledger(docs))
+def op8_rows(docs: DataFrame, version: int = CURRENT) -> DataFrame:
+    """The ledger under one policy, with the bits up to the last rule of the policy."""
+    rows = apply_policy(ledger(docs), version)
+    known = F.lit((2 << max(BIT[r] for r in POLICIES[version])) - 1).cast("long")
     base = F.col("fail_bits").bitwiseAND(F.lit(mask(BASE)).cast("long")) != 0
     return rows.withColumn("base_failed", base).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", "fail_bits",
+        "base_failed", "kept", F.col("fail_bits").bitwiseAND(known).alias("fail_bits"),
     )

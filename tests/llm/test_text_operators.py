@@ -1,5 +1,6 @@
 """Operators that look at one document at a time, against plain Python."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -84,6 +85,26 @@ def test_filter_keeps_columns_and_clean_rows(odd):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 3, 13]
 
 
+def test_long_clean_texts_are_kept(spark):
+    """The share of distinct words falls with length alone; that is no reason to reject."""
+    rng = random.Random(4)
+    vocabulary = [f"word{i}" for i in range(30_000)]
+    weights = [1 / (i + 30) for i in range(30_000)]
+    prose = rng.choices(vocabulary, weights, k=120_000)
+    poor = rng.choices(vocabulary[:150], k=30_000)
+    rows = [(1, " ".join(prose)), (2, " ".join(poor)), (3, " ".join(prose[:700]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 10 * len(set(prose)) < 3 * len(prose)
+    ledger = rule_ledger.ledger(docs)
+    assert {r["doc_id"] for r in rule_ledger.apply_policy(ledger, 3).where("kept").collect()} == {3}
+    assert {r["doc_id"] for r in rule_ledger.filter_documents(docs).collect()} == {1, 3}
+    got = {r["doc_id"]: r["n_window_words"] for r in ledger.collect()}
+    for i, text in rows:
+        words = text.split(" ")
+        assert got[i] == sum(len(set(words[k : k + 1000])) for k in range(0, len(words), 1000))
+    assert 10 * got[2] < 3 * len(poor)
+
+
 # --- classifiers ---------------------------------------------------------------------
 
 
