@@ -834,6 +834,13 @@ ORACLES["job_prepare"] = oracle(
     *_first_of_split(DDL_EXAMPLE_CTES, "dsplit"), *_first_of_split(CATALOG_CTES, "split"),
     LOGICAL,
 )
+ORACLES["job_prepare_all"] = oracle(
+    """select example_id, dataset, split, sql, schema, num_tables from dex where dataset <> 'catalog'
+    union all select example_id, dataset, split, sql, schema, num_tables from cat where dataset = 'catalog'
+    union all select -example_id - 1 as example_id, 'single_table' as dataset, 'train' as split,
+      sql, schema, cast(null as int) as num_tables from logical""",
+    *DDL_EXAMPLE_CTES, *CATALOG_CTES, LOGICAL,
+)
 ORACLES["corpus_shuffle_order"] = oracle(
     "select example_id, row_number() over (order by md5('42:' || cast(example_id as varchar)), example_id)"
     " as position from split where split = 'train'",

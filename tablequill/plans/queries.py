@@ -728,13 +728,24 @@ def _(spark, sf):
 
 @query("job_prepare")
 def _(spark, sf):
-    """The whole preparation, and what its files hold."""
+    """The preparation of the first rows of every dataset and split; its SQL has the same cut."""
+    return _prepared(spark, sf, first_n=FIRST_N)
+
+
+@query("job_prepare_all")
+def _(spark, sf):
+    """The whole preparation, over all rows of the three corpora."""
+    return _prepared(spark, sf)
+
+
+def _prepared(spark: SparkSession, sf: str, first_n: int | None = None) -> DataFrame:
+    """What the files of a preparation hold."""
     folder = fresh_path(spark, "prepared")
     logical = logical_queries(spark, sf).withColumn("example_id", -F.col("example_id") - 1).withColumn(
         "split", F.lit("train")
     )
     jobs.prepare(
-        folder, jobs.Options(first_n=FIRST_N, drop_empty=["instruction"]),
+        folder, jobs.Options(first_n=first_n, drop_empty=["instruction"]),
         catalog_corpus=fx(spark, sf, "corpora").where("dataset = 'catalog'"), schemas=_catalog(spark, sf),
         ddl_corpus=fx(spark, sf, "corpora_ddl").where("dataset <> 'catalog'"),
         logical=logical, single_tables=single_table_records(spark, sf),

@@ -35,6 +35,14 @@ def test_query(spark, duck, name):
     assert problems == [] and rows > 0
 
 
+
+def test_whole_preparation_is_not_cut(spark):
+    from tablequill.plans.queries import FIRST_N
+
+    rows = entry.queries()["job_prepare_all"](spark, SF_DIR)
+    assert max(r["count"] for r in rows.groupBy("dataset", "split").count().collect()) > FIRST_N
+
+
 LARGE = [
     "split_positional", "limit_first_n", "lf_balanced_sample", "corpus_shuffle_order", "corpus_ddl",
     "corpus_catalog", "link_table_partial", "link_column_word", "link_column_vector",
