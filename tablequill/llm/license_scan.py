@@ -1,6 +1,7 @@
 """Licence notices in documents: a trained paragraph classifier, confirmed by templates.
 
-A paragraph is a line of the text. Multinomial logistic regression on the
+A paragraph is a line of the text, or several lines of one block (lines without
+a blank one between them) over which a notice is wrapped. Multinomial logistic regression on the
 presence of words, word pairs and triples gives each paragraph a licence family
 or "unknown"; its probabilities are calibrated on examples it was not fitted
 on. A prediction is confirmed if the paragraph holds most of the word pairs of
@@ -119,7 +120,7 @@ def _ngrams(words: list[str]) -> set[str]:
 
 
 def _hash_ngrams(grams: list[str]) -> np.ndarray:
-    """Hashes as ``_line_features`` makes them from whole texts."""
+    """Hashes as ``_features`` makes them from whole texts."""
     out = np.empty(len(grams), np.uint64)
     for i, gram in enumerate(grams):
         [(_, data, offsets)] = tk.slices(pa.array([gram]))
@@ -137,7 +138,7 @@ class Model:
     bias: np.ndarray
     temperature: float
     limit: float  # least probability of a prediction
-    templates: list[tuple[int, np.ndarray]]  # (family, places of its word pairs)
+    templates: list[tuple[int, np.ndarray, int]]  # (family, places of its word pairs, words)
 
     def probabilities(self, row: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
         logits = np.column_stack([
@@ -227,19 +228,17 @@ def fit(background: list[str], seed: int = 3, rounds: int = 300, ridge: float =
     for k, name in enumerate(TEMPLATES):
         for text in TEMPLATES[name]:
             pairs = [g for g in _ngrams(terms(text)) if g.count(" ") == 1]
-            templates.append((k, np.sort(inverse[[place[g] for g in pairs]])))
+            templates.append((k, np.sort(inverse[[place[g] for g in pairs]]), len(terms(text))))
     return Model(families, keys[order], w[order].astype(np.float64), bias.astype(np.float64),
                  float(temperature), min(limit, 0.95), templates)
 
 
-def _line_features(data: np.ndarray, lines: np.ndarray, vocabulary: np.ndarray):
-    """(line, place in the vocabulary), each once, of the n-grams of lower-case lines."""
-    found = tk.words(data, lines, terms=True)
-    hashes = tk.word_hashes(data, found)
-    own = tk.owners(found.bounds)
+def _features(hashes: np.ndarray, bounds: np.ndarray, vocabulary: np.ndarray):
+    """(line, place in the vocabulary), each once, of the n-grams of lines given as hashes of words."""
+    own = tk.owners(bounds)
     rows, places = [], []
     for n in (1, 2, 3):
-        keys, at = tk.windows(hashes, found.bounds, n)
+        keys, at = tk.windows(hashes, bounds, n)
         keys = tk.mix(keys + np.uint64(n))
         place = np.minimum(np.searchsorted(vocabulary, keys), len(vocabulary) - 1)
         hit = vocabulary[place] == keys
@@ -249,6 +248,141 @@ def _line_features(data: np.ndarray, lines: np.ndarray, vocabulary: np.ndarray):
     return once // len(vocabulary), once % len(vocabulary)
 
 
+def _passages(at: list[int], places: list[int], reach: int, least: float) -> list[tuple[int, int, int]]:
+    """(first word, last word, distinct pairs) of the passages that hold ``least`` pairs of a template.
+
+    ``at`` are the words, in order, at which one of its pairs begins; a passage
+    reaches over at most ``reach`` words. One pass, passages do not overlap.
+    """
+    counts, held, end = [], {}, 0
+    for i, word in enumerate(at):
+        while end < len(at) and at[end] < word + reach:
+            held[places[end]] = held.get(places[end], 0) + 1
+            end += 1
+        counts.append(len(held))
+        held[places[i]] -= 1
+        if not held[places[i]]:
+            del held[places[i]]
+    out, i = [], 0
+    while i < len(at):
+        if counts[i] < least:
+            i += 1
+            continue
+        best = j = i
+        while j < len(at) and at[j] < at[i] + reach:
+            if counts[j] >= counts[best]:
+                best = j
+            j += 1
+        seen, last = set(), best
+        while len(seen) < counts[best]:
+            seen.add(places[last])
+            last += 1
+        out.append((at[best], at[last - 1] + 1, counts[best]))
+        i = last
+    return out
+
+
+def _wrapped(model: Model, hashes: np.ndarray, bounds: np.ndarray, new_text: np.ndarray):
+    """(first line, last line, pairs) of passages over several lines of a block that follow a template."""
+    blank = np.diff(bounds) == 0
+    starts = new_text | blank | np.concatenate([[True], blank[:-1]])
+    first = np.flatnonzero(starts)
+    blocks = np.append(bounds[:-1][first], bounds[-1])
+    keys, at = tk.windows(hashes, blocks, 2)
+    keys = tk.mix(keys + np.uint64(2))
+    place = np.minimum(np.searchsorted(model.keys, keys), len(model.keys) - 1)
+    hit = model.keys[place] == keys
+    place, at = place[hit], at[hit]
+    block = tk.owners(blocks)[at]
+    out = []
+    for _, pairs, n_words in model.templates:
+        mine = np.flatnonzero(np.isin(place, pairs))
+        if len(mine) == 0:
+            continue
+        once = np.unique(block[mine] * len(model.keys) + place[mine]) // len(model.keys)
+        found, counts = np.unique(once, return_counts=True)
+        for b in found[counts >= CONFIRMED * len(pairs)].tolist():
+            lo, hi = np.searchsorted(block[mine], [b, b + 1])
+            rows = mine[lo:hi]
+            for begin, end, n in _passages(
+                at[rows].tolist(), place[rows].tolist(), 2 * n_words, CONFIRMED * len(pairs)
+            ):
+                top, bottom = (np.searchsorted(bounds, [begin, end], "right") - 1).tolist()
+                if bottom > top:
+                    out.append((top, bottom, n))
+    return out
+
+
+def _predicted(model: Model, row: np.ndarray, place: np.ndarray, n: int):
+    """(row, family, probability, similarity, pairs of the template found) of the rows that are notices."""
+    p = model.probabilities(row, place, n)
+    best = p[:, :-1].argmax(axis=1)
+    score = p[np.arange(n), best]
+    bounds = np.searchsorted(row, np.arange(n + 1))
+    out = []
+    for i in np.flatnonzero((score >= model.limit) & (score >= p[:, -1])).tolist():
+        here = place[bounds[i] : bounds[i + 1]]
+        similarity, pairs = max(
+            (len(common) / len(pairs), len(common))
+            for k, pairs, _ in model.templates if k == best[i]
+            for common in [np.intersect1d(here, pairs, assume_unique=True)]
+        )
+        out.append((i, int(best[i]), float(score[i]), float(similarity), pairs))
+    return out
+
+
+def _line_notices(model: Model, hashes: np.ndarray, bounds: np.ndarray) -> dict[int, tuple]:
+    """First line -> (last line, family, probability, similarity, pairs) of notices in one line."""
+    row, place = _features(hashes, bounds, model.keys)
+    # a notice has several known n-grams; other lines need no probabilities
+    hits = np.bincount(row, minlength=len(bounds) - 1)
+    some = np.flatnonzero(hits >= 3)
+    if len(some) == 0:
+        return {}
+    to = np.full(len(bounds) - 1, -1)
+    to[some] = np.arange(len(some))
+    keep = to[row] >= 0
+    return {
+        int(some[i]): (int(some[i]), *rest)
+        for i, *rest in _predicted(model, to[row[keep]], place[keep], len(some))
+    }
+
+
+def _join_lines(model: Model, hashes: np.ndarray, bounds: np.ndarray, new_text: np.ndarray,
+                spans: list[tuple[int, int, int]], notices: dict[int, tuple]) -> None:
+    """Puts notices over several lines in the place of what was found in these lines one by one.
+
+    The longest match goes first. A line that holds as much of a template by
+    itself stays a notice of its own.
+    """
+    taken = set()
+    for top, bottom, n in sorted(spans, key=lambda s: (-s[2], s[1] - s[0], s[0])):
+        inside = range(top, bottom + 1)
+        if any(i in taken for i in inside) or any(
+            notices[i][3] >= CONFIRMED and notices[i][4] >= n for i in inside if i in notices
+        ):
+            continue
+        words = slice(int(bounds[top]), int(bounds[bottom + 1]))
+        row, place = _features(hashes[words], np.array([0, words.stop - words.start]), model.keys)
+        whole = _predicted(model, row, place, 1)
+        if not whole or whole[0][3] < CONFIRMED:
+            continue
+        _, k, *rest = whole[0]
+
+        def scattered(i: int) -> bool:
+            return i in notices and i not in taken and notices[i][1] == k and notices[i][3] < CONFIRMED
+
+        # the notice goes on in lines of the same family that hold no template
+        while not new_text[top] and scattered(top - 1):
+            top -= 1
+        while bottom + 2 < len(bounds) and not new_text[bottom + 1] and scattered(bottom + 1):
+            bottom += 1
+        for i in range(top, bottom + 1):
+            taken.add(i)
+            notices.pop(i, None)
+        notices[top] = (bottom, k, *rest)
+
+
 def _scanner(model: Model):
     names = ["_id", "paragraph", "start", "length", "family", "probability", "similarity", "confirmed"]
 
@@ -267,39 +401,24 @@ def _scanner(model: Model):
                 low = data.copy()
                 upper = (low >= 65) & (low <= 90)
                 low[upper] += 32
-                row, place = _line_features(low, lines, model.keys)
-                # a notice has several known n-grams; other lines need no probabilities
-                hits = np.bincount(row, minlength=len(lines) - 1)
-                some = np.flatnonzero(hits >= 3)
-                if len(some) == 0:
-                    continue
-                to = np.full(len(lines) - 1, -1)
-                to[some] = np.arange(len(some))
-                keep = to[row] >= 0
-                row, place = to[row[keep]], place[keep]
-                p = model.probabilities(row, place, len(some))
-                best = p[:, :-1].argmax(axis=1)
-                score = p[np.arange(len(some)), best]
-                chosen = np.flatnonzero((score >= model.limit) & (score >= p[:, -1]))
-                if len(chosen) == 0:
+                found = tk.words(low, lines, terms=True)
+                hashes = tk.word_hashes(low, found)
+                notices = _line_notices(model, hashes, found.bounds)
+                new_text = np.isin(lines[:-1], offsets)
+                spans = _wrapped(model, hashes, found.bounds, new_text)
+                _join_lines(model, hashes, found.bounds, new_text, spans, notices)
+                if not notices:
                     continue
-                bounds = np.searchsorted(row, np.arange(len(some) + 1))
                 head = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                own = np.searchsorted(offsets, lines[some[chosen]], "right") - 1
                 feeds = np.concatenate([[0], np.cumsum(data == 10)])
                 out = []
-                for i, doc in zip(chosen.tolist(), own.tolist()):
-                    lo, hi = lines[some[i]], lines[some[i] + 1]
+                for top, (bottom, k, score, similarity, _) in sorted(notices.items()):
+                    doc = int(np.searchsorted(offsets, lines[top], "right")) - 1
+                    lo, hi = lines[top], lines[bottom + 1]
                     hi -= bool(hi > lo and data[hi - 1] == 10)
-                    here = place[bounds[i] : bounds[i + 1]]
-                    similarity = max(
-                        len(np.intersect1d(here, pairs, assume_unique=True)) / len(pairs)
-                        for k, pairs in model.templates if k == best[i]
-                    )
                     out.append((
                         first + doc, int(feeds[lo] - feeds[offsets[doc]]), int(head[lo] - head[offsets[doc]]),
-                        int(head[hi] - head[lo]), model.families[best[i]], float(score[i]),
-                        float(similarity), similarity >= CONFIRMED,
+                        int(head[hi] - head[lo]), model.families[k], score, similarity, similarity >= CONFIRMED,
                     ))
                 columns = list(zip(*out))
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
@@ -324,7 +443,9 @@ def background(docs: DataFrame, text: str = "text", documents: int = BACKGROUND_
     out = []
     for r in rows:
         grams = _ngrams(terms(r["line"]))
-        if all(len(grams & p) < 0.5 * len(p) for p in pairs):
+        own = sum(g.count(" ") == 1 for g in grams)
+        # neither most of a template nor, as in a wrapped notice, mostly a piece of one
+        if all(len(grams & p) < 0.5 * len(p) and (own < 4 or len(grams & p) < 0.5 * own) for p in pairs):
             out.append(r["line"])
     return out[:BACKGROUND_LINES]
 
@@ -332,8 +453,8 @@ def background(docs: DataFrame, text: str = "text", documents: int = BACKGROUND_
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, paragraph, start, length, family, probability, similarity, confirmed), one row per notice.
 
-    ``paragraph`` counts the lines of the text from 0; ``start`` and ``length``
-    are characters. A document with several notices has several rows, one
+    ``paragraph`` counts the lines of the text from 0, a wrapped notice has that
+    of its first line; ``start`` and ``length`` are characters. A document with several notices has several rows, one
     without (NULL and empty texts too) has none; repeated rows and NULL ids are
     scanned like any other row.
     """

@@ -245,6 +245,40 @@ def test_families_and_unknown(licences, spark, odd, nothing):
     assert license_scan.op1_rows(nothing).count() == 0
 
 
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights""",
+    "GPL": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or""",
+    "LGPL": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:""",
+}
+
+
+def test_wrapped_notices_are_one_confirmed_row(licences, spark):
+    _, model = licences
+    rows = [(family, f"Some title, é\n\n{text}\n\nthe end") for family, text in WRAPPED.items()]
+    rows += [("two", f"{WRAPPED['MIT']}\n\n{WRAPPED['BSD']}"),
+             # a blank line parts paragraphs; a notice in one line stays alone
+             ("cut", WRAPPED["BSD"].replace("\n", "\n\n")),
+             ("lines", "Released under the MIT License.\nLicensed under CC BY-NC 4.0.\nthe end")]
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string"), model).collect()
+    for family, text in WRAPPED.items():
+        mine = [r for r in found if r["doc_id"] == family]
+        assert [(r["family"], r["confirmed"], r["paragraph"], r["start"]) for r in mine] == [(family, True, 2, 15)]
+        assert text.startswith(dict(rows)[family][15 : 15 + mine[0]["length"]])
+        assert "\n" in text[: mine[0]["length"]]
+    assert [r["family"] for r in found if r["doc_id"] == "two" and r["confirmed"]] == ["MIT", "BSD"]
+    assert not any(r["confirmed"] for r in found if r["doc_id"] == "cut")
+    assert [(r["family"], r["paragraph"]) for r in found if r["doc_id"] == "lines" and r["confirmed"]] == [
+        ("MIT", 0), ("CC-BY-NC", 1)]
+
+
 # --- tokens --------------------------------------------------------------------------
 
 HARD = ["", None, " ", "a  b", "x\n\ny z\n w", "a  b", "it's I'LL don't", " two  \n tail ", "É́ é x",
