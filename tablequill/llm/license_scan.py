@@ -92,6 +92,16 @@ TEMPLATES = {
     ],
 }
 
+# Identifier lines of source files.
+SPDX = {
+    "MIT": ["MIT"], "Apache-2.0": ["Apache-2.0"], "GPL": ["GPL-2.0-only", "GPL-3.0-or-later"],
+    "LGPL": ["LGPL-2.1-or-later"], "AGPL": ["AGPL-3.0-only"], "BSD": ["BSD-2-Clause", "BSD-3-Clause"],
+    "MPL-2.0": ["MPL-2.0"], "CC-BY-NC": ["CC-BY-NC-4.0"], "CC-BY-SA": ["CC-BY-SA-4.0"],
+    "CC-BY": ["CC-BY-4.0"], "CC0": ["CC0-1.0"], "Unlicense": ["Unlicense"],
+}
+for _family, _ids in SPDX.items():
+    TEMPLATES[_family] += [f"SPDX-License-Identifier: {i}" for i in _ids]
+
 # Sentences about licences that name none.
 OTHER = [
     "All rights reserved.", "See the license file for details.", "The license fee is due every year.",
@@ -334,9 +344,8 @@ def _predicted(model: Model, row: np.ndarray, place: np.ndarray, n: int):
 def _line_notices(model: Model, hashes: np.ndarray, bounds: np.ndarray) -> dict[int, tuple]:
     """First line -> (last line, family, probability, similarity, pairs) of notices in one line."""
     row, place = _features(hashes, bounds, model.keys)
-    # a notice has several known n-grams; other lines need no probabilities
-    hits = np.bincount(row, minlength=len(bounds) - 1)
-    some = np.flatnonzero(hits >= 3)
+    # lines without a known n-gram are all alike: unknown
+    some = np.unique(row)
     if len(some) == 0:
         return {}
     to = np.full(len(bounds) - 1, -1)

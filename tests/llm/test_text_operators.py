@@ -1,5 +1,6 @@
 """Operators that look at one document at a time, against plain Python."""
 
+import dataclasses
 import random
 import re
 import zlib
@@ -279,6 +280,22 @@ def test_wrapped_notices_are_one_confirmed_row(licences, spark):
         ("MIT", 0), ("CC-BY-NC", 1)]
 
 
+def test_lines_with_few_known_words_are_scored(licences, spark):
+    _, model = licences
+    texts = {
+        "MIT": "# SPDX-License-Identifier: MIT", "Apache-2.0": "// SPDX-License-Identifier: Apache-2.0",
+        "GPL": "SPDX-License-Identifier: GPL-3.0-or-later", "BSD": "SPDX-License-Identifier: BSD-3-Clause",
+    }
+    rows = [(k, v) for k, v in texts.items()] + [("none", "the license"), ("none", "MIT"), ("none", "software")]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string"), model).collect()
+    assert {(r["doc_id"], r["family"]) for r in got} == {(k, k) for k in texts}
+    assert all(r["confirmed"] for r in got)
+    # two known n-grams are enough for a model that is less sure of "unknown"
+    unsure = dataclasses.replace(model, bias=model.bias - 20 * (np.arange(len(model.bias)) == len(model.bias) - 1))
+    short = spark.createDataFrame([(1, "License: MIT"), (2, "nothing known")], "doc_id long, text string")
+    assert [(r["doc_id"], r["family"]) for r in license_scan.scan(short, unsure).collect()] == [(1, "MIT")]
+
+
 # --- tokens --------------------------------------------------------------------------
 
 HARD = ["", None, " ", "a  b", "x\n\ny z\n w", "a  b", "it's I'LL don't", " two  \n tail ", "É́ é x",
