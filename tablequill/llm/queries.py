@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table, and their SQL."""
+"""The registered queries of the operators, each over its whole table, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,13 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tablequill.llm import (
+    bloom_lines,
     gam,
     jump_shards,
     license_scan,
     lsh_forest,
     mixing,
     packing,
+    prefix_audit,
     records,
+    rmq_search,
     rule_ledger,
     subspace_join,
     toxicity,
@@ -77,6 +80,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.op10_rows(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rmq_search.op11_rows(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lines.op12_rows(_documents(spark, sf_dir))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_audit.op13_rows(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1,
     "op2_toxicity": op2,
@@ -88,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rule_ledger": op8,
     "op9_best_two_fit": op9,
     "op10_gam_quality": op10,
+    "op11_rmq_search": op11,
+    "op12_bloom_lines": op12,
+    "op13_prefix_audit": op13,
 }
 # Other versions of an operator's query.
 VERSIONS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -268,10 +286,127 @@ _RULES4_SQL = (
     .replace("fail_bits = 0 as kept", "(fail_bits & 479) = 0 as kept")
 )
 
+_SEARCH_SQL = """
+with
+  texts as (
+    select doc_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w
+    from documents
+  ),
+  docs as (select row_number() over () as d, doc_id, w, len(w) as n from texts),
+  totals as (select count(*) filter (n > 0) as n_docs, sum(n)::bigint as n_terms from docs),
+  items as (
+    select row_number() over () as q, item_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w
+    from benchmark
+  ),
+  asked as (
+    select q, item_id, term, count(*) as times
+    from (select q, item_id, unnest(w) as term from items) group by all
+  ),
+  occurrences as (select d, doc_id, n, unnest(w) as term from docs),
+  postings as (
+    select d, doc_id, n, term, count(*) as tf from occurrences
+    where term in (select term from asked) group by all
+  ),
+  weights as (
+    select term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::bigint as weight
+    from postings, totals group by term
+  ),
+  scores as (
+    select q, item_id, d, doc_id, sum(times * weight
+      * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::bigint as score
+    from asked join postings using (term) join weights using (term), totals
+    group by q, item_id, d, doc_id
+  ),
+  ranked as (
+    select *, row_number() over (partition by q order by score desc, doc_id nulls last)::int as rank
+    from scores where score > 0
+  )
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
+
+_LINES_SQL = """
+with
+  docs as (select row_number() over () as d, doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+  lines as (select d, unnest(l) as line, unnest(range(len(l))) as i from docs),
+  keyed as (
+    select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+    from lines
+  ),
+  dropped as (select key from keyed where key <> '' group by key having count(distinct d) >= 10),
+  judged as (select *, key in (select key from dropped) as gone from keyed),
+  kept as (
+    select d, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+      coalesce(string_agg(line, chr(10) order by i) filter (not gone), '') as text
+    from judged group by d
+  )
+select doc_id, n_lines, n_dropped, sha256(text) as kept_sha256 from docs join kept using (d)
+"""
+
+_AUDIT_SQL = """
+with
+  docs as (
+    select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source,
+      regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w
+    from documents
+  ),
+  found as (
+    select lang, source, d, term, count(*) as n
+    from (select lang, source, d, unnest(w) as term from docs) group by all
+  ),
+  kept as (select lang, term from found group by lang, term having count(*) >= 10),
+  counts as (
+    select lang, source, term, sum(n)::bigint as n from found join kept using (lang, term) group by all
+  ),
+  groups as (select distinct lang, source from docs),
+  vocabulary as (select lang, count(*) as v from kept group by lang),
+  totals as (select lang, source, sum(n)::bigint as total from counts group by all),
+  shares as (
+    select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+      1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (coalesce(total, 0) + 2 * v) as p
+    from groups g join kept k using (lang) join vocabulary using (lang)
+    left join totals using (lang, source) left join counts c using (lang, source, term)
+  ),
+  lang_counts as (select lang, term, sum(n)::bigint as n from counts group by all),
+  lang_totals as (select lang, sum(n)::bigint as total from lang_counts group by lang),
+  lang_shares as (
+    select lang, term, 1 + (1000000000 * (n + 2)) // (total + 2 * v) as q
+    from lang_counts join lang_totals using (lang) join vocabulary using (lang)
+  ),
+  distances as (
+    select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::bigint as value
+    from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source
+    group by all
+  ),
+  pairs as (
+    select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+    from groups a join groups b on a.lang = b.lang and a.source <> b.source
+    left join distances d on d.lang = a.lang and d.source = a.source and d.item = b.source
+  ),
+  terms as (
+    select lang, source, 'term' as part, term as item, (((p - q) * (p - q)) // (p + q))::bigint as value
+    from shares join lang_shares using (lang, term) where n > 0 and p > q
+  ),
+  ranked as (
+    select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank
+    from (select * from pairs union all select * from terms)
+  )
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 10
+"""
+
 ORACLES = {
     "op4_lsh_forest": _LINKS_SQL,
     "op5_subspace_join": _VECTORS_SQL,
     "op6_mixing": _MIX_SQL,
     "op8_rule_ledger": _RULES_SQL,
     "op8_rule_ledger_policy4": _RULES4_SQL,
+    "op11_rmq_search": _SEARCH_SQL,
+    "op12_bloom_lines": _LINES_SQL,
+    "op13_prefix_audit": _AUDIT_SQL,
 }

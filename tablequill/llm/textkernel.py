@@ -92,9 +92,14 @@ class Words(NamedTuple):
     bounds: np.ndarray  # words of text i are bounds[i]:bounds[i + 1]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, terms: bool = False) -> Words:
-    """Spans of the words; with ``terms`` of runs of letters, digits and non-ASCII bytes."""
-    inside = (_is_term_byte() if terms else _is_word_byte())[data]
+def words(
+    data: np.ndarray, offsets: np.ndarray, terms: bool = False, table: np.ndarray | None = None
+) -> Words:
+    """Spans of the words; with ``terms`` of runs of letters, digits and non-ASCII bytes,
+    with a ``table`` of runs of the bytes that it marks."""
+    if table is None:
+        table = _is_term_byte() if terms else _is_word_byte()
+    inside = table[data]
     n = len(data)
     before = np.zeros(n + 1, bool)
     before[1:] = inside

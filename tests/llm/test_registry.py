@@ -18,11 +18,12 @@ COLUMNS = {
                         "base_failed", "kept"],
     "op9_best_two_fit": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
     "op10_gam_quality": ["doc_id", "held_out", "score", "predicted"],
+    "op12_bloom_lines": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
 }
 
 
 def test_all_are_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
 
