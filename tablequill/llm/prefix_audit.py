@@ -138,31 +138,124 @@ def _level_rows(level: int, before: int, survivors):
     return rows
 
 
-def _occurrence_rows(kept):
-    """Occurrences per source of the terms that the filter of kept terms lets through."""
+_PACKED = (
+    "lang string, term_block int, source_block int, terms array<string>, sources array<string>,"
+    " term_at array<int>, source_at array<int>, n array<long>"
+)
+_COUNTS = "lang string, source string, term string, n long"
+
+
+def _ordered(blocks: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(items in the order of their blocks, bounds of the blocks, place of every item in its block)"""
+    order = np.argsort(blocks, kind="stable")
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(blocks, minlength=n_blocks))])
+    place = np.empty(len(blocks), np.int64)
+    place[order] = np.arange(len(blocks)) - bounds[blocks[order]]
+    return order, bounds, place
+
+
+def _occurrence_rows(kept, term_blocks: int, source_blocks: int):
+    """Occurrences per source of the terms that the filter of kept terms lets through,
+    packed into blocks of terms and of sources."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                words, lang = _Terms(batch, i), batch.column(0)[i].as_py()
-                names = batch.column(6)[i].values
-                known = bloom.holds(kept.value, bloom.pair_hashes(pa.array([lang] * len(names), pa.string()), names))
+                lang, names = batch.column(0)[i].as_py(), batch.column(6)[i].values
+                sources = batch.column(1)[i].values
+                hashes = bloom.pair_hashes(pa.array([lang] * len(names), pa.string()), names)
+                known = np.flatnonzero(bloom.holds(kept.value, hashes))
+                if not len(known):
+                    continue
+                of_term = np.full(len(names), -1)
+                of_term[known] = np.arange(len(known))
                 bounds = batch.column(3)[i].values.to_numpy()
                 source = np.repeat(batch.column(2)[i].values.to_numpy(), np.diff(bounds)).astype(np.int64)
-                codes, counts = batch.column(4)[i].values.to_numpy(), batch.column(5)[i].values.to_numpy()
-                held = known[codes]
-                keys = source[held] * len(names) + codes[held]
-                keys, back = np.unique(keys, return_inverse=True)
-                sums = np.bincount(back, counts[held], len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(keys), pa.string()),
-                    batch.column(1)[i].values.take(pa.array(keys // max(len(names), 1))),
-                    names.take(pa.array(keys % max(len(names), 1))), pa.array(sums),
-                ], names=["lang", "source", "term", "n"])
+                at = of_term[batch.column(4)[i].values.to_numpy()]
+                held = at >= 0
+                keys, back = np.unique(source[held] * len(known) + at[held], return_inverse=True)
+                sums = np.bincount(back, batch.column(5)[i].values.to_numpy()[held], len(keys)).astype(np.int64)
+                source, at = keys // len(known), keys % len(known)
+
+                block = ((hashes[known] >> np.uint64(20)) % np.uint64(term_blocks)).astype(np.int64)
+                own = bloom.pair_hashes(pa.array([""] * len(sources), pa.string()), sources)
+                source_block = (own % np.uint64(source_blocks)).astype(np.int64)
+                terms_, term_bounds, term_place = _ordered(block, term_blocks)
+                sources_, source_bounds, source_place = _ordered(source_block, source_blocks)
+                cell, cell_bounds, _ = _ordered(
+                    source_block[source] * term_blocks + block[at], source_blocks * term_blocks
+                )
+                terms_ = names.take(pa.array(known[terms_]))
+                sources_ = sources.take(pa.array(sources_))
+                for s in range(source_blocks):
+                    cut = cell_bounds[s * term_blocks : (s + 1) * term_blocks + 1]
+                    inside = cell[cut[0] : cut[-1]]
+                    if not len(inside):
+                        continue
+                    mine = sources_.slice(source_bounds[s], source_bounds[s + 1] - source_bounds[s])
+                    out = pa.RecordBatch.from_arrays([
+                        pa.array([lang] * term_blocks, pa.string()), pa.array(np.arange(term_blocks, dtype=np.int32)),
+                        pa.array(np.full(term_blocks, s, np.int32)),
+                        pa.ListArray.from_arrays(pa.array(term_bounds, pa.int32()), terms_),
+                        pa.array([mine] * term_blocks, pa.list_(pa.string())),
+                        terms.lists(term_place[at[inside]], cut - cut[0], pa.int32()),
+                        terms.lists(source_place[source[inside]], cut - cut[0], pa.int32()),
+                        terms.lists(sums[inside], cut - cut[0], pa.int64()),
+                    ], names=["lang", "term_block", "source_block", "terms", "sources", "term_at", "source_at", "n"])
+                    yield out.filter(pa.array(np.diff(cut) > 0))
 
     return rows
 
 
+def _sum_cells(sources: pa.Array, words: pa.Array, source_at: np.ndarray, word_at: np.ndarray, n: np.ndarray):
+    """(sources, terms, sums) of the distinct pairs; ``source_at`` and ``word_at`` point into the names."""
+    sources, words = sources.dictionary_encode(), words.dictionary_encode()
+    width = max(len(words.dictionary), 1)
+    keys = sources.indices.to_numpy(zero_copy_only=False).astype(np.int64)[source_at] * width
+    keys += words.indices.to_numpy(zero_copy_only=False)[word_at]
+    keys, back = np.unique(keys, return_inverse=True)
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, back, n)
+    return sources.dictionary.take(pa.array(keys // width)), words.dictionary.take(pa.array(keys % width)), sums
+
+
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The occurrences of one block of terms and sources, added up batch by batch."""
+    lang, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lang = batch.column("lang")[0].as_py()
+        columns = {c: batch.column(c) for c in ("terms", "sources", "term_at", "source_at", "n")}
+        sizes = {c: np.diff(x.offsets.to_numpy()) for c, x in columns.items()}
+        flat = {c: x.flatten() for c, x in columns.items()}
+
+        def placed(at: str, names: str, flat=flat, sizes=sizes) -> np.ndarray:
+            before = np.cumsum(sizes[names]) - sizes[names]
+            return flat[at].to_numpy() + np.repeat(before, sizes[at])
+
+        parts.append(_sum_cells(
+            flat["sources"], flat["terms"], placed("source_at", "sources"), placed("term_at", "terms"),
+            flat["n"].to_numpy(),
+        ))
+        if len(parts) == 8:
+            parts = [_sum_parts(parts)]
+    if parts:
+        sources, words, sums = _sum_parts(parts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(sums), pa.string()), sources, words, pa.array(sums)],
+            names=["lang", "source", "term", "n"],
+        )
+
+
+def _sum_parts(parts: list) -> tuple:
+    if len(parts) == 1:
+        return parts[0]
+    sources, words = (pa.concat_arrays([p[i] for p in parts]) for i in (0, 1))
+    every = np.arange(len(sources))
+    return _sum_cells(sources, words, every, every, np.concatenate([p[2] for p in parts]))
+
+
 class Kept(NamedTuple):
     terms: DataFrame  # (lang, term, docs)
     counts: DataFrame  # (lang, source, term, n), n > 0
@@ -193,11 +286,17 @@ def kept_terms(docs: DataFrame, text: str = "text", lang: str = "lang", source:
         level, before = level * 2, level
     kept = reduce(DataFrame.unionByName, done).select("lang", F.col("prefix").cast("string").alias("term"), "docs")
     kept = settle(kept, "kept")
-    wanted = spark.sparkContext.broadcast(bloom.filter_of(kept, "lang", "term", kept.count()))
-    occurring = stored.mapInArrow(_occurrence_rows(wanted), "lang string, source string, term string, n long")
-    sums = occurring.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    n_kept = kept.count()
+    wanted = spark.sparkContext.broadcast(bloom.filter_of(kept, "lang", "term", n_kept))
+    groups = settle(narrow.select("lang", "source").distinct(), "groups")
+    most = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    # the blocks are the same for all languages, sized for the whole
+    term_blocks, source_blocks = (max(1, -(-n // size)) for n, size in ((n_kept, TERM_BLOCK), (most, SOURCE_BLOCK)))
+    packed = stored.mapInArrow(_occurrence_rows(wanted, term_blocks, source_blocks), _PACKED)
+    sums = packed.groupBy("lang", "term_block", "source_block").applyInArrow(_count_rows, _COUNTS)
+    # the filter may have let others through
     counts = settle(sums.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "n"), "counts")
-    return Kept(kept, counts, settle(narrow.select("lang", "source").distinct(), "groups"))
+    return Kept(kept, counts, groups)
 
 
 def _share(n: str, total: str, v: str) -> Column:

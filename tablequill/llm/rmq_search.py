@@ -125,8 +125,8 @@ def _query_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in terms.postings(batch.column(1), table):
             ids = batch.column(0).slice(p.first, len(p.sizes)).take(pa.array(p.docs))
             yield pa.RecordBatch.from_arrays([
-                pa.array(task * (1 << 40) + row + p.docs), ids,
-                p.vocabulary.take(pa.array(p.codes)).cast(pa.string()), pa.array(p.counts),
+                pa.array(task * (1 << 40) + row + p.docs.astype(np.int64)), ids,
+                p.vocabulary.take(pa.array(p.codes)).cast(pa.string()), pa.array(p.counts, pa.int64()),
             ], names=["query", "id", "term", "times"])
             row += len(p.sizes)
 

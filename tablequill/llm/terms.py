@@ -19,7 +19,7 @@ LETTERS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIGITS = b"0123456789"
 
 # A segment is closed when it holds so many postings or documents.
-SEGMENT_POSTINGS = 2_000_000
+SEGMENT_POSTINGS = 1_500_000
 SEGMENT_DOCUMENTS = 32_768
 
 
@@ -65,7 +65,8 @@ def postings(texts: pa.Array, table: np.ndarray) -> Iterator[Postings]:
         own = np.repeat(np.arange(len(sizes)), sizes)
         keys = own * width + encoded.indices.to_numpy(zero_copy_only=False)
         keys, counts = np.unique(keys, return_counts=True)
-        yield Postings(first, sizes, keys // width, keys % width, counts, encoded.dictionary)
+        narrow = (x.astype(np.int32) for x in (keys // width, keys % width, counts))
+        yield Postings(first, sizes, *narrow, encoded.dictionary)
 
 
 class Segment:
@@ -92,11 +93,11 @@ class Segment:
     def merged(self) -> Postings:
         """All postings with one vocabulary; the documents count through the segment."""
         words = pa.concat_arrays([p.vocabulary for p in self.parts]).dictionary_encode()
-        recoded = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        recoded = words.indices.to_numpy(zero_copy_only=False)
         docs, codes, at, doc = [], [], 0, 0
         for p in self.parts:
-            docs.append(p.docs + doc)
-            codes.append(recoded[p.codes + at])
+            docs.append(p.docs + np.int32(doc))
+            codes.append(recoded[at : at + len(p.vocabulary)][p.codes])
             at += len(p.vocabulary)
             doc += len(p.sizes)
         return Postings(
