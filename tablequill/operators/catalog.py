@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tablequill import constants as K
 from tablequill.functions.text import one_of, words
+from tablequill.operators import ddl
 from tablequill.session import settle
 
 TABLE_COLUMN, FOREIGN_KEY, TABLE_TABLE = "table_column", "foreign_key", "table_table"
@@ -303,9 +304,17 @@ def infer_foreign_keys(tables: DataFrame, columns: DataFrame, candidates: DataFr
     )
 
 
-def catalog_from_ddl(ddls: DataFrame) -> Catalog:
+def catalog_from_ddl(ddls: DataFrame, strict: bool = False) -> Catalog:
+    """The catalog of ``ddls(schema_id, ddl)``.
+
+    With ``strict`` nested parentheses, quoted and dotted names, comments and
+    clauses of keys are read as SQL has them (``ddl.definitions``), and declared
+    references come before inferred ones; without, as the corpora's own format
+    has it (``ddl_definitions``).
+    """
     # Read by every branch below: the texts are parsed once.
-    definitions = settle(ddl_definitions(ddls), "definitions")
+    found = ddl.definitions(ddls, fold_type) if strict else ddl_definitions(ddls)
+    definitions = settle(found, "definitions")
     every = ddl_columns(definitions)
     tables = definitions.where(F.col("def_ord") == F.col("table_ord")).select(
         "schema_id", "table_ord", "table_name"
@@ -314,6 +323,10 @@ def catalog_from_ddl(ddls: DataFrame) -> Catalog:
         "schema_id", "table_ord", "table_name", "col_ord", "col_name", "dtype", "is_pk"
     )
     fks = infer_foreign_keys(tables, columns, every)
+    if strict:
+        declared = ddl.declared_foreign_keys(definitions, columns)
+        own = ["schema_id", "from_table", "from_column"]
+        fks = declared.unionByName(fks.join(declared.select(*own).distinct(), own, "left_anti"))
     return Catalog(tables, mark_foreign_keys(columns, fks), fks, every)
 
 

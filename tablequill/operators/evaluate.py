@@ -73,6 +73,45 @@ def same_result_sets(rows: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def canonical_value(value: Column, side: Column) -> Column:
+    """A text that two VARIANT values share exactly if the values are equal.
+
+    Numbers are equal by value, whatever their types; TRUE is 1 and FALSE is 0.
+    A text never equals a number. NULL equals NULL, NaN equals nothing, not even
+    itself: its text names the ``side``. Nested values are compared as JSON with
+    sorted keys.
+    """
+    kind = F.schema_of_variant(value)
+    text = F.variant_get(value, "$", "string")
+    real = F.try_variant_get(value, "$", "double")
+    # a double as its shortest text says it, so that 0.1 is 0.1 in both types
+    decimal = F.coalesce(text.try_cast("decimal(38,18)"), F.try_variant_get(value, "$", "decimal(38,18)"))
+    plain = F.regexp_replace(F.regexp_replace(decimal.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    floating = kind.isin("DOUBLE", "FLOAT")
+    # tiny and huge doubles do not fit a decimal; they equal only what prints alike
+    number = F.when(floating & (decimal.cast("double") != real), text).otherwise(F.coalesce(plain, text))
+    return (
+        F.when(value.isNull() | F.is_variant_null(value), "null")
+        .when(floating & F.isnan(real), F.concat(F.lit("NaN:"), side))
+        .when(floating | kind.startswith("BIGINT") | kind.startswith("DECIMAL"), F.concat(F.lit("n:"), number))
+        .when(kind == "BOOLEAN", F.when(text == "true", "n:1").otherwise("n:0"))
+        .when(kind == "STRING", F.concat(F.lit("s:"), text))
+        .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.concat(F.lit("j:"), F.to_json(value)))
+        .otherwise(F.concat(F.lower(kind), F.lit(":"), F.to_json(value)))
+    )
+
+
+def canonical_rows(rows: DataFrame) -> DataFrame:
+    """``rows(example_id, side, row array<variant>)`` with the texts that stand for the values."""
+    texts = F.transform("row", lambda v: canonical_value(v, F.col("side")))
+    return rows.select("example_id", "side", texts.alias("row"))
+
+
+def same_typed_result_sets(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """``same_result_sets`` of typed rows, ``row`` an array of VARIANT values."""
+    return same_result_sets(canonical_rows(rows), runs)
+
+
 # --- properties of a query text ---------------------------------------------
 
 

@@ -148,6 +148,34 @@ def _ddl(d: Dialect) -> str:
     """
 
 
+def _ddl_strict(d: Dialect) -> str:
+    """The tables of the catalog as DDL with nested parentheses, quotes, comments and key clauses."""
+    h = d.h("col_name")
+    typ = f"""case dtype
+        when 'text' then ' VARCHAR(255) DEFAULT ''a, (b'' /* c, d) */'
+        when 'number' then case when {h} % 2 = 0 then ' DECIMAL(10, 2) CHECK (x IN (1, (2)))' else ' DOUBLE PRECISION' end
+        else case when {h} % 7 = 0 then '' else ' TIMESTAMP(6) NOT NULL' end end"""
+    inline = (
+        "case when is_pk and table_ord % 2 = 1 then ' PRIMARY KEY' else '' end"
+        " || case when is_fk and table_ord % 2 = 0 then ' REFERENCES \"' || fk_table || '\" (\"' || fk_column || '\")' else '' end"
+    )
+    cols = d.join(f"'\"' || col_name || '\"' || {typ} || {inline}", "col_ord", "', '")
+    head = """case table_ord % 3 when 0 then 'CREATE TABLE IF NOT EXISTS "main"."' || table_name || '" ('
+        when 1 then 'create table `' || table_name || '`(' else 'CREATE TABLE [dbo].[' || table_name || '] (' end"""
+    keys = (
+        "case when table_ord % 2 = 0 then ', PRIMARY KEY (\"' || max(case when is_pk then col_name end) || '\")' else"
+        " coalesce(', CONSTRAINT f FOREIGN KEY (\"' || max(case when is_fk then col_name end) || '\") REFERENCES '"
+        " || max(fk_table) || ' (' || max(fk_column) || ') ON DELETE CASCADE', '') end"
+    )
+    body = d.join("stmt", "table_ord", "' '")
+    return f"""
+    select schema_id, {body} as ddl from (
+      select schema_id, table_ord, {head} || {cols} || {keys} || ', CHECK (a IN (1, 2)));' as stmt
+      from fx_columns group by schema_id, table_ord, table_name
+    ) s group by schema_id
+    """
+
+
 def _questions(d: Dialect) -> str:
     return (
         f"select conv_id * 1000 + turn as example_id, {_db('conv_id')} as schema_id,"
@@ -401,6 +429,7 @@ FIXTURES: dict[str, Callable[[Dialect], str]] = {
     "fx_columns": _columns,
     "fx_fks": _fks,
     "fx_ddl": _ddl,
+    "fx_ddl_strict": _ddl_strict,
     "fx_questions": _questions,
     "fx_value_questions": _value_questions,
     "fx_term_vectors": _term_vectors,
@@ -564,6 +593,34 @@ def single_table_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def typed_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of both sides as typed values: the lines of every order, which the predicted
+    side has in other types, with other values, or not comparable at all."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("m", F.pmod("l_orderkey", F.lit(10)))
+    number, quantity = F.col("l_linenumber"), F.col("l_quantity")
+    m, pred = F.col("m"), F.col("side") == "pred"
+
+    def variant(c, kind=None):
+        return (c.cast(kind) if kind else c).cast("variant")
+
+    first = (
+        F.when(pred & (m == 0), variant(number, "double"))
+        .when(pred & (m == 1), variant(number, "decimal(20,6)"))
+        .when(pred & (m == 2), variant(number, "string"))
+        .when((m == 3) & (number == 1), variant(F.lit("NaN"), "double"))
+        .when((m == 4) & (number == 1), F.lit(None).cast("variant"))
+        .when((m == 6) & (number == 1) & pred, variant(F.lit(True)))
+        .otherwise(variant(number))
+    )
+    second = F.when(pred & (m == 5) & (number == 2), variant(quantity + 1)).when(
+        pred, variant(quantity, "decimal(12,2)")
+    ).otherwise(variant(quantity))
+    nested = F.array(number, F.when(pred & (m == 7) & (number == 3), -number).otherwise(number)).cast("variant")
+    third = F.when(m == 7, nested).otherwise(variant(F.col("l_shipdate")))
+    sides = lines.withColumn("side", F.explode(F.array(F.lit("gold"), F.lit("pred"))))
+    return sides.select(F.col("l_orderkey").alias("example_id"), "side", F.array(first, second, third).alias("row"))
+
+
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx(spark, sf_dir, "result_rows").select(
         "example_id", "side", F.array("a", "b", "c").alias("row")

@@ -219,6 +219,16 @@ left join (
   from fks group by all) f
   on f.schema_id = c.schema_id and f.from_table = c.table_name and f.from_column = c.col_name
 """, *DDL_CTES)
+_NO_TYPE = "cast('0x' || substr(md5(col_name), 1, 7) as int) % 7 = 0"
+ORACLES["graph_nodes_from_strict_ddl"] = oracle(f"""
+select schema_id, table_ord, table_name, col_ord, col_name,
+  case when dtype <> 'time' then dtype when {_NO_TYPE} then 'text' else 'timestamp' end as dtype,
+  is_pk, is_fk, fk_table, fk_column
+from fx_columns
+""")
+ORACLES["graph_fk_declared"] = oracle(
+    "select schema_id, from_table, from_column, to_table, to_column from fx_fks"
+)
 ORACLES["graph_fk_infer"] = oracle(
     "select schema_id, from_table, from_column, to_table, to_column from fks", *DDL_CTES
 )
@@ -815,25 +825,6 @@ ORACLES["corpus_semantic"] = oracle(
 )
 
 
-def _first_of_split(ctes: list[str], split: str) -> list[str]:
-    """``ctes`` where ``split`` has only the first rows of every dataset and split."""
-    first = (
-        f"{split} as (select * from every_{split} qualify row_number() over"
-        f" (partition by dataset, split order by example_id) <= {FIRST_N})"
-    )
-    at = next(i for i, c in enumerate(ctes) if c.startswith(f"{split} as"))
-    return [*ctes[:at], f"every_{ctes[at]}", first, *ctes[at + 1 :]]
-
-
-ORACLES["job_prepare"] = oracle(
-    """select example_id, dataset, split, sql, schema, num_tables from dex where dataset <> 'catalog'
-    union all select example_id, dataset, split, sql, schema, num_tables from cat where dataset = 'catalog'
-    union all select * from (select -example_id - 1 as example_id, 'single_table' as dataset, 'train' as split,
-      sql, schema, cast(null as int) as num_tables from logical) where example_id in (
-        select -example_id - 1 from fx_logical_form order by example_id desc limit """ + f"{FIRST_N})",
-    *_first_of_split(DDL_EXAMPLE_CTES, "dsplit"), *_first_of_split(CATALOG_CTES, "split"),
-    LOGICAL,
-)
 ORACLES["job_prepare_all"] = oracle(
     """select example_id, dataset, split, sql, schema, num_tables from dex where dataset <> 'catalog'
     union all select example_id, dataset, split, sql, schema, num_tables from cat where dataset = 'catalog'
@@ -841,6 +832,13 @@ ORACLES["job_prepare_all"] = oracle(
       sql, schema, cast(null as int) as num_tables from logical""",
     *DDL_EXAMPLE_CTES, *CATALOG_CTES, LOGICAL,
 )
+ORACLES["job_prepare"] = oracle(
+    """select format, split, count(*) as records from (
+      select split from dex where dataset <> 'catalog' union all select split from cat where dataset = 'catalog'
+      union all select 'train' from logical) r, (select unnest(['lines', 'instruction', 'chat']) as format) f
+    group by format, split""",
+    *DDL_EXAMPLE_CTES, *CATALOG_CTES, LOGICAL,
+)
 ORACLES["corpus_shuffle_order"] = oracle(
     "select example_id, row_number() over (order by md5('42:' || cast(example_id as varchar)), example_id)"
     " as position from split where split = 'train'",
@@ -979,6 +977,17 @@ from fx_result_runs r left join (
   on d.example_id = r.example_id
 """)
 
+# What the order of a set of lines decides: see ``fixtures.typed_result_rows``.
+ORACLES["eval_result_sets_typed"] = """
+select o_orderkey as example_id,
+  o_custkey % 7 <> 0 and o_custkey % 5 <> 0 and coalesce(same, true) as same_result
+from orders left join (
+  select l_orderkey, not case l_orderkey % 10
+      when 2 then true when 3 then bool_or(l_linenumber = 1) when 5 then bool_or(l_linenumber = 2)
+      when 7 then bool_or(l_linenumber = 3) else false end as same
+  from lineitem group by l_orderkey) on l_orderkey = o_orderkey
+"""
+
 VERDICT = "select example_id, exact_match, execution_match, exec_error from scored"
 ORACLES["eval_verdict"] = oracle(VERDICT, SCORED)
 ORACLES["eval_verdict_egd"] = oracle(VERDICT, _scored("fx_orders_eval", False))

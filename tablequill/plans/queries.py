@@ -31,6 +31,7 @@ from tablequill.plans.fixtures import (
     logical_queries,
     result_rows,
     single_table_records,
+    typed_result_rows,
     stored,
     table,
 )
@@ -274,6 +275,20 @@ def _(spark, sf):
     return _ddl_catalog(spark, sf).columns
 
 
+def _strict_catalog(spark: SparkSession, sf: str) -> Catalog:
+    return catalog.catalog_from_ddl(fx(spark, sf, "ddl_strict"), strict=True)
+
+
+@query("graph_nodes_from_strict_ddl")
+def _(spark, sf):
+    return _strict_catalog(spark, sf).columns
+
+
+@query("graph_fk_declared")
+def _(spark, sf):
+    return _strict_catalog(spark, sf).fks.drop("fk_ord")
+
+
 @query("graph_fk_infer")
 def _(spark, sf):
     return _ddl_catalog(spark, sf).fks.drop("fk_ord")
@@ -728,31 +743,33 @@ def _(spark, sf):
 
 @query("job_prepare")
 def _(spark, sf):
-    """The preparation of the first rows of every dataset and split; its SQL has the same cut."""
-    return _prepared(spark, sf, first_n=FIRST_N)
+    """How many records a preparation of all rows writes in each format."""
+    folder = _prepared(spark, sf)
+    lines = spark.read.text(f"{folder}/records")
+    return lines.groupBy("format", "split").agg(F.count("*").alias("records"))
 
 
 @query("job_prepare_all")
 def _(spark, sf):
     """The whole preparation, over all rows of the three corpora."""
-    return _prepared(spark, sf)
+    kinds = "example_id long, dataset string, split string, sql string, schema string, num_tables int"
+    rows = readers.read_lines(spark, f"{_prepared(spark, sf)}/records/format=lines", kinds)
+    return rows.select("example_id", "dataset", "split", "sql", "schema", "num_tables")
 
 
-def _prepared(spark: SparkSession, sf: str, first_n: int | None = None) -> DataFrame:
-    """What the files of a preparation hold."""
+def _prepared(spark: SparkSession, sf: str) -> str:
+    """The folder of a preparation of all rows."""
     folder = fresh_path(spark, "prepared")
     logical = logical_queries(spark, sf).withColumn("example_id", -F.col("example_id") - 1).withColumn(
         "split", F.lit("train")
     )
     jobs.prepare(
-        folder, jobs.Options(first_n=first_n, drop_empty=["instruction"]),
+        folder, jobs.Options(drop_empty=["instruction"]),
         catalog_corpus=fx(spark, sf, "corpora").where("dataset = 'catalog'"), schemas=_catalog(spark, sf),
         ddl_corpus=fx(spark, sf, "corpora_ddl").where("dataset <> 'catalog'"),
         logical=logical, single_tables=single_table_records(spark, sf),
     )
-    kinds = "example_id long, dataset string, split string, sql string, schema string, num_tables int"
-    rows = readers.read_lines(spark, f"{folder}/records/format=lines", kinds)
-    return rows.select("example_id", "dataset", "split", "sql", "schema", "num_tables")
+    return folder
 
 
 @query("job_candidates")
@@ -872,6 +889,16 @@ def _(spark, sf):
     return evaluate.same_result_sets(result_rows(spark, sf), fx(spark, sf, "result_runs"))
 
 
+@query("eval_result_sets_typed")
+def _(spark, sf):
+    rows = typed_result_rows(spark, sf)
+    runs = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("example_id"),
+        (F.col("o_custkey") % 7 != 0).alias("gold_ran"), (F.col("o_custkey") % 5 != 0).alias("pred_ran"),
+    )
+    return evaluate.same_typed_result_sets(rows, runs)
+
+
 @query("eval_verdict")
 def _(spark, sf):
     rows = evaluate.verdicts(fx(spark, sf, "orders_eval"))

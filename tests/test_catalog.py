@@ -141,3 +141,61 @@ def test_single_table_pairs_up_to_the_shorter_list(spark):
         ("1", "T", "a", "text", True), ("1", "T", "b", "real", False),
         ("2", "table", "x", "text", True),
     ]
+
+
+STRICT = '''-- CREATE TABLE ghost (x int);
+CREATE TABLE IF NOT EXISTS "main"."Order ""X""" (
+  id INTEGER PRIMARY KEY, name VARCHAR(255) NOT NULL DEFAULT 'a, (b', -- a comment, with (parens
+  price DECIMAL(10, 2) CHECK (price > 0 AND (price < 10 OR (price = 11))), "unit price" DOUBLE PRECISION,
+  `key` VARCHAR(10), key2, flag, /* x, y ( */ tags TEXT[], cid INT REFERENCES shop.customer (ID),
+  CONSTRAINT fk FOREIGN KEY (name, price) REFERENCES [Customer] (nm, pr) ON DELETE CASCADE,
+  UNIQUE (name), KEY idx (name(10)), CHECK (a IN ('x','y')) );
+create temporary table shop.Customer(Id int, nm text, pr number, key VARCHAR(10), index INT,
+  PRIMARY KEY (Id, nm DESC), owner_ref int references Owner, lost int references nowhere (x));
+CREATE TABLE Owner (oid INT, order_id INT, PRIMARY KEY(oid)); CREATE TABLE "order" (id int primary key);
+CREATE TABLE only_keys (PRIMARY KEY (x)); CREATE TABLE open_end (a int, b varchar(3
+'''
+
+
+def test_strict_ddl(spark):
+    frame = spark.createDataFrame(
+        [("s", STRICT), ("n", None), ("e", ""), ("z", "select 1; )(,")], "schema_id string, ddl string"
+    )
+    found = C.catalog_from_ddl(frame, strict=True)
+    names = [r["table_name"] for r in found.tables.orderBy("table_ord").collect()]
+    assert names == ['Order "X"', "Customer", "Owner", "order", "only_keys", "open_end"]
+    columns = found.columns.orderBy("table_ord", "col_ord").collect()
+    assert {r["schema_id"] for r in columns} == {"s"}
+    assert [(r["table_ord"], r["col_name"], r["dtype"], r["is_pk"]) for r in columns] == [
+        (0, "id", "number", True), (0, "name", "text", False), (0, "price", "number", False),
+        (0, "unit price", "number", False), (0, "key", "text", False), (0, "key2", "text", False),
+        (0, "flag", "text", False), (0, "tags", "text", False), (0, "cid", "number", False),
+        (1, "Id", "number", True), (1, "nm", "text", True), (1, "pr", "number", False),
+        (1, "key", "text", False), (1, "index", "number", False), (1, "owner_ref", "number", False),
+        (1, "lost", "number", False), (2, "oid", "number", True), (2, "order_id", "number", False),
+        (3, "id", "number", True), (5, "a", "number", False), (5, "b", "text", False),
+    ]
+    keys = found.fks.select("from_table", "from_column", "to_table", "to_column").collect()
+    assert sorted(map(tuple, keys)) == sorted([
+        ('Order "X"', "cid", "Customer", "Id"), ('Order "X"', "name", "Customer", "nm"),
+        ('Order "X"', "price", "Customer", "pr"), ("Customer", "owner_ref", "Owner", "oid"),
+        # not declared, inferred from the name
+        ("Owner", "order_id", "order", "id"),
+    ])
+
+
+def test_strict_ddl_defined_twice(spark):
+    text = "CREATE TABLE a (x int); CREATE TABLE b (y int); CREATE TABLE a (z varchar(9), w int)"
+    frame = spark.createDataFrame([("s", text)], "schema_id string, ddl string")
+    columns = C.catalog_from_ddl(frame, strict=True).columns.orderBy("table_ord", "col_ord").collect()
+    assert [(r["table_ord"], r["table_name"], r["col_name"]) for r in columns] == [
+        (0, "a", "z"), (0, "a", "w"), (1, "b", "y")
+    ]
+
+
+def test_strict_ddl_of_many_columns(spark):
+    """The time grows with the text: no expression is computed again per column."""
+    body = ", ".join(f"c{i} DECIMAL(10,{i % 9}) DEFAULT '(,'" for i in range(3000))
+    frame = spark.range(1).selectExpr("'s' as schema_id", f"\"CREATE TABLE t ({body})\" as ddl")
+    found = C.catalog_from_ddl(frame, strict=True).columns
+    assert found.where("dtype = 'number'").count() == 3000

@@ -301,3 +301,38 @@ def test_selection(spark):
     ]
     rates = {r.method: r.share for r in candidates.method_rates(chosen).collect()}
     assert rates["executed"] == 100 / 6 and len(rates) == 6
+
+
+@pytest.mark.parametrize("gold,pred,same", [
+    ("1", "1.0D", True), ("1", "cast(1 as decimal(20,5))", True), ("1", "'1'", False), ("1", "true", True),
+    ("0", "false", True), ("-0.0D", "0", True), ("0.1D", "0.1BD", True), ("1.5BD", "1.50BD", True),
+    ("1e300D", "1e300D", True), ("1e-300D", "0", False), ("9223372036854775807", "9223372036854775806", False),
+    ("cast('NaN' as double)", "cast('NaN' as double)", False), ("cast(null as int)", "cast(null as string)", True),
+    ("cast(null as int)", "''", False), ("array(1, 2)", "array(1, 2)", True), ("array(1, 2)", "array(2, 1)", False),
+    ("named_struct('b', 1, 'a', 2)", "named_struct('a', 2, 'b', 1)", True), ("X'41'", "'A'", False),
+    ("date'2020-01-01'", "date'2020-01-01'", True), ("date'2020-01-01'", "'2020-01-01'", False),
+    ("cast('Infinity' as double)", "cast('Infinity' as double)", True),
+])
+def test_typed_rows(spark, gold, pred, same):
+    def variant(x):
+        nested = x.startswith(("named_struct",))
+        return f"to_variant_object({x})" if nested else f"cast({x} as variant)"
+
+    rows = spark.sql(
+        f"select 1L as example_id, 'gold' as side, array({variant(gold)}) as row"
+        f" union all select 1L, 'pred', array({variant(pred)})"
+    )
+    runs = spark.createDataFrame([(1, True, True)], "example_id long, gold_ran boolean, pred_ran boolean")
+    assert evaluate.same_typed_result_sets(rows, runs).first()["same_result"] is same
+
+
+def test_typed_rows_are_sets(spark):
+    rows = spark.sql("""
+      select 1L as example_id, side, array(cast(v as variant), cast(null as variant)) as row
+      from values ('gold', 1), ('gold', 1), ('gold', 2), ('pred', 2), ('pred', 1) t(side, v)""")
+    runs = spark.createDataFrame(
+        [(1, True, True), (2, True, True), (3, True, False)],
+        "example_id long, gold_ran boolean, pred_ran boolean",
+    )
+    found = evaluate.same_typed_result_sets(rows, runs).collect()
+    assert {r["example_id"]: r["same_result"] for r in found} == {1: True, 2: True, 3: False}
