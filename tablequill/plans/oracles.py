@@ -412,6 +412,7 @@ ORACLES["sem_name_parts"] = oracle(
 )
 ORACLES["sem_pairs"] = oracle("select schema_id, source, target, score from pairs", *SEM_CTES)
 ORACLES["sem_top5"] = oracle("select schema_id, source, target, score, rank from top5", *SEM_CTES)
+ORACLES["sem_top5_of_pairs"] = ORACLES["sem_top5"]
 ORACLES["text_dispatch"] = oracle(
     f"""
     select 'structured' as style, schema_id,
@@ -529,14 +530,18 @@ VARIANTS = f"""variants as (select schema_id, element, table_ord, col_ord, j, vs
 ORACLES["link_table_vector"] = oracle(
     f"""
     select example_id, w as question_text, table_name as schema_element, 'table' as link_type,
-      round(list_dot_product(a.v, b.v), 6) as confidence,
+      round(s, 6) as confidence,
       cast(strpos(low, w) - 1 as int) as span_start, cast(strpos(low, w) - 1 + length(w) as int) as span_end
-    from cw join fx_tables t using (schema_id)
-    join vec a on a.term = w join vec b on b.term = lower(t.table_name)
-    where list_dot_product(a.v, b.v) >= {VECTOR_THRESHOLD}
+    from cw join near using (schema_id, w)
     """,
     *_link_ctes("fx_questions")[:3], VEC,
     _content_cte("example_id not in (select example_id from tl)", 3),
+    # every product of two distinct terms once, the questions are joined to what is left
+    "said as materialized (select distinct schema_id, w from cw)",
+    f"""near as materialized (select schema_id, w, table_name, s from (
+      select schema_id, w, table_name, list_dot_product(a.v, b.v) as s
+      from said join fx_tables t using (schema_id)
+      join vec a on a.term = w join vec b on b.term = lower(t.table_name)) x where s >= {VECTOR_THRESHOLD})""",
 )
 ORACLES["link_column_vector"] = oracle(
     f"""

@@ -512,7 +512,13 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _top_links(spark: SparkSession, sf: str) -> DataFrame:
     """At most five links per schema, stored once for all texts that show them."""
-    return stored(spark, sf, "top_links", lambda: semantic.top_links(_pairs(spark, sf)))
+    return stored(spark, sf, "top_links", lambda: _best_links(spark, sf))
+
+
+def _best_links(spark: SparkSession, sf: str) -> DataFrame:
+    return semantic.best_links(
+        fx(spark, sf, "columns"), fx(spark, sf, "fks"), fx(spark, sf, "term_vectors"), VECTOR_THRESHOLD
+    )
 
 
 @query("sem_pairs")
@@ -522,6 +528,12 @@ def _(spark, sf):
 
 @query("sem_top5")
 def _(spark, sf):
+    return _best_links(spark, sf)
+
+
+@query("sem_top5_of_pairs")
+def _(spark, sf):
+    """The same rows, ranked among all similar pairs."""
     top = semantic.top_links(_pairs(spark, sf))
     return top.select("schema_id", "source", "target", "score", "rank")
 

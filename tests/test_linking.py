@@ -242,3 +242,53 @@ print("pairs", similar_terms(df, df, ["g"], 0.5, True).count())
         [sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180
     )
     assert "pairs 4" in done.stdout, done.stderr[-2000:]
+
+
+def _wide_schema(spark, seed=3, columns=60):
+    """Columns with few different name parts: nearly all pairs are similar."""
+    import random
+
+    r = random.Random(seed)
+    parts = [f"p{i}" for i in range(8)] + ["id", "code"]
+    rows, fks = [], []
+    for schema in ("a", "b", "c"):
+        for i in range(columns if schema != "c" else 2):
+            name = "_".join(r.choice(parts) for _ in range(r.choice((1, 1, 2, 3))))
+            rows.append((schema, i % 7, f"t{i % 7}", i // 7, name))
+        fks += [(schema, k, *r.choice([x[2:5:2] for x in rows if x[0] == schema]),
+                 *r.choice([x[2:5:2] for x in rows if x[0] == schema])) for k in range(12)]
+    angle = [(p, [1.0, 0.05 * i, 0.3 * (i % 3)]) for i, p in enumerate(parts[:-1])]
+    frame = spark.createDataFrame(rows, "schema_id string, table_ord int, table_name string, col_ord int, col_name string")
+    keys = spark.createDataFrame(
+        fks, "schema_id string, fk_ord int, from_table string, from_column string, to_table string, to_column string"
+    )
+    return frame, keys, spark.createDataFrame(angle, "term string, vector array<double>")
+
+
+@pytest.mark.parametrize("n,threshold", [(5, 0.7), (1, 0.97), (40, 0.9)])
+def test_best_links_equal_ranked_pairs(spark, n, threshold):
+    from tablequill.operators import semantic
+
+    columns, fks, vectors = _wide_schema(spark)
+    pairs = semantic.similar_columns(columns, fks, vectors, threshold).withColumn("score", F.round("score", 6))
+    names = ["schema_id", "source", "target", "score", "rank"]
+    wanted = sorted(map(tuple, semantic.top_links(pairs, n).select(*names).collect()))
+    found = sorted(map(tuple, semantic.best_links(columns, fks, vectors, threshold, n).select(*names).collect()))
+    assert found == wanted and len(found) >= n
+
+
+def test_best_links_open_few_pairs(spark):
+    """Ten thousand columns of one name: five pairs are taken, fifty million are never made."""
+    import pyarrow as pa
+
+    from tablequill.operators import semantic
+
+    n = 10_000
+    columns = pa.table({
+        "schema_id": ["s"] * n, "table_name": [f"t{i}" for i in range(n)],
+        "full_name": [f"t{i}.name" for i in range(n)], "parts": [["name"]] * n,
+        "table_ord": list(range(n)), "col_ord": [0] * n,
+    })
+    links = pa.table({"left": ["name", "t0.name"], "right": ["name", "t1.name"], "similarity": [1.0, None]})
+    found = semantic._best_first(5, 6)(columns, links).to_pylist()
+    assert [(r["source"], r["target"]) for r in found] == [("t0.name", f"t{i}.name") for i in range(2, 7)]
