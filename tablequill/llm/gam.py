@@ -37,7 +37,7 @@ def features(texts: pa.Array) -> np.ndarray:
     return np.column_stack([
         np.log1p(m["n_words"]), m["word_chars"] / words, m["n_symbols"] / words,
         m["n_dup_lines"] / lines, m["n_repeat_words"] / words, m["n_upper"] / letters,
-        m["n_marks"] / words, m["n_distinct_words"] / words, m["n_ends"] / words,
+        m["n_marks"] / words, m["n_window_words"] / words, m["n_ends"] / words,
         m["n_short_words"] / words, m["n_digits"] / words, m["n_wide"] / words,
         np.log1p(m["longest_word"]), np.log1p(m["n_words"] / lines),
     ])
@@ -183,6 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
         docs.select(F.col(id_col).alias("_label_id"), F.col(text).alias("_text"))
         .join(sample, "_label_id")
         .select("_label_id", "_target", _feature_column("_text").alias("_x"))
+        # one row per id, however often it repeats
+        .groupBy("_label_id", "_target").agg(F.min("_x").alias("_x"))
         .toPandas()
     )
     if len(found) == 0:

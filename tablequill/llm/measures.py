@@ -35,12 +35,9 @@ def _lines(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[n
     at = np.flatnonzero(begins[:-1])
     lengths = np.diff(np.concatenate([at, [len(data)]]))
     # the line feed that ends a line is no part of it
-    plain = data.copy()
     ends = at + lengths - 1
     closed = data[ends] == 10
-    values, places = tk._tables()
-    within = np.arange(len(data)) - np.repeat(at, lengths)
-    parts = values[plain] * places[within & (len(places) - 1)]
+    parts = tk.byte_parts(data, at, lengths)
     parts[ends[closed]] = 0
     keys = tk.mix(np.add.reduceat(parts, at) + (lengths - closed).astype(np.uint64))
     total = np.concatenate([[0], np.cumsum(inside, dtype=np.int64)])

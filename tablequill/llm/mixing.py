@@ -3,7 +3,7 @@
 Sources get targets in words; a target above a cap is cut and the rest shared
 again by weight. Of a source, complete epochs are taken first; the remainder is
 a weighted sample without replacement: documents in the order of exponential
-keys -ln(u) / weight, from a hash u of the document and its quality weight, are
+keys -ln(u) / weight, from a hash u of the id and the text and the quality weight, are
 taken until the words reach the budget. Built-in functions only.
 """
 
@@ -68,9 +68,10 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return rows.select("source", "source_size", reached.alias("target"))
 
 
-def _uniform(key: Column, seed: int) -> Column:
-    """In (0, 1), from the first 13 hexadecimal digits of an MD5 hash."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 13)
+def _uniform(key: Column, text: Column, seed: int) -> Column:
+    """In (0, 1), from the first 13 hexadecimal digits of an MD5 hash of the id and the text's hash."""
+    id_text, none = key.cast("string"), F.lit("")
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_text, none), F.lit(":"), text)), 1, 13)
     return (F.conv(digits, 16, 10).cast("long") + 0.5) / F.lit(float(1 << 52))
 
 
@@ -78,9 +79,11 @@ def _sizes(docs: DataFrame, id_col: str, text: str, source: str, weight: Column
     weight = quality_weight(F.col(text)) if weight is None else weight
     return docs.select(
         F.col(id_col).alias("_id"), F.col(source).alias("_source"),
-        n_words(F.col(text)).alias("_size"),
-        (-F.ln(_uniform(F.col(id_col), seed)) / weight).alias("_key"),
-    ).withColumn("_bucket", F.floor(F.ln("_key") * BUCKETS))
+        n_words(F.col(text)).alias("_size"), F.coalesce(F.md5(F.col(text)), F.lit("")).alias("_hash"),
+        weight.alias("_weight"),
+    ).withColumn(
+        "_key", -F.ln(_uniform(F.col("_id"), F.col("_hash"), seed)) / F.col("_weight")
+    ).withColumn("_bucket", F.floor(F.ln("_key") * BUCKETS)).drop("_weight")
 
 
 def _taken(rows: DataFrame, shares: dict) -> DataFrame:
@@ -99,7 +102,7 @@ def _taken(rows: DataFrame, shares: dict) -> DataFrame:
         "_s", "_b", "_before", F.col("source_size").alias("_source_size"), F.col("target").alias("_target")
     )
     inside = (
-        Window.partitionBy("_source", "_bucket").orderBy("_key", "_id")
+        Window.partitionBy("_source", "_bucket").orderBy("_key", "_id", "_hash", "_size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     ranked = rows.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
@@ -117,8 +120,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     ``taken`` words: complete epochs of the source, then documents in the order
     of the sample while their sizes fit the rest of the target; the last one is
     taken in part, so a source's words add up to its target rounded down. NULL
-    and empty texts have size 0 and take 0. A NULL source is a source; a NULL id
-    has the hash of the empty string; of rows with equal keys any may come first.
+    and empty texts have size 0 and take 0. A NULL source is a source, a NULL id is
+    an id. Rows with equal ids are ordered by their texts, so that reruns agree in
+    whatever order the rows are stored; only rows that are equal in both share a key.
     """
     rows = _taken(settle(_sizes(docs, id_col, text, source, weight, seed), "sizes"), shares)
     return rows.select(

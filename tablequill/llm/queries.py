@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablequill.llm import (
     bloom_lines,
@@ -63,12 +65,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # its SQL has the rules of policy 3; op8_rule_ledger_policy4 has the current ones
+    return rule_ledger.op8_rows(_documents(spark, sf_dir))
+
+
+def op8_policy3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ledger.op8_rows(_documents(spark, sf_dir), version=3)
 
 
-def op8_policy4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rule_ledger.op8_rows(_documents(spark, sf_dir), version=4)
+def op8_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, from one stored ledger."""
+    stored = rule_ledger.store(_documents(spark, sf_dir))
+    parts = [
+        rule_ledger.ablations(stored, v).select(F.lit(v).alias("policy"), "*") for v in rule_ledger.POLICIES
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +119,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 # Other versions of an operator's query.
 VERSIONS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op8_rule_ledger_policy4": op8_policy4,
+    "op8_rule_ledger_policy3": op8_policy3,
+    "op8_rule_ledger_ablations": op8_ablations,
 }
 
 _LINKS_SQL = """
@@ -170,11 +181,11 @@ from embeddings join classes using (vec_id) left join degrees using (vec_id)
 _MIX_SQL = """
 with
   docs as (
-    select doc_id, source,
+    select doc_id, source, coalesce(md5(text), '') as hash,
       coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
       greatest(0.05, 1 - 4 * (coalesce(length(text) - length(translate(text, '#*$%&|<>!', '')), 0)::double
         / greatest(coalesce(length(text), 0), 1))) as weight,
-      (('0x' || substr(md5('11:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint + 0.5)
+      (('0x' || substr(md5('11:' || coalesce(doc_id::varchar, '') || ':' || coalesce(md5(text), '')), 1, 13))::bigint + 0.5)
         / 4503599627370496.0::double as u
     from documents
   ),
@@ -203,7 +214,7 @@ with
   ),
   ranked as (
     select doc_id, source, size,
-      coalesce(sum(size) over (partition by source order by -ln(u) / weight, doc_id
+      coalesce(sum(size) over (partition by source order by -ln(u) / weight, doc_id nulls first, hash
         rows between unbounded preceding and 1 preceding), 0) as first
     from docs
   ),
@@ -286,6 +297,19 @@ _RULES4_SQL = (
     .replace("fail_bits = 0 as kept", "(fail_bits & 479) = 0 as kept")
 )
 
+_ABLATIONS_SQL = (
+    _RULES4_SQL[: _RULES4_SQL.rindex("select doc_id, n_words")].rstrip()
+    + """,
+  policies as (select unnest([{'policy': 1, 'mask': 3}, {'policy': 2, 'mask': 31},
+    {'policy': 3, 'mask': 255}, {'policy': 4, 'mask': 479}], recursive := true)),
+  rules as (select unnest(range(9)) as bit, unnest(['few_words', 'repeated_windows', 'symbols', 'marks',
+    'capitals', 'few_distinct_words', 'duplicate_lines', 'word_length', 'few_distinct_in_windows']) as rule)
+select policy, rule, count(*) filter (fail_bits & (1 << bit) <> 0) as failed,
+  count(*) filter (fail_bits & mask = (1 << bit)) as only
+from policies join rules on mask & (1 << bit) <> 0, ledger group by policy, rule
+"""
+)
+
 _SEARCH_SQL = """
 with
   texts as (
@@ -404,8 +428,9 @@ ORACLES = {
     "op4_lsh_forest": _LINKS_SQL,
     "op5_subspace_join": _VECTORS_SQL,
     "op6_mixing": _MIX_SQL,
-    "op8_rule_ledger": _RULES_SQL,
-    "op8_rule_ledger_policy4": _RULES4_SQL,
+    "op8_rule_ledger": _RULES4_SQL,
+    "op8_rule_ledger_policy3": _RULES_SQL,
+    "op8_rule_ledger_ablations": _ABLATIONS_SQL,
     "op11_rmq_search": _SEARCH_SQL,
     "op12_bloom_lines": _LINES_SQL,
     "op13_prefix_audit": _AUDIT_SQL,

@@ -112,14 +112,23 @@ def words(
     return Words(inside, starts, ends, np.searchsorted(starts, offsets))
 
 
+def byte_parts(data: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Per byte of the spans a number that depends on the byte and its whole position in the span."""
+    values, places = _tables()
+    at = np.arange(len(data)) - np.repeat(begins, lengths)
+    factors = places[at & (_POSITIONS - 1)]
+    if len(lengths) and int(lengths.max()) > _POSITIONS:
+        far = np.flatnonzero(at >= _POSITIONS)
+        factors[far] *= mix((at[far] >> 16).astype(np.uint64)) | np.uint64(1)
+    return values[data] * factors
+
+
 def span_hashes(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Hashes of adjacent spans that together make up ``data``; no span is empty."""
     if len(lengths) == 0:
         return np.empty(0, np.uint64)
-    values, places = _tables()
     begins = np.cumsum(lengths) - lengths
-    at = np.arange(len(data)) - np.repeat(begins, lengths)
-    parts = values[data] * places[at & (_POSITIONS - 1)]
+    parts = byte_parts(data, begins, lengths)
     return mix(np.add.reduceat(parts, begins) + lengths.astype(np.uint64))
 
 

@@ -10,6 +10,7 @@ cannot carry weight of its own.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,27 +35,65 @@ MIN_DOCUMENTS = 3
 # Beginnings of words, in bytes, and the counts that make a feature.
 PREFIXES = (4, 5, 6, 7, 8)
 LEVELS = 3
-# Sentences of one sampled document that are swapped.
-SWAPS_PER_DOCUMENT = 16
+# Sentences that name a group and are swapped, of all sampled documents together, at most
+# about so many; beyond that a sample by their hashes, spread over all of them.
+SWAPPED_SENTENCES = 200_000
 
-# Names of groups, by kind; a name is swapped for the next of its kind, and for
-# NEUTRAL, so that names cannot gain weight together either.
-NEUTRAL = "people"
+# Names of groups, by language and kind; a name is swapped for the next of its kind, and for
+# the neutral word of its language, so that names cannot gain weight together either.
 IDENTITY_TERMS = {
-    "gender": ["women", "men", "woman", "man", "girls", "boys", "transgender", "nonbinary"],
-    "belief": ["christian", "muslim", "jewish", "hindu", "buddhist", "sikh", "atheist", "catholic",
-               "christians", "muslims", "jews", "hindus", "buddhists", "sikhs", "atheists"],
-    "orientation": ["gay", "lesbian", "straight", "bisexual", "queer", "heterosexual"],
-    "origin": ["black", "white", "asian", "african", "european", "latino", "hispanic", "arab",
-               "indian", "chinese", "mexican", "american", "indigenous"],
-    "status": ["immigrants", "refugees", "migrants", "citizens", "foreigners", "natives"],
-    "body": ["blind", "deaf", "disabled", "autistic", "elderly", "old", "young"],
+    "people": {
+        "gender": ["women", "men", "woman", "man", "girls", "boys", "transgender", "nonbinary"],
+        "belief": ["christian", "muslim", "jewish", "hindu", "buddhist", "sikh", "atheist", "catholic",
+                   "christians", "muslims", "jews", "hindus", "buddhists", "sikhs", "atheists"],
+        "orientation": ["gay", "lesbian", "straight", "bisexual", "queer", "heterosexual"],
+        "origin": ["black", "white", "asian", "african", "european", "latino", "hispanic", "arab",
+                   "indian", "chinese", "mexican", "american", "indigenous"],
+        "status": ["immigrants", "refugees", "migrants", "citizens", "foreigners", "natives"],
+        "body": ["blind", "deaf", "disabled", "autistic", "elderly", "old", "young"],
+    },
+    "leute": {
+        "gender": ["frauen", "männer", "frau", "mann", "mädchen", "jungen"],
+        "belief": ["christen", "muslime", "juden", "hindus", "buddhisten", "atheisten", "katholiken"],
+        "orientation": ["schwule", "lesben", "heterosexuelle", "bisexuelle"],
+        "origin": ["schwarze", "weiße", "asiaten", "afrikaner", "europäer", "araber", "türken", "deutsche"],
+        "status": ["einwanderer", "flüchtlinge", "ausländer", "einheimische"],
+        "body": ["blinde", "gehörlose", "behinderte", "autisten", "alte", "junge"],
+    },
+    "gente": {
+        "gender": ["mujeres", "hombres", "mujer", "hombre", "niñas", "niños"],
+        "belief": ["cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos", "católicos"],
+        "orientation": ["gays", "lesbianas", "heterosexuales", "bisexuales"],
+        "origin": ["negros", "blancos", "asiáticos", "africanos", "europeos", "árabes", "latinos", "gitanos"],
+        "status": ["inmigrantes", "refugiados", "extranjeros", "ciudadanos"],
+        "body": ["ciegos", "sordos", "discapacitados", "autistas", "ancianos", "jóvenes"],
+    },
+    "gens": {
+        "gender": ["femmes", "hommes", "femme", "homme", "filles", "garçons"],
+        "belief": ["chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées", "catholiques"],
+        "orientation": ["homosexuels", "lesbiennes", "hétérosexuels", "bisexuels"],
+        "origin": ["noirs", "blancs", "asiatiques", "africains", "européens", "arabes", "roms"],
+        "status": ["immigrés", "réfugiés", "étrangers", "citoyens"],
+        "body": ["aveugles", "sourds", "handicapés", "autistes", "vieux", "jeunes"],
+    },
 }
 
 
-def _swaps() -> dict[str, str]:
-    return {t: terms[(i + 1) % len(terms)] for terms in IDENTITY_TERMS.values()
-            for i, t in enumerate(terms)}
+def _swaps() -> dict[str, tuple[str, str]]:
+    """Each name with the next of its kind and the neutral word of its language."""
+    return {
+        t: (names[(i + 1) % len(names)], neutral)
+        for neutral, kinds in IDENTITY_TERMS.items() for names in kinds.values() for i, t in enumerate(names)
+    }
+
+
+def _named_pattern() -> re.Pattern:
+    return re.compile(r"\b(" + "|".join(sorted(_swaps(), key=len, reverse=True)) + r")\b")
+
+
+def naming_sentences(text: str, pattern: re.Pattern) -> list[str]:
+    """The sentences of a lower-case text that name a group."""
+    return [s for s in re.split(r"[.!?\n]+", text) if pattern.search(s)]
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,14 +210,20 @@ def _counts(texts: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame
     )
 
 
-def _examples(vocabulary: np.ndarray):
+def _count_naming(texts: pa.Array) -> pa.Array:
+    names = _named_pattern()
+    return pa.array([len(naming_sentences(t, names)) for t in _lower(texts).to_pylist()], pa.int64())
+
+
+def _examples(vocabulary: np.ndarray, share: float):
     """Function from sampled documents to rows of feature numbers, level * size + place.
 
+    Of the sentences that name a group the ``share`` with the lowest hashes is swapped.
+
     ``kind`` -1 is the document itself; 0, 1, ... a swapped sentence, of which
     ``idx`` has what the swap adds and ``gone`` what it removes.
     """
-    swaps, size = _swaps(), max(len(vocabulary), 1)
-    names = re.compile(r"\b(" + "|".join(sorted(swaps, key=len, reverse=True)) + r")\b")
+    swaps, size, names = _swaps(), max(len(vocabulary), 1), _named_pattern()
 
     def numbers(texts: pa.Array) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -198,10 +243,10 @@ def _examples(vocabulary: np.ndarray):
             target = batch.column("_target").to_pylist()
             out = [(ids[i], target[i], -1, x.tolist(), []) for i, x in enumerate(numbers(texts))]
             for i, text in enumerate(texts.to_pylist()):
-                named = [s for s in re.split(r"[.!?\n]+", text) if names.search(s)]
-                named = named[:SWAPS_PER_DOCUMENT]
-                swapped = [names.sub(lambda m: swaps[m.group(1)], s) for s in named]
-                swapped += [names.sub(NEUTRAL, s) for s in named]
+                named = naming_sentences(text, names)
+                if share < 1:
+                    named = [s for s in named if zlib.crc32(s.encode()) < share * (1 << 32)]
+                swapped = [names.sub(lambda m: swaps[m.group(1)][k], s) for k in (0, 1) for s in named]
                 both = numbers(pa.array(named * 2 + swapped, pa.string()))
                 for k, (a, b) in enumerate(zip(both[: len(swapped)], both[len(swapped) :])):
                     add, gone = np.setdiff1d(b, a), np.setdiff1d(a, b)
@@ -298,18 +343,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
           id_col: str = "doc_id", text: str = "text") -> Model:
     """Fit on about ``rows`` labelled documents (see ``labelled.training_labels``).
 
-    The ids of the sample are broadcast (bounded by ``rows``) and their texts
-    stored; features are counted in Spark. Names of groups are always among the
-    features, so that the penalty sees them.
+    The ids of the sample are broadcast (bounded by ``rows``) and one text of
+    each is stored, the one with the lowest hash where an id repeats; features
+    are counted in Spark. Names of groups are always among the features, so that
+    the penalty sees them. All sentences that name a group are swapped, up to
+    SWAPPED_SENTENCES of all documents.
     """
     sample = F.broadcast(labelled.training_labels(labels, label, rows))
+    found = docs.select(F.col(id_col).alias("_label_id"), F.col(text).alias("_text")).join(sample, "_label_id")
     texts = settle(
-        docs.select(F.col(id_col).alias("_label_id"), F.col(text).alias("_text")).join(
-            sample, "_label_id"
-        ),
-        "labelled",
+        found.groupBy("_label_id", "_target").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text")), "labelled"
     )
-    total, ones = texts.agg(F.count("*"), F.coalesce(F.sum("_target"), F.lit(0))).first()
+    naming = F.arrow_udf(_count_naming, T.LongType())("_text")
+    total, ones, sentences = texts.select("_target", naming.alias("n")).agg(
+        F.count("*"), F.coalesce(F.sum("_target"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))
+    ).first()
+    share = min(1.0, SWAPPED_SENTENCES / max(sentences, 1))
     [(_, data, offsets)] = tk.slices(pa.array(sorted(_swaps())))
     names = np.unique(_features(data, offsets)[0])
     chosen = _vocabulary(texts, total, ones) if 0 < ones < total else names[:0]
@@ -319,7 +368,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         T.StructField("kind", T.IntegerType()), T.StructField("idx", T.ArrayType(T.IntegerType())),
         T.StructField("gone", T.ArrayType(T.IntegerType())),
     ])
-    found = texts.mapInArrow(_examples(vocabulary), schema).toPandas()
+    found = texts.mapInArrow(_examples(vocabulary, share), schema).toPandas()
     # the order of rows decides the last bits of sums: make it the same on every run
     found = found.sort_values(["_label_id", "kind", "_target"], kind="stable")
     whole, swapped = found[found["kind"] < 0], found[found["kind"] >= 0]

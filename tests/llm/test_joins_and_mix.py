@@ -306,3 +306,18 @@ def test_pipeline(spark, documents):
         assert set(after) <= before and (name == "mixing" or len(after) == len(set(after)))
     assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(r.doc_id for r in docs.collect())
     assert similar([(i, t) for i, t in set((r.doc_id, r.text) for r in docs.collect())]) == []
+
+
+def test_mix_agrees_for_equal_and_missing_ids(spark):
+    """The physical order of rows decides nothing, also where ids repeat or are NULL."""
+    from tablequill.llm import mixing
+
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in range(1, 60)]
+    for ids in ([7] * 59, [None] * 59, [1, None, 2] * 20):
+        rows = [(i, t, "s") for i, t in zip(ids, texts)]
+
+        def taken(rows, parts):
+            frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+            return sorted(((r["size"], r["taken"]) for r in mixing.mix(frame).collect()))
+
+        assert taken(rows, 1) == taken(rows[::-1], 3)

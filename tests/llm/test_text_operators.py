@@ -423,3 +423,84 @@ def test_plan_of_many_pieces():
     assert max(fill.values()) == 1
     total = sum(length * n for length, n in numbers.items())
     assert made.n_sequences <= total / 200 * 1.02 + 1
+
+
+def test_long_words_with_swapped_bytes_differ():
+    """Two bytes swapped 65,536 apart: hashes, ids, duplicate lines and shingles tell the texts apart."""
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+
+    from tablequill.llm import encoding, measures
+    from tablequill.llm import textkernel as tk
+
+    a, b = "a" + "x" * 65535 + "b" + "x" * 10, "b" + "x" * 65535 + "a" + "x" * 10
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    first, second = tk.span_hashes(data, np.array([len(a), len(b)]))
+    assert first != second
+    found = measures.measure(pa.array([f"{a}\n{b}\n{a}"]))
+    assert (found["n_dup_lines"][0], found["n_distinct_words"][0]) == (1, 2)
+    hashes = tk.span_hashes(data, np.array([len(a), len(b)]))
+    one, other = tk.shingles(hashes, np.array([0, 1, 2]))[0]
+    assert one != other
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encoder = encoding.Encoder(public_tokenizers.path(name))
+        [(_, ids, bounds)] = encoder.encode(pa.array([a, b]))
+        for i, text in enumerate((a, b)):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == encoder.whole.encode(text, add_special_tokens=False).ids
+
+
+def test_all_naming_sentences_are_swapped(spark):
+    """Also those after the sixteenth, and in four languages; a bound samples over all of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tablequill.llm import textkernel as tk
+    from tablequill.llm import toxicity
+
+    plain = ". ".join(f"the women number{i} sing" for i in range(20))
+    text = f"{plain}. die frauen singen. las mujeres cantan. les femmes chantent"
+    assert len(toxicity.naming_sentences(text, toxicity._named_pattern())) == 23
+    [(_, data, offsets)] = tk.slices(pa.array(sorted(toxicity._swaps())))
+    names = np.unique(toxicity._features(data, offsets)[0])
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1]), pa.array([1], pa.int32()), pa.array([text])], names=["_label_id", "_target", "_text"]
+    )
+    [out] = toxicity._examples(names, 1.0)(iter([batch]))
+    assert out.num_rows == 1 + 2 * 23 and all(len(x) for x in out.column("gone").to_pylist()[1:])
+    [out] = toxicity._examples(names, 0.5)(iter([batch]))
+    assert 1 + 2 * 4 < out.num_rows < 1 + 2 * 20 and out.num_rows % 2
+
+
+def test_repeated_ids_do_not_grow_the_training(spark):
+    from tablequill.llm import gam, toxicity
+
+    rows = [(i, f"text number{i} " * 12) for i in range(60)] + [(5, f"again {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    seen = []
+
+    def fitted(original):
+        def fit(documents, *args, **kw):
+            seen.append(len(documents))
+            return original(documents, *args, **kw)
+        return fit
+
+    for module in (toxicity, gam):
+        original = module.fit
+        module.fit = fitted(original)
+        try:
+            module.train(docs, labels)
+        finally:
+            module.fit = original
+    assert len(seen) == 2 and all(0 < n <= 60 for n in seen)
+
+
+def test_policies_read_the_stored_ledger(spark, odd, tmp_path):
+    from tablequill.llm import rule_ledger
+
+    stored = rule_ledger.store(odd, path=str(tmp_path / "ledger"))
+    plan = rule_ledger.ablations(rule_ledger.apply_policy(stored, 2), 2)._jdf.queryExecution().toString()
+    assert "ArrowEval" not in plan and "fail_bits" in plan
+    direct = rule_ledger.apply_policy(rule_ledger.ledger(odd)).where("kept").count()
+    assert rule_ledger.apply_policy(stored).where("kept").count() == direct
