@@ -31,6 +31,8 @@ from tablequill.session import settle
 
 MIN_DOCS = 10
 TOP_TERMS = 10
+# Postings of a segment row: a task holds the rows of one Arrow batch.
+SEGMENT_POSTINGS = 500_000
 # Bytes of the prefixes of the first level; each level has twice as many.
 FIRST_LEVEL = 4
 # Terms that meet in one matrix of sources x terms, and sources along one side of it.
@@ -46,7 +48,7 @@ _PREFIXES = "lang string, prefix binary, complete boolean, docs long"
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per language of a segment: its documents' terms, the vocabulary in byte order."""
-    for segment in terms.segments(batches, 0, [1, 2], terms.marked(terms.LETTERS)):
+    for segment in terms.segments(batches, 0, [1, 2], terms.marked(terms.LETTERS), SEGMENT_POSTINGS):
         p = segment.merged()
         langs = segment.column(0).dictionary_encode()
         lang = langs.indices.to_numpy(zero_copy_only=False)
@@ -104,6 +106,7 @@ def _level_rows(level: int, before: int, survivors):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            parts = []
             for i in range(batch.num_rows):
                 words, lang = _Terms(batch, i), batch.column(0)[i]
                 active = np.flatnonzero(words.length > before)
@@ -129,11 +132,16 @@ def _level_rows(level: int, before: int, survivors):
                 new = np.concatenate([[True], (np.diff(docs) != 0) | (np.diff(at) != 0)]) if len(at) else at > 0
                 counts = np.bincount(at[new], minlength=group[-1] + 1)
                 heads = np.flatnonzero(np.diff(group, prepend=-1))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang.as_py()] * len(heads), pa.string()),
-                    prefixes.take(pa.array(heads)).cast(pa.binary()),
-                    pa.array(complete[heads]), pa.array(counts, pa.int64()),
-                ], names=["lang", "prefix", "complete", "docs"])
+                parts.append(pa.table({
+                    "lang": pa.array([lang.as_py()] * len(heads), pa.string()),
+                    "prefix": prefixes.take(pa.array(heads)).cast(pa.binary()),
+                    "complete": pa.array(complete[heads]), "docs": pa.array(counts, pa.int64()),
+                }))
+            if parts:
+                # the segments of a batch are added up before they leave the task
+                keys = ["lang", "prefix", "complete"]
+                sums = pa.concat_tables(parts).group_by(keys, use_threads=False).aggregate([("docs", "sum")])
+                yield from sums.select([*keys, "docs_sum"]).rename_columns([*keys, "docs"]).to_batches()
 
     return rows
 

@@ -72,7 +72,8 @@ def postings(texts: pa.Array, table: np.ndarray) -> Iterator[Postings]:
 class Segment:
     """Postings of consecutive documents, collected until there are enough of them."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
+        self.most = most
         self.parts: list[Postings] = []
         self.columns: list[list[pa.Array]] = []
         self.documents = self.size = 0
@@ -85,7 +86,7 @@ class Segment:
         self.size += len(part.docs)
 
     def full(self) -> bool:
-        return self.size >= SEGMENT_POSTINGS or self.documents >= SEGMENT_DOCUMENTS
+        return self.size >= self.most or self.documents >= SEGMENT_DOCUMENTS
 
     def column(self, i: int) -> pa.Array:
         return pa.concat_arrays([c[i] for c in self.columns])
@@ -107,17 +108,19 @@ class Segment:
 
 
 def segments(
-    batches: Iterator[pa.RecordBatch], text: int, columns: list[int], table: np.ndarray
+    batches: Iterator[pa.RecordBatch], text: int, columns: list[int], table: np.ndarray,
+    most: int = SEGMENT_POSTINGS,
 ) -> Iterator[Segment]:
-    """Segments of the documents of a task; ``text`` and ``columns`` are column numbers."""
-    now = Segment()
+    """Segments of the documents of a task, of about ``most`` postings; ``text`` and
+    ``columns`` are column numbers."""
+    now = Segment(most)
     for batch in batches:
         for part in postings(batch.column(text), table):
             n = len(part.sizes)
             now.add(part, [batch.column(c).slice(part.first, n) for c in columns])
             if now.full():
                 yield now
-                now = Segment()
+                now = Segment(most)
     if now.documents:
         yield now
 
