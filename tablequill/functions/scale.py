@@ -14,6 +14,8 @@ HOT_SHARE = 1000
 HOT_ROWS = 100_000
 # Values per bucket of an integer key; also the most values one task sorts.
 BUCKET_WIDTH = 65536
+# Up to so many rows per group ``first_rows`` ranks what the tasks have left over.
+RANKED_ROWS = 256
 # A settled table of at most this size (bytes of JSON) may be broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -212,6 +214,16 @@ def before_cutoff(df: DataFrame, cut: DataFrame, partition: list[str], key: str,
 
 
 def first_rows(df: DataFrame, partition: list[str], key: str, n: int) -> DataFrame:
-    """The first ``n`` rows by ``key`` of every partition; NULL is a partition like any other."""
+    """The first ``n`` rows by ``key`` of every partition; NULL is a partition like any other.
+
+    Rows with the same key come in the order of a hash of all their columns.
+    For a small ``n`` every task keeps its own first rows of each group and only
+    those are shuffled and ranked; beyond that counts find the cut first.
+    """
+    if n <= RANKED_ROWS:
+        tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+        order = Window.partitionBy(*[F.col(c) for c in partition]).orderBy(F.col(key), tie)
+        ranked = df.where(F.col(key).isNotNull()).withColumn("_first", F.row_number().over(order))
+        return ranked.where(F.col("_first") <= n).drop("_first")
     cut = first_cutoffs(df, partition, key, F.lit(n))
     return before_cutoff(df, cut, partition, key, "_first").where("_first").drop("_first")

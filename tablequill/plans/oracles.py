@@ -73,6 +73,7 @@ ORACLES["src_json_array"] = oracle(
     " table_ord, col_name from fx_columns"
     " union all select distinct schema_id, 0, -1, '*' from fx_columns"
 )
+ORACLES["src_json_array_cut"] = ORACLES["src_json_array"]
 ORACLES["src_rename_corpora"] = oracle("""
 select example_id, dataset, question, sql, ddl, complexity, source, instruction from (
   select example_id, dataset, question, sql, ddl, null as complexity, null as source,

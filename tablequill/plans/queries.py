@@ -97,8 +97,7 @@ def _(spark, sf):
     return readers.last_by_key(records, "id", "ord")
 
 
-@query("src_json_array")
-def _(spark, sf):
+def _array_files(spark: SparkSession, sf: str) -> str:
     path = fresh_path(spark, "arrays")
     records = catalog_records(spark, sf)
     # about 16 records per file, whatever the size of the catalog
@@ -107,14 +106,27 @@ def _(spark, sf):
         F.to_json(F.collect_list(F.struct(*records.columns))).alias("value")
     )
     files.select("value").write.option("maxRecordsPerFile", 1).text(path)
-    back = readers.read_array(spark, path, readers.CATALOG_RECORD_SCHEMA)
-    return back.select("db_id", F.posexplode("column_names_original").alias("idx", "pair")).select(
+    return path
+
+
+def _column_names(records: DataFrame) -> DataFrame:
+    return records.select("db_id", F.posexplode("column_names_original").alias("idx", "pair")).select(
         "db_id", "idx",
         F.get("pair", F.lit(0)).cast("int").alias("table_ord"),
         F.get("pair", F.lit(1)).alias("col_name"),
     )
 
 
+@query("src_json_array")
+def _(spark, sf):
+    return _column_names(readers.read_array(spark, _array_files(spark, sf), readers.CATALOG_RECORD_SCHEMA))
+
+
+@query("src_json_array_cut")
+def _(spark, sf):
+    return _column_names(readers.read_large_array(spark, _array_files(spark, sf), readers.CATALOG_RECORD_SCHEMA))
+
+
 @query("src_rename_corpora")
 def _(spark, sf):
     rows = fx(spark, sf, "corpora_ddl")

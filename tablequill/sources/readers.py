@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablequill.constants import UNKNOWN
-from tablequill.functions.scale import attach
+from tablequill.functions.scale import attach, bucket_offsets
 from tablequill.session import settle
 
 EXAMPLE_SCHEMA = (
@@ -39,7 +39,7 @@ def read_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
 def read_array(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """Files that each hold one JSON array of records; a malformed file stops the job.
 
-    The format has no place to cut, so one file is one task.
+    One file is one task; ``read_large_array`` cuts files, for three passes over the text.
     """
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
@@ -75,6 +75,59 @@ def read_logical_form(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _running(pieces: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all earlier pieces of the file: sums of blocks, then inside a block."""
+    place = ["_file", "_block"]
+    offsets = bucket_offsets(pieces, ["_file"], ["_block"], {"_sum": F.sum(value)})
+    inside = Window.partitionBy(*place).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        pieces.join(offsets.select(*place, "_sum_before"), place)
+        .withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col("_sum_before"))
+        .drop("_sum_before")
+    )
+
+
+def read_large_array(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """Records of files that hold one JSON array of objects each, a file read by many tasks.
+
+    Files are cut at every closing brace, wherever the blocks of the file begin.
+    Whether a piece begins inside a string follows from the number of quotes
+    before it, its depth from the brackets outside of strings; both are prefix
+    sums over blocks and inside a block. An object of the array ends where the
+    depth returns to that of the array; its pieces are put together by one
+    shuffle. Records come in no particular order; what is no object is skipped, an
+    object that is no valid JSON stops the job.
+    """
+    raw = spark.read.option("lineSep", "}").text(path)
+    quotes = F.regexp_count(F.regexp_replace("value", r"(?s)\\.", ""), F.lit('"'))
+    pieces = settle(
+        raw.select(
+            "value", F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_row"), (quotes % 2).alias("_odd"),
+        ),
+        "pieces",
+    )
+    placed = _running(pieces, F.col("_odd"), "_quotes")
+    quoted = F.col("_quotes") % 2 == 1
+    still = (F.col("_quotes") + F.col("_odd")) % 2 == 1
+    text = F.concat(F.when(quoted, '"').otherwise(""), "value")
+    bare = F.regexp_replace(text, r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|$)', "")
+    opened = F.length(bare) - F.length(F.translate(bare, "{[", ""))
+    closed = F.length(bare) - F.length(F.translate(bare, "]", "")) + F.when(still, 0).otherwise(1)
+    deep = settle(placed.select("value", "_file", "_block", "_row", still.alias("_still"), (opened - closed).alias("_step")), "depths")
+    deep = _running(deep, F.col("_step"), "_depth")
+    ends = (~F.col("_still") & (F.col("_depth") + F.col("_step") == 1)).cast("int")
+    ended = settle(deep.select("value", "_file", "_block", "_row", ends.alias("_end")), "ends")
+    numbered = _running(ended, F.col("_end"), "_record")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("_row", "value"))), lambda p: p["value"])
+    records = numbered.groupBy("_file", "_record").agg(
+        F.concat(F.array_join(parts, "}"), F.lit("}")).alias("text"), F.max("_end").alias("whole")
+    ).where("whole = 1")
+    one = F.regexp_replace("text", r"^[^{]*", "")
+    return records.select(F.from_json(one, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 def with_ordinal(df: DataFrame, name: str = "ord") -> DataFrame:
     """Dense position of every row of a Parquet source: files by path, rows as stored.
 

@@ -119,3 +119,14 @@ def test_range_row_number(spark):
     got = scale.range_row_number(df, [F.col("a").desc(), F.col("b").asc()], "n")
     want = df.withColumn("n", F.row_number().over(Window.orderBy(F.desc("a"), "b")))
     assert sorted(got.select("b", "n").collect()) == sorted(want.select("b", "n").collect())
+
+
+@pytest.mark.parametrize("n", [1, 3, 7])
+def test_first_rows_both_ways(spark, monkeypatch, n):
+    """Ranked and counted cuts agree, with NULL groups and equal keys."""
+    rows = [(g, k, f"v{k}{j}") for g in ("a", "b", None) for k in range(4) for j in range(3)]
+    frame = spark.createDataFrame(rows, "g string, k long, v string").repartition(5)
+    ranked = sorted(scale.first_rows(frame, ["g"], "k", n).collect(), key=str)
+    monkeypatch.setattr(scale, "RANKED_ROWS", 0)
+    assert sorted(scale.first_rows(frame, ["g"], "k", n).collect(), key=str) == ranked
+    assert len(ranked) == 3 * n
