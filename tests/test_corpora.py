@@ -263,6 +263,29 @@ def test_sequences(spark, monkeypatch):
         assert got[3].input_ids == [0, 0, 0] and got[3].labels == [0, 0, 0]
 
 
+def test_sequences_of_rare_and_unknown_words(spark, monkeypatch):
+    known = spark.createDataFrame([(1, "b a b é d d d")], "example_id long, text string")
+    vocab = sequences.vocabulary(known)
+    ids = {r.word: r.word_id for r in vocab.collect()}
+    texts = spark.createDataFrame(
+        [(1, "d zz b é zz"), (None, "é d"), (3, None), (4, "d d"), (5, "zz a"), (6, "a " * 9)],
+        "example_id long, text string",
+    )
+    new = len(ids) + 1
+    want = {
+        None: [ids["é"], ids["d"], 0, 0],
+        1: [ids["d"], new, ids["b"], ids["é"]],
+        3: [0, 0, 0, 0],
+        4: [ids["d"], ids["d"], 0, 0],
+        5: [new, ids["a"], 0, 0],
+        6: [ids["a"]] * 4,
+    }
+    for hot in (10_000, 2, 0):
+        monkeypatch.setattr(sequences, "HOT_WORDS", hot)
+        rows = sequences.encode(texts, vocab, 4).collect()
+        assert {r.example_id: r.input_ids for r in rows} == want and len(rows) == len(want)
+
+
 # --- files ------------------------------------------------------------------------------
 
 
