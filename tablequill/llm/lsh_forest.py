@@ -39,11 +39,14 @@ ERRORS = 5.0
 
 def depth(threshold: float = THRESHOLD, trees: int = TREES, most: int = MAX_DEPTH,
           recall: float = TARGET_RECALL) -> int:
-    """Longest prefix at which a pair at the threshold meets in some tree often enough."""
-    for k in range(most, 1, -1):
+    """Longest prefix at which a pair at the threshold meets in some tree often enough.
+
+    A target that not even the first values of all trees reach is refused.
+    """
+    for k in range(most, 0, -1):
         if 1 - (1 - threshold**k) ** trees >= recall:
             return k
-    return 1
+    raise ValueError(f"{trees} trees do not reach recall {recall} at similarity {threshold}")
 
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:

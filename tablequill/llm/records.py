@@ -45,8 +45,17 @@ def masked(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
-    """One record without the line feed, which the writer adds."""
+def frame(doc_id: int | None, ids: np.ndarray, width: int | None = None) -> bytes:
+    """One record without the line feed, which the writer adds.
+
+    Without a ``width`` the record takes the narrowest that holds its ids; ids
+    that do not fit a given width are refused.
+    """
+    largest = int(ids.max()) if len(ids) else 0
+    if width is None:
+        width = 2 if largest < 1 << 16 else 4
+    if width not in (2, 4) or largest >= 1 << 8 * width or (len(ids) and int(ids.min()) < 0):
+        raise ValueError(f"ids up to {largest} do not fit {width} bytes")
     payload = struct.pack("<qBB", doc_id or 0, doc_id is not None, width)
     payload += ids.astype(f"<u{width}").tobytes()
     length = struct.pack("<Q", len(payload))
@@ -79,7 +88,7 @@ def parse(payload: memoryview) -> tuple[int | None, np.ndarray]:
     return (doc_id if known else None), np.frombuffer(payload[10:], f"<u{width}")
 
 
-def _framer(tokenizer: str, end_id: int, width: int):
+def _framer(tokenizer: str, end_id: int, width: int | None):
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoding.encoder(tokenizer)
         for batch in batches:
@@ -94,12 +103,13 @@ def _framer(tokenizer: str, end_id: int, width: int):
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id",
-          text: str = "text", width: int = 2, bytes_per_file: int = BYTES_PER_FILE) -> None:
+          text: str = "text", width: int | None = None, bytes_per_file: int = BYTES_PER_FILE) -> None:
     """Write the record files of ``docs`` below ``path/records`` and their index.
 
     One file per range of ids, each sorted; NULL ids come first, equal ids in
     any order (they are told apart by a row number, so a repeated id spreads
-    over files). A NULL text is an empty one. No document gives no file.
+    over files). A NULL text is an empty one. No document gives no file. See
+    ``frame`` for ``width``; records of both widths may share a file.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -211,17 +221,24 @@ def read_shuffled(spark: SparkSession, path: str, seed: int) -> DataFrame:
         "shard", F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("int")
     )
 
+    def batched(rows: list) -> pa.RecordBatch:
+        keys, doc_ids, ids = zip(*rows)
+        columns = [pa.array(keys, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(ids, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "ids"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content, at in zip(batch.column("content"), batch.column("at").to_pylist()):
-                data = memoryview(content.as_buffer())
+                data, rows, held = memoryview(content.as_buffer()), [], 0
                 for place in at:
                     doc_id, ids = parse(read_frame(data, place["offset"])[0])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([place["key"]], pa.int64()), pa.array([doc_id], pa.int64()),
-                         pa.array([ids.astype("<u4").tobytes()], pa.binary())],
-                        ["key", "doc_id", "ids"],
-                    )
+                    rows.append((place["key"], doc_id, ids.astype("<u4").tobytes()))
+                    held += 4 * len(ids)
+                    if held > 4 << 20:
+                        yield batched(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield batched(rows)
 
     rows = files.join(wanted, "shard").select("content", "at").mapInArrow(
         cut, "key long, doc_id long, ids binary"

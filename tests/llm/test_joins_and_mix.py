@@ -321,3 +321,9 @@ def test_mix_agrees_for_equal_and_missing_ids(spark):
             return sorted(((r["size"], r["taken"]) for r in mixing.mix(frame).collect()))
 
         assert taken(rows, 1) == taken(rows[::-1], 3)
+
+
+def test_depth_refuses_a_target_out_of_reach():
+    assert lsh_forest.depth(0.8) == 5 and lsh_forest.depth(0.5, recall=0.99) == 2
+    with pytest.raises(ValueError):
+        lsh_forest.depth(0.2)

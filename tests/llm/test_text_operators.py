@@ -351,6 +351,15 @@ def test_records_round_trip(spark, odd, documents, nothing):
     assert records.op3_rows(nothing, fresh_path(spark, "records"), tokenizer).count() == 0
 
 
+def test_width_of_a_record():
+    for ids, width in (([], 2), ([0, 65535], 2), ([65536], 4), ([1, 70000], 4)):
+        payload, _ = records.read_frame(memoryview(records.frame(7, np.array(ids, np.int64)) + b"\n"), 0)
+        assert payload[9] == width and records.parse(payload)[1].tolist() == ids
+    for ids, width in (([70000], 2), ([-1], 4), ([1 << 32], None)):
+        with pytest.raises(ValueError):
+            records.frame(7, np.array(ids, np.int64), width)
+
+
 def test_damage_is_found():
     good = records.frame(7, np.array([1, 2, 3], np.uint32), 2) + b"\n"
     payload, after = records.read_frame(memoryview(good), 0)
