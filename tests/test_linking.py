@@ -163,6 +163,59 @@ def test_similar_terms_against_brute_force(spark, monkeypatch, cosine):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def _clusters(spread, n=120, dims=12, centres=6, seed=11):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centres, dims)) * 3
+    return middle[np.arange(n) % centres] + rng.normal(size=(n, dims)) * spread
+
+
+def _terms(spark, rows):
+    data = [("g", f"t{i}", [float(x) for x in v]) for i, v in enumerate(rows)]
+    return spark.createDataFrame(data, "schema_id string, term string, vector array<double>")
+
+
+@pytest.mark.parametrize("cosine", [True, False])
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+def test_pruned_blocks_lose_no_pair(spark, monkeypatch, cosine, spread):
+    monkeypatch.setattr(similarity, "BLOCK", 10)
+    rows = _clusters(spread)
+    rows[7] = 0.0  # no direction
+    rows[8] *= 1e-3
+    rows[9] = rows[21]  # a tie
+    left, right = _terms(spark, rows), _terms(spark, rows[:60])
+    threshold = 0.8 if cosine else 20.0
+    got = {
+        (r.left_term, r.right_term)
+        for r in similarity.similar_terms(left, right, ["schema_id"], threshold, cosine).collect()
+    }
+    products = rows @ rows[:60].T
+    if cosine:
+        norms = np.linalg.norm(rows, axis=1)
+        norms[norms == 0] = 1.0
+        products = products / norms[:, None] / norms[None, :60]
+    want = {(f"t{i}", f"t{j}") for i, j in zip(*np.nonzero(products >= threshold), strict=True)}
+    assert got == want and len(want) > 30
+
+
+def test_far_blocks_take_no_product(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 10)
+    df = _terms(spark, _clusters(0.05))
+    assert similarity.block_pairs(df, df, ["schema_id"], 0.95, True).count() < 12 * 12 / 2
+
+
+def test_vectors_without_a_usable_norm_meet_every_block(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    odd = np.eye(12)[:1] * 1e200
+    rows = np.vstack([_clusters(0.1, n=20), odd])
+    df = _terms(spark, rows)
+    got = {
+        (r.left_term, r.right_term)
+        for r in similarity.similar_terms(df, df, ["schema_id"], 1.0, False).collect()
+    }
+    products = rows @ rows.T
+    assert got == {(f"t{i}", f"t{j}") for i, j in zip(*np.nonzero(products >= 1.0), strict=True)}
+
+
 def test_similar_columns_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", 4)
     rng = np.random.default_rng(3)
