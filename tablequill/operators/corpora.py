@@ -149,19 +149,26 @@ def ddl_catalog(corpus: DataFrame) -> C.Catalog:
 def from_ddl(
     corpus: DataFrame, style: str = "structured", drop_empty: list[str] | None = None,
     catalog: C.Catalog | None = None, links: DataFrame | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """Examples whose schema is a DDL text; ``catalog`` is its ``ddl_catalog`` if there is one.
 
+    ``known(schema_id, schema, num_tables)`` are texts made before, in the same
+    style (``text_store.ddl_texts``); nothing is parsed then.
+
     Rows whose DDL yields no table drop out for the datasets in ``drop_empty``
     (all if None); the others keep an example with an empty schema. ``links``
     are shown in the schema text, see ``semantic_links``.
     """
     keyed = corpus.withColumn("schema_id", ddl_id(F.col("ddl")))
-    catalog = ddl_catalog(corpus) if catalog is None else catalog
-    texts = schema_text(catalog, style, False, links)
-    known = texts.select("schema_id", F.col("text").alias("schema")).join(
-        table_counts(catalog), "schema_id"
-    )
+    if known is None:
+        catalog = ddl_catalog(corpus) if catalog is None else catalog
+        texts = schema_text(catalog, style, False, links)
+        known = texts.select("schema_id", F.col("text").alias("schema")).join(
+            table_counts(catalog), "schema_id"
+        )
+    else:
+        known = known.where("num_tables > 0")
     how = "inner" if drop_empty is None else "left"
     joined = scale.attach(keyed.drop("ddl"), known, ["schema_id"], ["example_id"], how)
     if drop_empty is not None:

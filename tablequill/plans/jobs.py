@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablequill import constants as K
 from tablequill.functions.ordered import percent
 from tablequill.operators import candidates as C
-from tablequill.operators import corpora, evaluate, linking, logical_form, prompts
+from tablequill.operators import corpora, evaluate, linking, logical_form, prompts, text_store
 from tablequill.operators.catalog import Catalog, catalog_from_single_tables
 from tablequill.session import job_folder, settle
 from tablequill.sources import writers
@@ -69,6 +69,9 @@ class Options:
     prompt_style: str = "detailed"
     formats: tuple[str, ...] = tuple(writers.FORMATS)
     seed: int = 42
+    # Folder with the schema texts of earlier runs (``operators.text_store``). Without any
+    # kind of links, only DDL texts that it lacks are parsed.
+    text_store: str | None = None
 
 
 def _selected(corpus: DataFrame, options: Options) -> DataFrame:
@@ -132,11 +135,15 @@ def prepare(
             parts.append(records(examples, schemas))
         if ddl_corpus is not None:
             chosen = settle(_selected(ddl_corpus, options), "chosen")
-            catalog = corpora.ddl_catalog(chosen)
-            examples = corpora.from_ddl(
-                chosen, options.style, options.drop_empty, catalog, similar(catalog)
-            )
-            parts.append(records(examples, catalog))
+            if options.text_store and not (options.schema_links or options.semantic_links):
+                texts = text_store.ddl_texts(chosen, options.text_store, options.style)
+                parts.append(corpora.from_ddl(chosen, options.style, options.drop_empty, known=texts))
+            else:
+                catalog = corpora.ddl_catalog(chosen)
+                examples = corpora.from_ddl(
+                    chosen, options.style, options.drop_empty, catalog, similar(catalog)
+                )
+                parts.append(records(examples, catalog))
         writers.write_corpus(corpora.combine(*parts), folder, options.formats, options.seed)
     return corpora.summary(spark.read.parquet(f"{folder}/datasets"))
 

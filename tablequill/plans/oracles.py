@@ -796,6 +796,7 @@ ORACLES["corpus_ddl"] = oracle(
     "select example_id, dataset, split, question, sql, schema, num_tables, has_join from dex",
     *DDL_EXAMPLE_CTES,
 )
+ORACLES["corpus_ddl_reused"] = ORACLES["corpus_ddl"]
 COUNTS = (
     "count(*) as examples, count(*) filter (coalesce(num_tables, 1) > 1) as multi_table,"
     " count(*) filter (coalesce(has_join, false)) as with_join"

@@ -22,6 +22,7 @@ from tablequill.operators import (
     schema_text,
     semantic,
     sequences,
+    text_store,
 )
 from tablequill.operators.catalog import Catalog
 from tablequill.plans import jobs
@@ -680,6 +681,19 @@ def _(spark, sf):
     )
 
 
+@query("corpus_ddl_reused")
+def _(spark, sf):
+    """The DDL corpus with the texts of a store that an earlier run over ``train`` left behind."""
+    store = fresh_path(spark, "schema-texts")
+    split = corpora.positional_split(fx(spark, sf, "corpora_ddl"), ["dataset"], "example_id")
+    text_store.ddl_texts(split.where("split = 'train'"), store)
+    text_store.compact(spark, store)
+    known = text_store.ddl_texts(split, store)
+    return corpora.from_ddl(split, drop_empty=["instruction"], known=known).select(
+        "example_id", "dataset", "split", "question", "sql", "schema", "num_tables", "has_join"
+    )
+
+
 @query("corpus_flags")
 def _(spark, sf):
     return _catalog_examples(spark, sf).select("example_id", "num_tables", "has_join")
