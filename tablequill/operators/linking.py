@@ -8,6 +8,10 @@ The schema elements travel as bounded chunks (arrays of at most CHUNK_TABLES *
 CHUNK_COLUMNS elements). A question meets the chunks of its own schema by an
 equi-join and keeps the matching elements inside the row, so pairs that do not
 match never become rows.
+
+A schema with more than WIDE_SCHEMA elements is not read whole by every question:
+its elements are found by the beginnings of their names, which must occur in the
+question, and only those are matched (``_meet_wide``).
 """
 
 from __future__ import annotations
@@ -30,6 +34,9 @@ ORDER = ["stage", "o1", "o2", "o3"]
 TABLE, COLUMN, VALUE = "table", "column", "value"
 CHUNK_TABLES = 32
 CHUNK_COLUMNS = 256
+# Elements from which a schema is looked up by grams, and characters of a gram.
+WIDE_SCHEMA = 2048
+GRAM = 4
 
 
 def _link(text: Column, start: Column, confidence: Column | float, *order: Column | int) -> Column:
@@ -62,34 +69,42 @@ def _rows(df: DataFrame, element: Column, link_type: str, stage: int) -> DataFra
     )
 
 
-def table_chunks(tables: DataFrame) -> DataFrame:
-    return tables.groupBy(
-        "schema_id", F.floor(F.col("table_ord") / CHUNK_TABLES).alias("chunk")
-    ).agg(
-        F.collect_list(
-            F.struct("table_name", F.lower("table_name").alias("low"), "table_ord")
-        ).alias("elements")
+def table_elements(tables: DataFrame) -> DataFrame:
+    """(schema_id, chunk, e): the tables as elements with the chunk they belong to."""
+    return tables.select(
+        "schema_id",
+        F.floor(F.col("table_ord") / CHUNK_TABLES).alias("chunk"),
+        F.struct("table_name", F.lower("table_name").alias("low"), "table_ord").alias("e"),
     )
 
 
-def column_chunks(columns: DataFrame) -> DataFrame:
+def column_elements(columns: DataFrame) -> DataFrame:
+    """(schema_id, chunk, part, e): the columns as elements with the chunk they belong to."""
     low = F.lower("col_name")
-    return columns.groupBy(
+    return columns.select(
         "schema_id",
         F.floor(F.col("table_ord") / CHUNK_TABLES).alias("chunk"),
         F.floor(F.col("col_ord") / CHUNK_COLUMNS).alias("part"),
-    ).agg(
-        F.collect_list(
-            F.struct(
-                F.concat_ws(".", "table_name", "col_name").alias("element"),
-                "col_name",
-                low.alias("low"),
-                name_words(low).alias("words"),
-                "dtype",
-                "table_ord",
-                "col_ord",
-            )
-        ).alias("elements")
+        F.struct(
+            F.concat_ws(".", "table_name", "col_name").alias("element"),
+            "col_name",
+            low.alias("low"),
+            name_words(low).alias("words"),
+            "dtype",
+            "table_ord",
+            "col_ord",
+        ).alias("e"),
+    )
+
+
+def table_chunks(tables: DataFrame) -> DataFrame:
+    return table_elements(tables).groupBy("schema_id", "chunk").agg(F.collect_list("e").alias("elements"))
+
+
+def column_chunks(columns: DataFrame) -> DataFrame:
+    return (
+        column_elements(columns).groupBy("schema_id", "chunk", "part")
+        .agg(F.collect_list("e").alias("elements"))
     )
 
 
@@ -103,6 +118,94 @@ def _meet(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return attach(asked, chunks, ["schema_id"], ["example_id"])
 
 
+def _substrings(text: Column, length: int) -> Column:
+    """All substrings of one length."""
+    starts = F.sequence(F.lit(1), F.length(text) - (length - 1))
+    every = F.transform(starts, lambda i: F.substring(text, i, F.lit(length)))
+    return F.when(F.length(text) >= length, every).otherwise(F.array().cast("array<string>"))
+
+
+def _begin(text: Column) -> Column:
+    return F.substring(text, 1, GRAM)
+
+
+def _occurs(kind: str, texts: Column) -> Column:
+    """Keys of texts, or of their grams, apart by ``kind``; a NULL array has none."""
+    keys = F.transform(texts, lambda t: F.concat(F.lit(kind), t))
+    return F.coalesce(keys, F.array().cast("array<string>"))
+
+
+def _spoken(low_q: Column) -> Column:
+    """Keys that the beginning of any text inside the question has; the empty text is in all."""
+    grams = F.flatten(F.array(*[_substrings(low_q, n) for n in range(1, GRAM + 1)]))
+    return F.concat(F.array(F.lit("=")), _occurs("=", grams))
+
+
+def _table_keys() -> Column:
+    """The beginning of the name, to be in the question; its grams, for words of the question."""
+    low = F.col("e.low")
+    return F.concat(_occurs("=", F.array(_begin(low))), _occurs("~", _substrings(low, GRAM)))
+
+
+def _table_probes() -> Column:
+    long_words = F.filter(words(F.col("low_q")), lambda w: F.length(w) >= GRAM)
+    return F.concat(_spoken(F.col("low_q")), _occurs("~", F.transform(long_words, _begin)))
+
+
+def _column_keys() -> Column:
+    """The beginnings of the name and of its words, to be in the question."""
+    long_words = F.filter("e.words", lambda w: F.length(w) > 2)
+    return F.concat(
+        _occurs("=", F.array(_begin(F.col("e.low")))), _occurs("=", F.transform(long_words, _begin))
+    )
+
+
+def _column_probes() -> Column:
+    return _spoken(F.col("low_q"))
+
+
+def _meet_wide(questions: DataFrame, elements: DataFrame, keys: Column, probes: Column) -> DataFrame:
+    """Questions with those elements of their schema that have a key among the probes.
+
+    Elements without one cannot match. The candidates are found once per
+    different question of a schema and stay in chunks of bounded size.
+    """
+    asked = questions.withColumn("low_q", F.lower("question")).withColumn("_q", F.md5("low_q"))
+    places = [c for c in ("chunk", "part") if c in elements.columns]
+    index = elements.withColumn("_key", F.explode(F.array_distinct(keys))).where(F.col("_key").isNotNull())
+    probing = asked.select("schema_id", "_q", "low_q").dropDuplicates(["schema_id", "_q"]).select(
+        "schema_id", "_q", F.explode(F.array_distinct(probes)).alias("_key")
+    )
+    found = (
+        attach(probing, index, ["schema_id", "_key"], ["_q"])
+        .groupBy("schema_id", "_q", *places)
+        .agg(F.collect_set("e").alias("elements"))
+    )
+    return salted_join(asked, found, ["schema_id", "_q"], ["example_id"]).drop("_q", *places)
+
+
+def _candidates(
+    questions: DataFrame, elements: DataFrame, chunks: DataFrame, keys: Column, probes: Column
+) -> DataFrame:
+    """Questions with all elements of a narrow schema, or with the candidates of a wide one."""
+    counts = elements.groupBy("schema_id").agg(F.count("*").alias("_n"))
+    wide = counts.where(F.col("_n") > WIDE_SCHEMA).select("schema_id")
+    if wide.isEmpty():
+        return _meet(questions, chunks)
+    wide = settle(wide, "wide")
+    marked = attach(
+        questions, wide.withColumn("_wide", F.lit(True)), ["schema_id"], ["example_id"], "left"
+    )
+    kept = [*questions.columns, "low_q", "elements"]
+    narrow = _meet(
+        marked.where("_wide IS NULL").drop("_wide"), chunks.join(wide, "schema_id", "left_anti")
+    )
+    many = _meet_wide(
+        marked.where("_wide").drop("_wide"), elements.join(wide, "schema_id", "left_semi"), keys, probes
+    )
+    return narrow.select(*kept).unionByName(many.select(*kept))
+
+
 # --- string matches -------------------------------------------------------------------
 
 
@@ -114,7 +217,9 @@ def _original(low_name: Column, name: Column) -> Column:
 def table_links(questions: DataFrame, tables: DataFrame) -> DataFrame:
     """Exact: the name occurs in the question. Partial, only if not exact: a word
     of more than three letters occurs in the name."""
-    met = _meet(questions, table_chunks(tables)).withColumn(
+    met = _candidates(
+        questions, table_elements(tables), table_chunks(tables), _table_keys(), _table_probes()
+    ).withColumn(
         "long_words",
         F.filter(
             F.transform(words(F.col("low_q")), lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
@@ -144,7 +249,9 @@ def table_links(questions: DataFrame, tables: DataFrame) -> DataFrame:
 def column_links(questions: DataFrame, columns: DataFrame) -> DataFrame:
     """Exact: the name occurs in the question. Word, only if not exact: a part of
     the name with more than two letters occurs in the question."""
-    met = _meet(questions, column_chunks(columns))
+    met = _candidates(
+        questions, column_elements(columns), column_chunks(columns), _column_keys(), _column_probes()
+    )
     low_q = F.col("low_q")
 
     def exact(e: Column) -> Column:

@@ -141,6 +141,48 @@ def test_chunks_are_bounded(spark, monkeypatch):
     assert L.column_links(q, columns).where("confidence = 1").count() == 7
 
 
+def _wide(spark):
+    names = ["order", "a", "ab", "", None, "Straße", "x_ord", "customer id", "id_no_of_it", "orders_old"]
+    rows = [("university", i // 4, f"tab_{n}", i % 4, n) for i, n in enumerate(names * 2)]
+    rows += [("other", 0, "order", 0, "id"), ("other", 1, "line", 0, "order")]
+    columns = spark.createDataFrame(
+        rows, "schema_id string, table_ord int, table_name string, col_ord int, col_name string"
+    ).withColumn("dtype", F.lit("text"))
+    tables = columns.selectExpr(
+        "schema_id", "table_ord * 4 + col_ord AS table_ord", "col_name AS table_name"
+    )
+    texts = ["Order of the customer", "straßE 7", "", "border id_no_of_it", "x", "old orders, no", "Order of the customer"]
+    asked = [(i, "university", t) for i, t in enumerate(texts)] + [(50, "other", "order"), (51, "none", "order"), (52, None, "a")]
+    asked.append((53, "university", None))
+    return tables, columns, spark.createDataFrame(asked, "example_id long, schema_id string, question string")
+
+
+def test_wide_schemas_have_the_links_of_narrow_ones(spark, monkeypatch):
+    tables, columns, q = _wide(spark)
+
+    def links():
+        return [
+            sorted(map(tuple, f.collect()), key=str)
+            for f in (L.table_links(q, tables), L.column_links(q, columns))
+        ]
+
+    want = links()
+    assert min(map(len, want)) > 10
+    monkeypatch.setattr(L, "WIDE_SCHEMA", 5)
+    assert links() == want
+
+
+def test_wide_schemas_match_candidates_only(spark):
+    columns = spark.range(10_000).selectExpr(
+        "'university' AS schema_id", "0 AS table_ord", "'t' AS table_name", "int(id) AS col_ord",
+        "concat(char(97 + id % 26), char(97 + id div 26 % 26), char(97 + id div 676 % 26), '_value') AS col_name",
+        "'text' AS dtype",
+    )
+    met = L._meet_wide(ask(spark, "what is abc_"), L.column_elements(columns), L._column_keys(), L._column_probes())
+    assert 0 < met.agg(F.sum(F.size("elements"))).first()[0] < 100
+    assert L.column_links(ask(spark, "what is abc_value"), columns).where("schema_element = 't.abc_value'").count() == 1
+
+
 @pytest.mark.parametrize("cosine", [True, False])
 def test_similar_terms_against_brute_force(spark, monkeypatch, cosine):
     monkeypatch.setattr(similarity, "BLOCK", 3)
