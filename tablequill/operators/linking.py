@@ -185,11 +185,13 @@ def _meet_wide(questions: DataFrame, elements: DataFrame, keys: Column, probes:
 
 
 def _candidates(
-    questions: DataFrame, elements: DataFrame, chunks: DataFrame, keys: Column, probes: Column
+    questions: DataFrame, elements: DataFrame, chunks: DataFrame, keys: Column, probes: Column,
+    wide_schema: int | None,
 ) -> DataFrame:
     """Questions with all elements of a narrow schema, or with the candidates of a wide one."""
+    limit = WIDE_SCHEMA if wide_schema is None else wide_schema
     counts = elements.groupBy("schema_id").agg(F.count("*").alias("_n"))
-    wide = counts.where(F.col("_n") > WIDE_SCHEMA).select("schema_id")
+    wide = counts.where(F.col("_n") > limit).select("schema_id")
     if wide.isEmpty():
         return _meet(questions, chunks)
     wide = settle(wide, "wide")
@@ -214,11 +216,15 @@ def _original(low_name: Column, name: Column) -> Column:
     return F.substring(F.col("question"), F.position(low_name, F.col("low_q")), F.length(name))
 
 
-def table_links(questions: DataFrame, tables: DataFrame) -> DataFrame:
+def table_links(
+    questions: DataFrame, tables: DataFrame, wide_schema: int | None = None
+) -> DataFrame:
     """Exact: the name occurs in the question. Partial, only if not exact: a word
-    of more than three letters occurs in the name."""
+    of more than three letters occurs in the name. Schemas of more than ``wide_schema``
+    tables (default WIDE_SCHEMA) are looked up by grams; the links are the same."""
     met = _candidates(
-        questions, table_elements(tables), table_chunks(tables), _table_keys(), _table_probes()
+        questions, table_elements(tables), table_chunks(tables), _table_keys(), _table_probes(),
+        wide_schema,
     ).withColumn(
         "long_words",
         F.filter(
@@ -246,11 +252,15 @@ def table_links(questions: DataFrame, tables: DataFrame) -> DataFrame:
     return _matches(met, exact, partial, "table_name", TABLE)
 
 
-def column_links(questions: DataFrame, columns: DataFrame) -> DataFrame:
+def column_links(
+    questions: DataFrame, columns: DataFrame, wide_schema: int | None = None
+) -> DataFrame:
     """Exact: the name occurs in the question. Word, only if not exact: a part of
-    the name with more than two letters occurs in the question."""
+    the name with more than two letters occurs in the question. ``wide_schema`` as
+    for tables, counted in columns."""
     met = _candidates(
-        questions, column_elements(columns), column_chunks(columns), _column_keys(), _column_probes()
+        questions, column_elements(columns), column_chunks(columns), _column_keys(), _column_probes(),
+        wide_schema,
     )
     low_q = F.col("low_q")
 

@@ -513,6 +513,8 @@ LINK_OUT = (
 ORACLES["link_table_exact"] = oracle(LINK_OUT + "tl where confidence = 1", *_link_ctes("fx_questions")[:3])
 ORACLES["link_table_partial"] = oracle(LINK_OUT + "tl where confidence < 1", *_link_ctes("fx_questions")[:3])
 ORACLES["link_column_exact"] = oracle(LINK_OUT + "cl where confidence = 1", *_link_ctes("fx_questions"))
+ORACLES["link_table_grams"] = oracle(LINK_OUT + "tl", *_link_ctes("fx_questions")[:3])
+ORACLES["link_column_grams"] = oracle(LINK_OUT + "cl", *_link_ctes("fx_questions"))
 ORACLES["link_column_word"] = oracle(LINK_OUT + "cl where confidence < 1", *_link_ctes("fx_questions"))
 
 

@@ -444,6 +444,21 @@ def _(spark, sf):
     return _link_columns(_column_links(spark, sf).where("confidence < 1.0"))
 
 
+@query("link_table_grams")
+def _(spark, sf):
+    """All schemas looked up as wide ones are."""
+    return _link_columns(
+        linking.table_links(fx(spark, sf, "questions"), fx(spark, sf, "tables"), wide_schema=0)
+    )
+
+
+@query("link_column_grams")
+def _(spark, sf):
+    return _link_columns(
+        linking.column_links(fx(spark, sf, "questions"), fx(spark, sf, "columns"), wide_schema=0)
+    )
+
+
 @query("link_table_vector")
 def _(spark, sf):
     return _link_columns(
