@@ -243,10 +243,16 @@ def split_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("dataset", "split").agg(F.count("*").alias("rows"))
 
 
-def file_counts(rows: DataFrame) -> DataFrame:
-    """Rows per file of a file source."""
-    name = F.col("_metadata.file_name").alias("file_name")
-    return rows.select(name).groupBy("file_name").agg(F.count("*").alias("rows"))
+def file_counts(rows: DataFrame, name: str | None = None) -> DataFrame:
+    """Rows per file of a file source.
+
+    With ``name`` the source counts as one file of this name, though it be a
+    folder of many part files, or without rows.
+    """
+    if name is not None:
+        return rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("file_name"), "rows")
+    file = F.col("_metadata.file_name").alias("file_name")
+    return rows.select(file).groupBy("file_name").agg(F.count("*").alias("rows"))
 
 
 def schema_counts(records: DataFrame) -> DataFrame:

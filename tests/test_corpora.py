@@ -362,6 +362,19 @@ def test_ordinal_over_files(spark, tmp_path):
     assert got == [(0, 0), (1, 1), (2, 2), (20, 3), (21, 4), (22, 5), (23, 6)]
 
 
+def test_file_counts_of_a_folder_of_parts(spark, tmp_path):
+    """A table in many part files is one file of its name, and so is one without rows."""
+    from tablequill.plans.queries import QUERIES
+
+    spark.range(10).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(0).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.file_name: r.rows for r in QUERIES["src_file_counts"](spark, str(tmp_path)).collect()}
+    assert got == {"documents.parquet": 10, "conversations.parquet": 0}
+    parts = readers.file_counts(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    counts = [r.rows for r in parts.collect()]
+    assert len(counts) > 1 and sum(counts) == 10
+
+
 def test_ordinal_of_lines_over_files_in_blocks(spark, tmp_path):
     for i, n in enumerate((700, 5, 300)):
         text = "".join(f'{{"id": {1000 * i + k}, "pad": "{"x" * (k % 7)}"}}\n\n' for k in range(n))
