@@ -842,11 +842,20 @@ ORACLES["job_prepare_all"] = oracle(
     *DDL_EXAMPLE_CTES, *CATALOG_CTES, LOGICAL,
 )
 ORACLES["job_prepare"] = oracle(
-    """select format, split, count(*) as records from (
-      select split from dex where dataset <> 'catalog' union all select split from cat where dataset = 'catalog'
-      union all select 'train' from logical) r, (select unnest(['lines', 'instruction', 'chat']) as format) f
-    group by format, split""",
+    f"""select 'lines' as format, split, example_id, dataset, num_tables, has_join, complexity, source, schema,
+      cast(null as varchar) as instruction, question as input, sql as output from records
+    union all select format, split, null, null, null, null, null, null, null, system,
+      schema || {NL} || {NL} || 'Question: ' || question, sql from records cross join (
+      values ('instruction', {_text(K.INSTRUCTION)}), ('chat', {_text(K.CHAT_SYSTEM)})) as f(format, system)""",
     *DDL_EXAMPLE_CTES, *CATALOG_CTES, LOGICAL,
+    """records as (
+      select example_id, dataset, split, question, sql, schema, num_tables, has_join, complexity, source
+        from dex where dataset <> 'catalog'
+      union all
+      select example_id, dataset, split, question, sql, schema, num_tables, has_join, complexity, source
+        from cat where dataset = 'catalog'
+      union all
+      select -example_id - 1, 'single_table', 'train', question, sql, schema, null, null, null, null from logical)""",
 )
 ORACLES["corpus_shuffle_order"] = oracle(
     "select example_id, row_number() over (order by md5('42:' || cast(example_id as varchar)), example_id)"

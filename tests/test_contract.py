@@ -6,6 +6,7 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import oracle_check
@@ -58,6 +59,16 @@ def test_whole_preparation_is_not_cut(spark):
         assert max(r[0] for r in counts.collect()) > FIRST_N
 
 
+def test_preparation_returns_the_records_of_every_format(spark):
+    """As many rows as the preparation has, in each format, with their texts."""
+    rows = entry.queries()["job_prepare"](spark, SF_DIR)
+    whole = entry.queries()["job_prepare_all"](spark, SF_DIR).count()
+    filled = rows.groupBy("format").agg(F.count("input").alias("inputs"), F.count("output").alias("outputs"))
+    assert {(r.format, r.inputs, r.outputs) for r in filled.collect()} == {
+        (name, whole, whole) for name in ("lines", "instruction", "chat")
+    }
+
+
 LARGE = [
     "split_positional", "limit_first_n", "lf_balanced_sample", "corpus_shuffle_order", "corpus_ddl",
     "corpus_catalog", "link_table_partial", "link_column_word", "link_column_vector",
