@@ -134,7 +134,8 @@ def prepare(
             )
             parts.append(records(examples, schemas))
         if ddl_corpus is not None:
-            chosen = settle(_selected(ddl_corpus, options), "chosen")
+            # read for its DDL texts and for its rows; wide rows are cheaper read twice than stored
+            chosen = _selected(ddl_corpus, options)
             if options.text_store and not (options.schema_links or options.semantic_links):
                 texts = text_store.ddl_texts(chosen, options.text_store, options.style)
                 parts.append(corpora.from_ddl(chosen, options.style, options.drop_empty, known=texts))
