@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablequill.functions.scale import range_row_number
-from tablequill.functions.text import first_words, words
+from tablequill.functions.text import words
+from tablequill.session import settle
 
 PAD = 0
-# The most frequent words: few enough to broadcast, and no other word can hold
-# more than 1 / HOT_WORDS of all tokens.
-HOT_WORDS = 10_000
+# The most frequent words, but for very long ones: few enough to go to every task,
+# and no other word can hold more than 1 / HOT_WORDS of all tokens.
+HOT_WORDS = 100_000
+HOT_CHARS = 100
+# Texts that a Python task splits at a time.
+ROWS = 2000
 
 
 def vocabulary(texts: DataFrame, column: str = "text") -> DataFrame:
@@ -29,23 +39,76 @@ def vocabulary(texts: DataFrame, column: str = "text") -> DataFrame:
     return range_row_number(counts, order, "word_id").select("word", "occurrences", "word_id")
 
 
-def _with_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Attach ``word_id``: frequent words by broadcast, only the others by a shuffle.
+def _coder(hot: pa.Table, max_length: int):
+    """Function from batches of (_row, example_id, text) to their ids, a row per text.
+
+    Splitting, at the white space of ``functions.text``, stops after ``max_length``
+    words. A word of ``hot`` becomes its id,
+    the k-th other word of a text -k; these words are listed in ``rare``. It refers
+    to nothing of this package, so that Python workers need no copy of the package
+    on their path.
+    """
+    known = hot["word"].combine_chunks()
+    known_ids = hot["word_id"].to_numpy()
+    rows = ROWS
+
+    def first_words(text: bytes | None) -> list[str]:
+        # one piece more than words, for the rest of the text
+        return [] if text is None else text.decode("utf-8", "replace").split(None, max_length)[:max_length]
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                pieces = [first_words(t) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                sizes = [len(p) for p in pieces]
+                flat = pa.array(chain.from_iterable(pieces), pa.string())
+                place = pc.index_in(flat, value_set=known.cast(pa.string()))
+                miss = place.is_null().to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                missed = np.concatenate([[0], np.cumsum(miss)]).astype(np.int32)
+                ids = np.zeros(len(flat), np.int64)
+                ids[~miss] = known_ids[place.drop_null().to_numpy()]
+                ids[miss] = -(missed[1:] - np.repeat(missed[ends[:-1]], sizes))[miss]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("_row"), part.column("example_id"),
+                        pa.ListArray.from_arrays(ends, ids),
+                        pa.ListArray.from_arrays(missed[ends], flat.filter(pa.array(miss))),
+                    ],
+                    ["_row", "example_id", "ids", "rare"],
+                )
+
+    return coded
 
-    The texts are split once per branch, which costs less than to shuffle the
-    frequent words, nearly all of the tokens. A word that the vocabulary does
-    not have gets the id after its last.
+
+def _coded(texts: DataFrame, vocab: DataFrame, max_length: int) -> DataFrame:
+    """(example_id, ids) of ``texts(_row, example_id, text)``: a row per text from end to end.
+
+    Frequent words are looked up in the tasks; only the others get a row each
+    and meet the vocabulary in a shuffle. A word that the vocabulary does not
+    have gets the id after its last.
     """
-    hot = vocab.where(F.col("word_id") <= HOT_WORDS).select("word", F.col("word_id").alias("hot_id"))
-    rest = vocab.where(F.col("word_id") > HOT_WORDS).select("word", "word_id")
+    frequent = (F.col("word_id") <= HOT_WORDS) & (F.length("word") <= HOT_CHARS)
+    hot = vocab.where(frequent).select("word", "word_id").toArrow()
+    rest = vocab.where(~frequent).select("word", "word_id")
     unknown = vocab.agg(F.coalesce(F.max("word_id"), F.lit(0)) + 1).scalar()
-    tagged = tokens.join(F.broadcast(hot), "word", "left")
-    rare = F.col("hot_id").isNull() & F.col("word").isNotNull()
-    found = tagged.where(~rare).select("example_id", "pos", F.col("hot_id").alias("word_id"))
-    others = tagged.where(rare).join(rest, "word", "left").select(
-        "example_id", "pos", F.coalesce("word_id", unknown).alias("word_id")
+    kind = texts.schema["example_id"].dataType.simpleString()
+    shape = f"_row bigint, example_id {kind}, ids array<bigint>, rare array<string>"
+    # read for the rare words and for the ids
+    coded = settle(texts.mapInArrow(_coder(hot, max_length), shape), "coded")
+    others = coded.select("_row", F.posexplode("rare").alias("rank", "word")).join(rest, "word", "left").select(
+        "_row", F.struct("rank", F.coalesce("word_id", unknown).alias("word_id")).alias("place")
+    )
+    found = others.groupBy("_row").agg(
+        F.transform(F.array_sort(F.collect_list("place")), lambda p: p["word_id"]).alias("found")
     )
-    return found.unionByName(others)
+
+    def filled(x: Column) -> Column:
+        return F.when(x < 0, F.element_at("found", (-x).cast("int"))).otherwise(x)
+
+    joined = coded.select("_row", "example_id", "ids").join(found, "_row", "left")
+    return joined.select("example_id", F.transform("ids", filled).alias("ids"))
 
 
 def encode(texts: DataFrame, vocab: DataFrame, max_length: int, column: str = "text") -> DataFrame:
@@ -53,16 +116,12 @@ def encode(texts: DataFrame, vocab: DataFrame, max_length: int, column: str = "t
 
     ``vocab`` is a stored vocabulary; words that it lacks share one id of their own.
     """
-    cut = first_words(F.col(column), max_length)
-    # A text without words keeps one row, without position and word.
-    tokens = texts.select("example_id", F.posexplode_outer(cut).alias("pos", "word"))
-    coded = _with_ids(tokens, vocab)
-    token = F.when(F.col("pos").isNotNull(), F.struct("pos", "word_id"))
-    ids = F.transform(F.array_sort(F.collect_list(token)), lambda t: t["word_id"])
+    numbered = texts.select(
+        F.monotonically_increasing_id().alias("_row"), "example_id", F.col(column).alias("text")
+    )
     n = F.size("ids")
     return (
-        coded.groupBy("example_id")
-        .agg(ids.alias("ids"))
+        _coded(numbered, vocab, max_length)
         .select(
             "example_id",
             F.concat("ids", _repeat(PAD, max_length - n)).alias("input_ids"),

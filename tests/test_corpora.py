@@ -286,6 +286,24 @@ def test_sequences_of_rare_and_unknown_words(spark, monkeypatch):
         assert {r.example_id: r.input_ids for r in rows} == want and len(rows) == len(want)
 
 
+def test_sequences_split_where_the_vocabulary_does(spark):
+    """Every white space character ends a word in both; no text is taken apart into rows of tokens."""
+    from tablequill.functions.text import WHITE
+
+    text = "".join(f"w{i}{c}" for i, c in enumerate(WHITE)) + "last\u200b\ufeff rest"
+    texts = spark.createDataFrame([(1, text), (1, "last w0")], "example_id long, text string")
+    vocab = sequences.vocabulary(texts)
+    assert vocab.count() == len(WHITE) + 3
+    ids = {r.word: r.word_id for r in vocab.collect()}
+    coded = sequences.encode(texts, vocab, 40)
+    got = sorted(r.input_ids for r in coded.collect())
+    want = [[ids[w] for w in t.split()] for t in (text, "last w0")]
+    assert got == sorted(w + [0] * (40 - len(w)) for w in want)
+    # the shuffles hold a row per text and per word that is not frequent
+    plan = coded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode(rare") == 1 and plan.count("Generate") == 1
+
+
 # --- files ------------------------------------------------------------------------------
 
 
