@@ -47,8 +47,8 @@ def insert(packed: np.ndarray, hashes: np.ndarray) -> None:
 
 
 def pair_hashes(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Hashes of pairs of byte strings: their lengths and bytes."""
-    out = np.zeros(len(left), np.uint64)
+    """Hashes of pairs of byte strings: their lengths and bytes. A side of one value meets all of the other."""
+    out = np.zeros(1, np.uint64)
     for column in (left, right):
         column = column.cast(pa.large_binary())
         _, at, raw = column.buffers()

@@ -38,11 +38,17 @@ FIRST_LEVEL = 4
 # Terms that meet in one matrix of sources x terms, and sources along one side of it.
 TERM_BLOCK = 1024
 SOURCE_BLOCK = 256
+# The largest count n with which 10^9 * (n + 2) has 64 bits.
+MOST_SHORT = (2**63 - 1) // 10**9 - 2
 
+# Numbers and terms of a segment travel as packed bytes: every level reads them all, and Spark
+# would turn arrays from columns to rows and back value by value each time.
 _SEGMENTS = (
-    "lang string, sources array<string>, source array<int>, bounds array<int>,"
-    " codes array<int>, counts array<int>, terms array<string>"
+    "lang string, sources array<string>, source binary, bounds binary,"
+    " codes binary, counts binary, terms binary"
 )
+# Ends each packed term; no term holds it.
+_END = b"\n"
 _PREFIXES = "lang string, prefix binary, complete boolean, docs long"
 
 
@@ -59,38 +65,71 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             local[mine] = np.arange(len(mine))
             at = local[p.docs]
             held = np.flatnonzero(at >= 0)
-            used, codes = np.unique(p.codes[held], return_inverse=True)
+            docs, codes, counts = at[held], p.codes[held], p.counts[held]
+            used = np.flatnonzero(np.bincount(codes, minlength=len(p.vocabulary)))
             words = p.vocabulary.take(pa.array(used))
             order = pc.sort_indices(words).to_numpy()
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            codes, docs, counts = rank[codes], at[held], p.counts[held]
-            in_order = np.lexsort((codes, docs))
+            rank = np.zeros(len(p.vocabulary), np.int64)
+            rank[used[order]] = np.arange(len(order))
+            in_order = np.argsort(docs * max(len(order), 1) + rank[codes])
             bounds = np.searchsorted(docs[in_order], np.arange(len(mine) + 1))
             own = sources.take(pa.array(mine)).dictionary_encode()
             row = [
-                pa.array([name], pa.string()), _one(own.dictionary), _one(own.indices),
-                _one(pa.array(bounds, pa.int32())), _one(pa.array(codes[in_order], pa.int32())),
-                _one(pa.array(counts[in_order], pa.int32())), _one(words.take(pa.array(order)).cast(pa.string())),
+                pa.array([name], pa.string()),
+                pa.ListArray.from_arrays(pa.array([0, len(own.dictionary)], pa.int32()), own.dictionary),
+                *(pa.array([_packed(x)], pa.binary()) for x in (
+                    own.indices.to_numpy(), bounds, rank[codes[in_order]], counts[in_order],
+                )),
+                _joined(words.take(pa.array(order)), np.array([0, len(order)])),
             ]
             yield pa.RecordBatch.from_arrays(
                 row, names=["lang", "sources", "source", "bounds", "codes", "counts", "terms"]
             )
 
 
-def _one(values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers from 0, after their width: as few bytes each as the largest needs."""
+    values = values.astype(np.min_scalar_type(int(values.max(initial=0))))
+    return bytes([values.itemsize]) + values.tobytes()
+
+
+def _unpacked(raw: pa.Scalar) -> np.ndarray:
+    raw = raw.as_buffer()
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int64)
+
+
+def _joined(words: pa.Array, bounds: np.ndarray) -> pa.BinaryArray:
+    """The words cut at ``bounds`` into values, each word with an end mark."""
+    words = words.cast(pa.large_binary())
+    ended = pc.binary_join_element_wise(words, pa.scalar(b"", pa.large_binary()), pa.scalar(_END, pa.large_binary()))
+    cut = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), ended)
+    return pc.binary_join(cut, pa.scalar(b"", pa.large_binary())).cast(pa.binary())
+
+
+def _blobs(values: np.ndarray, bounds: np.ndarray) -> pa.BinaryArray:
+    """Numbers of one width cut at ``bounds`` into values."""
+    at = pa.py_buffer((bounds * values.itemsize).astype(np.int32))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, at, pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _bytes(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of all values, bounds of the values)"""
+    _, at, raw = column.buffers()
+    bounds = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
+    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
 class _Terms:
-    """The vocabulary of a segment row as bytes."""
+    """Terms that ``_joined`` has put together, as bytes."""
+
+    def __init__(self, data: np.ndarray):
+        ends = np.flatnonzero(data == _END[0])
+        self.data, self.begin = data, np.concatenate([[0], ends + 1])[:-1]
+        self.length = ends - self.begin
 
-    def __init__(self, row: pa.RecordBatch, i: int):
-        words = row.column(6)[i].values.cast(pa.large_binary())
-        _, at, raw = words.buffers()
-        offsets = np.frombuffer(at, np.int64)[words.offset : words.offset + len(words) + 1]
-        self.data = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
-        self.begin, self.length = offsets[:-1], np.diff(offsets)
+    def whole(self) -> pa.LargeStringArray:
+        return terms.strings(self.data[self.data != _END[0]], self.length)
 
     def prefixes(self, chosen: np.ndarray, size: int) -> pa.LargeBinaryArray:
         """The first ``size`` bytes of the chosen terms, or all they have."""
@@ -101,6 +140,22 @@ class _Terms:
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(chosen), [None, pa.py_buffer(total), data])
 
 
+class _Segment:
+    """A segment row: terms in byte order, postings by document."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        row = {c: batch.column(c)[i] for c in batch.schema.names}
+        self.lang = pa.array([row["lang"].as_py()], pa.string())
+        self.terms = _Terms(np.frombuffer(row["terms"].as_buffer(), np.uint8))
+        self.sources = row["sources"].values
+        self.source, self.bounds, self.codes, self.counts = (
+            _unpacked(row[c]) for c in ("source", "bounds", "codes", "counts")
+        )
+
+    def per_posting(self, of_document: np.ndarray) -> np.ndarray:
+        return np.repeat(of_document, np.diff(self.bounds))
+
+
 def _level_rows(level: int, before: int, survivors):
     """Documents per prefix of ``level`` bytes, of terms longer than ``before`` whose prefix survived."""
 
@@ -108,12 +163,12 @@ def _level_rows(level: int, before: int, survivors):
         for batch in batches:
             parts = []
             for i in range(batch.num_rows):
-                words, lang = _Terms(batch, i), batch.column(0)[i]
+                segment = _Segment(batch, i)
+                words = segment.terms
                 active = np.flatnonzero(words.length > before)
                 if survivors is not None:
                     parents = words.prefixes(active, before)
-                    hashes = bloom.pair_hashes(pa.array([lang.as_py()] * len(active), pa.string()), parents)
-                    active = active[bloom.holds(survivors.value, hashes)]
+                    active = active[bloom.holds(survivors.value, bloom.pair_hashes(segment.lang, parents))]
                 if not len(active):
                     continue
                 complete = words.length[active] <= level
@@ -124,16 +179,14 @@ def _level_rows(level: int, before: int, survivors):
                 group = np.cumsum(np.concatenate([[False], np.diff(whole * 2 + ~complete) != 0]))
                 of_term = np.full(len(words.length), -1)
                 of_term[active] = group
-                codes = batch.column(4)[i].values.to_numpy()
-                bounds = batch.column(3)[i].values.to_numpy()
-                docs = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                at = of_term[codes]
+                docs = segment.per_posting(np.arange(len(segment.source)))
+                at = of_term[segment.codes]
                 docs, at = docs[at >= 0], at[at >= 0]
                 new = np.concatenate([[True], (np.diff(docs) != 0) | (np.diff(at) != 0)]) if len(at) else at > 0
                 counts = np.bincount(at[new], minlength=group[-1] + 1)
                 heads = np.flatnonzero(np.diff(group, prepend=-1))
                 parts.append(pa.table({
-                    "lang": pa.array([lang.as_py()] * len(heads), pa.string()),
+                    "lang": pa.repeat(segment.lang[0], len(heads)),
                     "prefix": prefixes.take(pa.array(heads)).cast(pa.binary()),
                     "complete": pa.array(complete[heads]), "docs": pa.array(counts, pa.int64()),
                 }))
@@ -147,8 +200,8 @@ def _level_rows(level: int, before: int, survivors):
 
 
 _PACKED = (
-    "lang string, term_block int, source_block int, terms array<string>, sources array<string>,"
-    " term_at array<int>, source_at array<int>, n array<long>"
+    "lang string, term_block int, source_block int, terms binary, sources array<string>,"
+    " term_at binary, source_at binary, n binary"
 )
 _COUNTS = "lang string, source string, term string, n long"
 
@@ -169,48 +222,52 @@ def _occurrence_rows(kept, term_blocks: int, source_blocks: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, names = batch.column(0)[i].as_py(), batch.column(6)[i].values
-                sources = batch.column(1)[i].values
-                hashes = bloom.pair_hashes(pa.array([lang] * len(names), pa.string()), names)
+                segment = _Segment(batch, i)
+                sources, n_terms = segment.sources, len(segment.terms.length)
+                names = segment.terms.whole()
+                hashes = bloom.pair_hashes(segment.lang, names)
                 known = np.flatnonzero(bloom.holds(kept.value, hashes))
                 if not len(known):
                     continue
-                of_term = np.full(len(names), -1)
+                of_term = np.full(n_terms, -1)
                 of_term[known] = np.arange(len(known))
-                bounds = batch.column(3)[i].values.to_numpy()
-                source = np.repeat(batch.column(2)[i].values.to_numpy(), np.diff(bounds)).astype(np.int64)
-                at = of_term[batch.column(4)[i].values.to_numpy()]
+                source = segment.per_posting(segment.source)
+                at = of_term[segment.codes]
                 held = at >= 0
                 keys, back = np.unique(source[held] * len(known) + at[held], return_inverse=True)
-                sums = np.bincount(back, batch.column(5)[i].values.to_numpy()[held], len(keys)).astype(np.int64)
+                sums = np.bincount(back, segment.counts[held], len(keys)).astype(np.int64)
                 source, at = keys // len(known), keys % len(known)
 
                 block = ((hashes[known] >> np.uint64(20)) % np.uint64(term_blocks)).astype(np.int64)
-                own = bloom.pair_hashes(pa.array([""] * len(sources), pa.string()), sources)
+                own = bloom.pair_hashes(pa.array([""], pa.string()), sources)
                 source_block = (own % np.uint64(source_blocks)).astype(np.int64)
                 terms_, term_bounds, term_place = _ordered(block, term_blocks)
                 sources_, source_bounds, source_place = _ordered(source_block, source_blocks)
                 cell, cell_bounds, _ = _ordered(
                     source_block[source] * term_blocks + block[at], source_blocks * term_blocks
                 )
-                terms_ = names.take(pa.array(known[terms_]))
+                terms_ = _joined(names.take(pa.array(known[terms_])), term_bounds)
                 sources_ = sources.take(pa.array(sources_))
                 for s in range(source_blocks):
                     cut = cell_bounds[s * term_blocks : (s + 1) * term_blocks + 1]
                     inside = cell[cut[0] : cut[-1]]
                     if not len(inside):
                         continue
-                    mine = sources_.slice(source_bounds[s], source_bounds[s + 1] - source_bounds[s])
+                    full = np.flatnonzero(np.diff(cut))
+                    n_mine = source_bounds[s + 1] - source_bounds[s]
+                    mine = sources_.take(pa.array(np.tile(np.arange(n_mine) + source_bounds[s], len(full))))
+                    # blocks without cells hold nothing between their bounds
+                    cut = cut[np.append(full, len(cut) - 1)] - cut[0]
                     out = pa.RecordBatch.from_arrays([
-                        pa.array([lang] * term_blocks, pa.string()), pa.array(np.arange(term_blocks, dtype=np.int32)),
-                        pa.array(np.full(term_blocks, s, np.int32)),
-                        pa.ListArray.from_arrays(pa.array(term_bounds, pa.int32()), terms_),
-                        pa.array([mine] * term_blocks, pa.list_(pa.string())),
-                        terms.lists(term_place[at[inside]], cut - cut[0], pa.int32()),
-                        terms.lists(source_place[source[inside]], cut - cut[0], pa.int32()),
-                        terms.lists(sums[inside], cut - cut[0], pa.int64()),
+                        pa.repeat(segment.lang[0], len(full)), pa.array(full.astype(np.int32)),
+                        pa.array(np.full(len(full), s, np.int32)),
+                        terms_.take(pa.array(full)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * n_mine, pa.int32()), mine),
+                        _blobs(term_place[at[inside]].astype(np.int32), cut),
+                        _blobs(source_place[source[inside]].astype(np.int32), cut),
+                        _blobs(sums[inside], cut),
                     ], names=["lang", "term_block", "source_block", "terms", "sources", "term_at", "source_at", "n"])
-                    yield out.filter(pa.array(np.diff(cut) > 0))
+                    yield out
 
     return rows
 
@@ -234,17 +291,20 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         lang = batch.column("lang")[0].as_py()
-        columns = {c: batch.column(c) for c in ("terms", "sources", "term_at", "source_at", "n")}
-        sizes = {c: np.diff(x.offsets.to_numpy()) for c, x in columns.items()}
-        flat = {c: x.flatten() for c, x in columns.items()}
-
-        def placed(at: str, names: str, flat=flat, sizes=sizes) -> np.ndarray:
-            before = np.cumsum(sizes[names]) - sizes[names]
-            return flat[at].to_numpy() + np.repeat(before, sizes[at])
-
+        at, n_cells = {}, None
+        for c, kind in (("term_at", np.int32), ("source_at", np.int32), ("n", np.int64)):
+            data, bounds = _bytes(batch.column(c))
+            at[c], n_cells = data.view(kind), np.diff(bounds) // np.dtype(kind).itemsize
+        data, bounds = _bytes(batch.column("terms"))
+        words = _Terms(data)
+        sources = batch.column("sources")
+        # of every row: how many of the batch's terms and sources come before its own
+        terms_before = np.searchsorted(words.begin, bounds[:-1])
+        sources_before = sources.offsets.to_numpy()[:-1] - sources.offsets[0].as_py()
         parts.append(_sum_cells(
-            flat["sources"], flat["terms"], placed("source_at", "sources"), placed("term_at", "terms"),
-            flat["n"].to_numpy(),
+            sources.flatten(), words.whole().cast(pa.string()),
+            at["source_at"] + np.repeat(sources_before, n_cells), at["term_at"] + np.repeat(terms_before, n_cells),
+            at["n"],
         ))
         if len(parts) == 8:
             parts = [_sum_parts(parts)]
@@ -266,7 +326,7 @@ def _sum_parts(parts: list) -> tuple:
 
 class Kept(NamedTuple):
     terms: DataFrame  # (lang, term, docs)
-    counts: DataFrame  # (lang, source, term, n), n > 0
+    counts: DataFrame  # (lang, source, term, n, all_n), n > 0; all_n in all sources of the language
     groups: DataFrame  # (lang, source), every group that occurs
 
 
@@ -303,14 +363,18 @@ def kept_terms(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     packed = stored.mapInArrow(_occurrence_rows(wanted, term_blocks, source_blocks), _PACKED)
     sums = packed.groupBy("lang", "term_block", "source_block").applyInArrow(_count_rows, _COUNTS)
     # the filter may have let others through
-    counts = settle(sums.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "n"), "counts")
+    everywhere = F.sum("n").over(Window.partitionBy("lang", "term")).alias("all_n")
+    counts = sums.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "n", everywhere)
+    counts = settle(counts, "counts")
     return Kept(kept, counts, groups)
 
 
 def _share(n: str, total: str, v: str) -> Column:
     """1 + floor(10^9 * (n + 2) / (total + 2 * v)); decimals hold what 64 bits would not."""
-    top = f"cast(1000000000 as decimal(10,0)) * cast({n} + 2 as decimal(20,0))"
-    return F.expr(f"1 + (({top}) div cast(greatest({total} + 2 * {v}, 1) as decimal(20,0)))")
+    below = f"greatest({total} + 2 * {v}, 1)"
+    short = f"(1000000000L * ({n} + 2)) div {below}"
+    long = f"(cast(1000000000 as decimal(10,0)) * cast({n} + 2 as decimal(20,0))) div cast({below} as decimal(20,0))"
+    return F.expr(f"1 + if({n} <= {MOST_SHORT}, {short}, {long})")
 
 
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,15 +468,10 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
         .withColumn("p0", _share("0", "total", "v")),
         "facts",
     )
-    shares = settle(
-        attach(counts, facts, ["lang", "source"], ["term"])
-        .withColumn("p", _share("n", "total", "v")),
-        "shares",
-    )
+    shares = attach(counts, facts, ["lang", "source"], ["term"]).withColumn("p", _share("n", "total", "v"))
     pairs = source_pairs(shares.select("lang", "source", "term", "p"), kept, facts.select("lang", "source", "p0"))
-    everywhere = F.sum("n").over(Window.partitionBy("lang", "term"))
     found = (
-        shares.withColumn("all_n", everywhere).withColumn("q", _share("all_n", "lang_total", "v")).where("p > q")
+        shares.withColumn("q", _share("all_n", "lang_total", "v")).where("p > q")
         .select("lang", "source", F.col("term").alias("item"), F.expr("(p - q) * (p - q) div (p + q)").alias("value"))
     )
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")

@@ -6,8 +6,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_rows import local_rows
+from pyspark.sql import functions as F
 
 from tablequill.llm import bloom, bloom_lines, prefix_audit, rmq_search, terms
 
@@ -254,5 +256,47 @@ def test_audit_discards_rare_prefixes_early(spark, monkeypatch):
     assert len(seen) >= 2 and max(seen) < 20
 
 
+def _word(i):
+    return "".join("abcdefghij"[int(c)] for c in str(i))
+
+
+def test_audit_segments_are_packed_bytes():
+    """No list of a segment grows with its postings, and a posting takes the bytes that it needs."""
+    def segment(texts):
+        batch = pa.record_batch({"text": texts, "lang": ["en"] * len(texts), "source": ["s", "t"] * (len(texts) // 2)})
+        return next(prefix_audit._segment_rows(iter([batch])))
+
+    row = segment([" ".join(_word(i + k % 7) for i in range(200)) for k in range(300)])
+    assert row.nbytes < 3 * 200 * 300
+    assert [len(c[0]) for c in row.columns if pa.types.is_list(c.type)] == [2]
+    wide = ["ab " * 70_000 + "c", " ".join(_word(i) for i in range(70_000)), "", "über " * 300 + "ab"] * 2
+    back = prefix_audit._Segment(segment(wide), 0)
+    names = back.terms.whole().to_pylist()
+    assert names == sorted(names, key=str.encode) and back.sources.take(pa.array(back.source)).to_pylist() == ["s", "t"] * 4
+    for text, start, end in zip(wide, back.bounds, back.bounds[1:]):
+        found = zip(back.codes[start:end].tolist(), back.counts[start:end].tolist())
+        assert {names[c]: n for c, n in found} == Counter(text.split())
+
+
+def test_audit_share_is_exact_beyond_64_bits(spark):
+    edge = prefix_audit.MOST_SHORT
+    rows = [(n, max(n, 1) * k, v) for n in (0, 5, edge - 1, edge, edge + 1, 10**15) for k in (1, 3) for v in (0, 7)]
+    shares = spark.createDataFrame(rows, "n long, total long, v long").select(
+        "n", "total", "v", prefix_audit._share("n", "total", "v").alias("p")
+    )
+    assert {tuple(r) for r in shares.collect()} == {(n, t, v, 1 + 10**9 * (n + 2) // max(t + 2 * v, 1)) for n, t, v in rows}
+
+
+def test_audit_takes_bytes_that_are_no_utf8(spark):
+    rows = [(b"ab \xff\xfe ab \xc3", "en", s) for s in "st" for _ in range(5)] + [(b"\xff\xfe", "en", "s")]
+    frame = spark.createDataFrame(rows, "text binary, lang string, source string").withColumn("text", F.col("text").cast("string"))
+    counts = prefix_audit.kept_terms(frame).counts.select("source", F.col("term").cast("binary"), "n", "all_n")
+    found = {(r[0], bytes(r[1]), r[2], r[3]) for r in counts.collect()}
+    assert found == {
+        ("s", b"ab", 10, 20), ("t", b"ab", 10, 20), ("s", b"\xff\xfe", 6, 11), ("t", b"\xff\xfe", 5, 11),
+        ("s", b"\xc3", 5, 10), ("t", b"\xc3", 5, 10),
+    }
+
+
 def test_audit_of_nothing(spark, nothing):
     assert prefix_audit.op13_rows(nothing).count() == 0
