@@ -7,9 +7,11 @@ more). So every block is joined by range, in a grid over its first coordinates,
 and the union of the candidates is verified with exact cosines in double
 precision. Every pair is counted in the first block that admits it.
 
-Cells of the grid are cut into chunks, and every pair of chunks is a task of
-its own: pairs exist only inside a task, which emits counts per vector and
-edges that span what is linked.
+The vectors of a label are dealt out to chunks. A task holds one chunk and meets
+the chunks that follow it on a circle, half of the way round, one at a time: all
+blocks of two chunks are joined where both are, so a vector travels once per
+chunk it meets and not once per block and cell. Pairs exist only inside a task,
+which emits counts per vector and edges that span what is linked.
 """
 
 from __future__ import annotations
@@ -22,16 +24,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablequill.functions.scale import attach
 from tablequill.llm import graph
 from tablequill.session import settle
 
 BLOCKS = 8
-# Coordinates of a block that make its grid; a cell is two radii wide.
-GRID = 2
-# Vectors per chunk: a task holds two chunks and the products of their vectors.
-CHUNK = 512
+# Vectors per chunk at most; chunks are smaller or fewer as the numbers below say.
+CHUNK = 1 << 16
+# Chunks that a label is cut into while they stay within the bounds on their numbers.
+CHUNKS = 4
+# Numbers (vectors times their length) of a chunk, at least for a label with several and at most.
+LEAST_NUMBERS = 1 << 20
+MOST_NUMBERS = 1 << 22
+# Rows of the products inside a task, on either side.
+TILE = 512
+SPAN = 2048
+# Pairs verified at once.
+PAIRS = 1 << 16
 # Share of a cell's width by which ranges are widened against rounding.
 SLACK = 1e-6
+# Squared distances in single precision are near up to so much per coordinate beyond their share.
+COARSE = 2e-6
 
 
 def _rotation(dims: int, seed: int = 7) -> np.ndarray:
@@ -56,61 +69,6 @@ def _units(batch_vectors: pa.Array, dims: int) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _cells(dims: int, threshold: float, blocks: int):
-    """Function from vectors to their cells: one home per block, and the later cells in reach.
-
-    A pair in different cells meets in the later one: there the vector of the
-    earlier cell is a guest (``home`` false).
-    """
-    rotation, bounds = _rotation(dims), _bounds(dims, blocks)
-    budget = 2 - 2 * threshold
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            rid = batch.column("rid").to_numpy()
-            turned = _units(batch.column("vector"), dims) @ rotation
-            out: list[tuple] = []
-            for b in range(len(bounds) - 1):
-                size = bounds[b + 1] - bounds[b]
-                radius = np.sqrt(budget * size / dims) * (1 + SLACK) + 1e-12
-                width = 2 * radius
-                grid = turned[:, bounds[b] : bounds[b] + min(GRID, size)]
-                own = np.floor(grid / width).astype(np.int64)
-                low = np.floor((grid - radius) / width).astype(np.int64)
-                high = np.floor((grid + radius) / width).astype(np.int64)
-                code = own @ _places(own.shape[1])
-                out.append((rid, np.full(len(rid), b), code, np.ones(len(rid), bool)))
-                for pick in np.ndindex(*[3] * own.shape[1]):
-                    # the cell below, the own one and the one above, per coordinate
-                    steps = np.array(pick) - 1
-                    if not steps.any():
-                        continue
-                    near = own + steps
-                    reach = ((near >= low) & (near <= high)).all(axis=1)
-                    there = near @ _places(own.shape[1])
-                    guest = reach & (there > code)
-                    n = int(guest.sum())
-                    out.append((rid[guest], np.full(n, b), there[guest], np.zeros(n, bool)))
-            columns = [np.concatenate(c) for c in zip(*out)]
-            back = pa.array(np.searchsorted(rid, columns[0], sorter=np.argsort(rid)))
-            order = pa.array(np.argsort(rid)).take(back)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0]), batch.column("label").take(order),
-                 pa.array(columns[1].astype(np.int32)), pa.array(columns[2]), pa.array(columns[3]),
-                 batch.column("vector").take(order)],
-                ["rid", "label", "block", "cell", "home", "vector"],
-            )
-
-    return cells
-
-
-def _places(n: int) -> np.ndarray:
-    """Weights that make one number of a cell's coordinates, in lexicographic order."""
-    return np.array([1 << (20 * (n - 1 - i)) for i in range(n)], np.int64)
-
-
 def _spanning(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Smallest number that links lead to, for the numbers 0..n-1."""
     root = np.arange(n)
@@ -125,59 +83,120 @@ def _spanning(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         root = new
 
 
+class _Chunk:
+    """Vectors with their rotated form, laid out per block along the cells of its grid."""
+
+    def __init__(self, part: pa.Table, rotation: np.ndarray, bounds: np.ndarray, shares: np.ndarray):
+        self.rid = part.column("rid").to_numpy()
+        self.units = _units(part.column("vector").combine_chunks(), len(rotation))
+        self.turned = self.units @ rotation
+        self.blocks = []
+        for lo, hi, share in zip(bounds[:-1], bounds[1:], shares):
+            radius = np.sqrt(share) * (1 + SLACK)
+            # the first coordinate makes strips two radii wide, the second orders what is in one
+            strip = np.floor(self.turned[:, lo] / (2 * radius)).astype(np.int64)
+            along = self.turned[:, min(lo + 1, hi - 1)]
+            order = np.lexsort((along, strip))
+            rows = self.turned[order, lo:hi].astype(np.float32)
+            norms, ones = (rows**2).sum(1, keepdims=True), np.ones((len(rows), 1), np.float32)
+            names, starts = np.unique(strip[order], return_index=True)
+            ends = [*starts[1:].tolist(), len(rows)]
+            self.blocks.append((
+                radius, order, along[order], dict(zip(names.tolist(), zip(starts.tolist(), ends))),
+                np.hstack([rows, norms, ones]), np.hstack([-2 * rows, ones, norms]),
+            ))
+
+
+def _in_reach(a: _Chunk, b: _Chunk, block: int, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of pairs that one block may admit: a range join over its grid.
+
+    If both are the same chunk every pair comes once.
+    """
+    radius, order, along, strips, left, _ = a.blocks[block]
+    _, other, beside, meets, _, right = b.blocks[block]
+    limit = np.float32(share + COARSE * left.shape[1])
+    for strip, (start, end) in strips.items():
+        for at in range(start, end, TILE):
+            to = min(at + TILE, end)
+            low, high = along[at] - radius, along[to - 1] + radius
+            for near in (strip - 1, strip, strip + 1):
+                lo, hi = meets.get(near, (0, 0))
+                first = lo + int(np.searchsorted(beside[lo:hi], low, "left"))
+                last = lo + int(np.searchsorted(beside[lo:hi], high, "right"))
+                if a is b:
+                    first = max(first, at)
+                for v in range(first, last, SPAN):
+                    w = min(v + SPAN, last)
+                    close = left[at:to] @ right[v:w].T <= limit
+                    i, j = np.divmod(np.flatnonzero(close), w - v)
+                    i, j = i + at, j + v
+                    if a is b and v < to:
+                        i, j = i[i < j], j[i < j]
+                    if len(i):
+                        yield order[i], other[j]
+
+
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, at most PAIRS at once and few at once only at the end."""
+    held, n = [], 0
+    for pair in pairs:
+        held.append(pair)
+        n += len(pair[0])
+        if n >= PAIRS:
+            x, y = (np.concatenate(side) for side in zip(*held))
+            whole = n - n % PAIRS
+            yield from ((x[at : at + PAIRS], y[at : at + PAIRS]) for at in range(0, whole, PAIRS))
+            held, n = [(x[whole:], y[whole:])], n - whole
+    if n:
+        yield tuple(np.concatenate(side) for side in zip(*held))
+
+
+def _links_between(a: _Chunk, b: _Chunk, threshold: float, shares: np.ndarray, bounds: np.ndarray):
+    """Numbers (in ``a``, in ``b``) of the pairs whose cosine reaches the threshold."""
+    for block in range(len(shares)):
+        for i, j in _gathered(_in_reach(a, b, block, shares[block])):
+            # a pair that an earlier block admits is counted there
+            for k in (block, *range(block)):
+                gap = a.turned[i, bounds[k] : bounds[k + 1]] - b.turned[j, bounds[k] : bounds[k + 1]]
+                within = (gap**2).sum(1) <= shares[k]
+                stays = within if k == block else ~within
+                i, j = i[stays], j[stays]
+            linked = np.einsum("ij,ij->i", a.units[i], b.units[j]) >= threshold
+            yield i[linked], j[linked]
+
+
 def _verifier(dims: int, threshold: float, blocks: int):
-    """Function from sorted chunk pairs to (rid, root, links) of the linked vectors."""
+    """Function from sorted pieces of tasks to (rid, root, links) of the linked vectors."""
     rotation, bounds = _rotation(dims), _bounds(dims, blocks)
     shares = (2 - 2 * threshold) * np.diff(bounds) / dims * (1 + SLACK) + 1e-12
 
-    def verify(task: pa.Table) -> pa.RecordBatch | None:
-        block = task.column("block")[0].as_py()
-        rid = task.column("rid").to_numpy()
-        side = task.column("side").to_numpy()
-        units = _units(task.column("vector").combine_chunks(), dims)
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        alone = len(b) == 0
-        if alone:
-            b = a
-        if len(a) == 0:
-            return None
-        turned = units @ rotation
-
-        def distances(k: int) -> np.ndarray:
-            x = turned[a, bounds[k] : bounds[k + 1]]
-            y = turned[b, bounds[k] : bounds[k + 1]]
-            return (x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * (x @ y.T)
-
-        near = distances(block) <= shares[block]
-        if alone:
-            near &= np.arange(len(a))[:, None] < np.arange(len(b))[None, :]
-        i, j = np.nonzero(near)
-        # a pair that an earlier block admits is counted there
-        first = np.ones(len(i), bool)
-        for k in range(block):
-            gap = turned[a[i], bounds[k] : bounds[k + 1]] - turned[b[j], bounds[k] : bounds[k + 1]]
-            first &= (gap**2).sum(1) > shares[k]
-        i, j = a[i[first]], b[j[first]]
-        linked = np.empty(len(i), bool)
-        for at in range(0, len(i), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            linked[part] = np.einsum("ij,ij->i", units[i[part]], units[j[part]]) >= threshold
-        i, j = i[linked], j[linked]
-        if len(i) == 0:
-            return None
-        links = np.bincount(i, minlength=len(rid)) + np.bincount(j, minlength=len(rid))
-        root = _spanning(len(rid), i, j)
+    def verify(a: _Chunk, b: _Chunk) -> Iterator[pa.RecordBatch]:
+        # one numbering for the vectors of both
+        rid, shift = (a.rid, 0) if a is b else (np.concatenate([a.rid, b.rid]), len(a.rid))
+        links, root = np.zeros(len(rid), np.int64), np.arange(len(rid))
+        for i, j in _gathered(_links_between(a, b, threshold, shares, bounds)):
+            j = j + shift
+            links += np.bincount(i, minlength=len(rid)) + np.bincount(j, minlength=len(rid))
+            root = _spanning(len(rid), root[i], root[j])[root]
         some = np.flatnonzero(links)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(rid[some]), pa.array(rid[root[some]]), pa.array(links[some])],
-            ["rid", "root", "links"],
-        )
+        for at in range(0, len(some), PAIRS):
+            part = some[at : at + PAIRS]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rid[part]), pa.array(rid[root[part]]), pa.array(links[part])],
+                ["rid", "root", "links"],
+            )
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for task in runs(batches, "task"):
-            found = verify(task)
-            if found is not None:
-                yield found
+        held = task = None
+        step = max(1, LEAST_NUMBERS // dims)
+        for piece in runs(batches, "piece"):
+            if piece.column("side")[0].as_py() == 0:
+                task = piece.column("task")[0].as_py()
+                held = _Chunk(piece, rotation, bounds, shares)
+                yield from verify(held, held)
+            elif piece.column("task")[0].as_py() == task:
+                for at in range(0, len(piece), step):
+                    yield from verify(held, _Chunk(piece.slice(at, step), rotation, bounds, shares))
 
     return tasks
 
@@ -276,18 +295,34 @@ def linked_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "v
     )
 
 
-def _links(usable: DataFrame, dims: int, threshold: float, blocks: int) -> DataFrame:
-    spec = T.StructType([
-        T.StructField("rid", T.LongType()), T.StructField("label", T.StringType()),
-        T.StructField("block", T.IntegerType()), T.StructField("cell", T.LongType()),
-        T.StructField("home", T.BooleanType()), usable.schema["vector"],
-    ])
-    cells = settle(usable.mapInArrow(_cells(dims, threshold, blocks), spec), "cells")
-    tasks = chunk_tasks(cells, ["label", "block", "cell"], CHUNK).select(
-        "task", "side", "block", "rid", "vector"
+def _dealt(usable: DataFrame, dims: int) -> DataFrame:
+    """(task, side, piece, rid, vector): every two chunks of a label, and each with itself, meet
+    in one task, whose own chunk is on side 0; a piece is a chunk in a task."""
+    most = max(1, min(CHUNK, MOST_NUMBERS // dims))
+    least = max(1, min(most, LEAST_NUMBERS // dims))
+    size = F.least(F.greatest(F.ceil(F.col("_n") / CHUNKS), F.lit(least)), F.lit(most))
+    labels = usable.groupBy("label").agg(F.count("*").alias("_n")).where("_n > 1")
+    chunks = labels.select("label", F.ceil(F.col("_n") / size).cast("int").alias("_h"))
+    rows = attach(usable, chunks, ["label"], ["rid"])
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("rid"), F.col("_h")).cast("int"))
+    # the chunk stays in its own task and goes to those of the chunks before it on the
+    # circle; of two that face each other the first one holds, the other goes
+    back = F.when(F.col("_h") > 1, F.sequence(F.lit(1), F.floor(F.col("_h") / 2).cast("int")))
+    guest = F.filter(
+        F.coalesce(back, F.array().cast("array<int>")),
+        lambda d: (2 * d < F.col("_h")) | (F.pmod(F.col("_own") - d, F.col("_h")) < d),
     )
+    goes = F.concat(F.array(F.lit(0)), guest)
+    return rows.withColumn("_back", F.explode(goes)).select(
+        F.xxhash64("label", F.pmod(F.col("_own") - F.col("_back"), F.col("_h"))).alias("task"),
+        F.least("_back", F.lit(1)).alias("side"), F.col("_own").alias("piece"), "rid", "vector",
+    ).withColumn("piece", F.xxhash64("task", "piece"))
+
+
+def _links(usable: DataFrame, dims: int, threshold: float, blocks: int) -> DataFrame:
     n = int(usable.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tasks.repartition(n, "task").sortWithinPartitions("task").mapInArrow(
+    tasks = _dealt(usable, dims).repartition(n, "task").sortWithinPartitions("task", "side", "piece")
+    return tasks.mapInArrow(
         _verifier(dims, threshold, blocks), "rid long, root long, links long"
     )
 

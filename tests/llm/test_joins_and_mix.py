@@ -163,6 +163,54 @@ def test_vectors_equal_all_pairs(spark, monkeypatch):
     assert check_vectors(rows, spark) > 500
 
 
+def crowd(n, seed=5):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((5, 64))
+    return [(i, (centres[i % 5] + rng.standard_normal(64) * (0.02 + 0.1 * (i % 4))).tolist(), int(i < n // 3))
+            for i in range(n)]
+
+
+@pytest.mark.parametrize("chunk", [16, 37, 200])
+def test_vectors_of_many_chunks_pieces_and_tiles(spark, monkeypatch, chunk):
+    """Odd and even numbers of chunks, cut guests, products of a few rows, one dense group."""
+    for name, value in [("CHUNK", chunk), ("LEAST_NUMBERS", 64 * 11), ("TILE", 5), ("SPAN", 7), ("PAIRS", 13)]:
+        monkeypatch.setattr(subspace_join, name, value)
+    rows = crowd(230)
+    rows += [(1000 + i, rows[0][1], rows[0][2]) for i in range(40)]
+    assert check_vectors(rows, spark) > 500
+
+
+def test_vectors_travel_once_per_chunk_they_meet(spark, monkeypatch):
+    """Neither what is stored nor what is shuffled has a row per block, cell and pair of chunks."""
+    frame = spark.createDataFrame(crowd(300), "vec_id long, embedding array<float>, label int")
+    stored = []
+
+    def counted(df, name="settled"):
+        stored.append(df.count())
+        return plain(df, name)
+
+    plain = subspace_join.settle
+    monkeypatch.setattr(subspace_join, "settle", counted)
+    subspace_join.op5_rows(frame).count()
+    assert max(stored) <= 300
+    usable = frame.selectExpr("vec_id as rid", "cast(label as string) as label", "embedding as vector")
+    for chunk in (40, 50, 100, 300):
+        monkeypatch.setattr(subspace_join, "CHUNK", chunk)
+        dealt = subspace_join._dealt(usable, 64).drop("vector").collect()
+        chunks = math.ceil(200 / chunk)
+        assert len(dealt) <= 300 * (1 + chunks / 2)
+        # every two vectors of a label meet in one task
+        by_task = defaultdict(list)
+        for r in dealt:
+            by_task[r["task"]].append(r)
+        meets = Counter()
+        for members in by_task.values():
+            held = [r["rid"] for r in members if r["side"] == 0]
+            meets.update(frozenset((a, b)) for i, a in enumerate(held) for b in held[:i])
+            meets.update(frozenset((a, r["rid"])) for a in held for r in members if r["side"] == 1)
+        assert set(meets.values()) == {1} and len(meets) == 100 * 99 / 2 + 200 * 199 / 2
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     a, b = [1.0, 2.0, 3.0], [1.0, 2.0, 3.1]
