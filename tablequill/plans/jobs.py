@@ -12,7 +12,7 @@ from tablequill.functions.ordered import percent
 from tablequill.operators import candidates as C
 from tablequill.operators import corpora, evaluate, linking, logical_form, prompts, text_store
 from tablequill.operators.catalog import Catalog, catalog_from_single_tables
-from tablequill.session import job_folder, settle
+from tablequill.session import DROP_SHUFFLES, job_folder, session_conf, settle
 from tablequill.sources import writers
 
 
@@ -115,7 +115,7 @@ def prepare(
             examples, options.prompt_style, link_catalog=catalog, term_vectors=term_vectors
         )
 
-    with job_folder(spark, "prepare"):
+    with job_folder(spark, "prepare"), session_conf(spark, DROP_SHUFFLES, "true"):
         parts = []
         if logical is not None:
             if options.quota:

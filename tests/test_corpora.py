@@ -1,3 +1,4 @@
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -467,6 +468,62 @@ def test_records_are_packed_and_their_lines_not_sorted(spark, tmp_path):
         assert len(packed) == n and packed == lines("plain", folder)
 
 
+def _shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f.name for d in dirs for f in Path(d).rglob("shuffle_*")}
+
+
+def test_corpus_of_several_rounds_is_in_one_order(spark, tmp_path, monkeypatch):
+    """The order over all files, NULL and repeated ids, and columns that are NULL stay as in one round."""
+    df = spark.range(600).selectExpr(
+        "if(id % 50 = 7, NULL, id div 2) AS example_id", "repeat('CREATE TABLE a (b INT); ', 3) AS schema",
+        "concat('q', id) AS question", "if(id % 9 = 0, NULL, 'X') AS sql", "if(id < 400, 'a', NULL) AS dataset",
+        "if(id % 5 = 0, 'dev', 'train') AS split",
+    ).repartition(4)
+    writers.write_corpus(df, f"{tmp_path}/one", seed=3)
+    monkeypatch.setattr(writers, "ROUND_BYTES", 0)
+    writers.write_corpus(df, f"{tmp_path}/several", seed=3)
+
+    def lines(name, split):
+        path = f"{tmp_path}/{name}/records/format=lines/split={split}"
+        rows = readers.read_lines(spark, path, "example_id long, dataset string, question string")
+        return [(r.example_id, r.dataset, r.question) for r in readers.with_line_ordinal(rows).orderBy("ord").collect()]
+
+    for split in ("train", "dev"):
+        one, several = lines("one", split), lines("several", split)
+        # rows with the same id come in any order
+        assert [r[:2] for r in one] == [r[:2] for r in several] and Counter(one) == Counter(several)
+    assert len(lines("several", "train")) == 480 and len({r[0] for r in lines("several", "train")}) > 200
+    for name in writers.FORMATS:
+        assert spark.read.text(f"{tmp_path}/several/records/format={name}").count() == 600
+    parts = list((tmp_path / "several/records/format=lines/split=train").glob("part-*"))
+    assert len({p.name.split("-", 2)[2] for p in parts}) == writers.ROUNDS
+
+
+def test_preparation_leaves_no_shuffle_files(spark, tmp_path):
+    """What was shuffled does not stay beside the records; zstd files are well below those of gzip."""
+    from tablequill import session
+    from tablequill.plans import jobs
+
+    ddl = "CREATE TABLE orders (id INT, city TEXT); CREATE TABLE stores (id INT, town TEXT);"
+    corpus = spark.range(3000).selectExpr(
+        # sentences that come again further away than gzip looks back
+        "id AS example_id", "'x' AS dataset", "concat_ws(' ', transform(sequence(1, 8),"
+        " i -> md5(cast(pmod(xxhash64(id, i), 2000) AS string)))) AS question", "'SELECT 1' AS sql",
+        "'a' AS complexity", "CAST(NULL AS string) AS source", f"'{ddl}' AS ddl",
+    ).repartition(6)
+    before, setting = _shuffle_files(spark), spark.conf.get(session.DROP_SHUFFLES)
+    jobs.prepare(f"{tmp_path}/zstd", ddl_corpus=corpus)
+    assert _shuffle_files(spark) <= before
+    assert spark.conf.get(session.DROP_SHUFFLES) == setting
+    writers.write_corpus(spark.read.parquet(f"{tmp_path}/zstd/datasets"), f"{tmp_path}/gzip", compression="gzip")
+
+    def size(name):
+        return sum(f.stat().st_size for f in (tmp_path / name / "records").rglob("part-*"))
+
+    assert size("zstd") < 0.8 * size("gzip")
+
+
 def test_jobs(spark, university):
     from tablequill.plans import jobs
 
