@@ -37,8 +37,8 @@ CHUNKS = 4
 LEAST_NUMBERS = 1 << 20
 MOST_NUMBERS = 1 << 22
 # Rows of the products inside a task, on either side.
-TILE = 512
-SPAN = 2048
+TILE = 256
+SPAN = 1024
 # Pairs verified at once.
 PAIRS = 1 << 16
 # Share of a cell's width by which ranges are widened against rounding.
@@ -93,8 +93,8 @@ class _Chunk:
         self.blocks = []
         for lo, hi, share in zip(bounds[:-1], bounds[1:], shares):
             radius = np.sqrt(share) * (1 + SLACK)
-            # the first coordinate makes strips two radii wide, the second orders what is in one
-            strip = np.floor(self.turned[:, lo] / (2 * radius)).astype(np.int64)
+            # the first coordinate makes strips a radius wide, the second orders what is in one
+            strip = np.floor(self.turned[:, lo] / radius).astype(np.int64)
             along = self.turned[:, min(lo + 1, hi - 1)]
             order = np.lexsort((along, strip))
             rows = self.turned[order, lo:hi].astype(np.float32)
@@ -268,16 +268,19 @@ def linked_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "v
     as largest. ``kept`` is true where it is the row's own id.
     """
     spark = vectors.sparkSession
-    rows = settle(vectors.select(
+    given = vectors.select(
         F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"),
         F.col(label).cast("string").alias("label"), F.col(vector).alias("vector"),
-    ), "vectors")
-    usable = rows.where(F.col("label").isNotNull() & _usable("vector"))
+    )
+    # length of the vectors that may link, else NULL
+    length = F.when(F.col("label").isNotNull() & _usable("vector"), F.size("vector"))
+    rows = settle(given.withColumn("n", length), "vectors")
+    usable = rows.where("n IS NOT NULL")
     found = spark.createDataFrame([], "rid long, root long, links long")
     # vectors of a table have one length; each further one is a join of its own
-    lengths = usable.select(F.size("vector").alias("n")).distinct().orderBy("n").collect()
+    lengths = usable.select("n").distinct().orderBy("n").collect()
     for dims in [r["n"] for r in lengths]:
-        part = _links(usable.where(F.size("vector") == dims), dims, threshold, blocks)
+        part = _links(usable.where(F.col("n") == dims), dims, threshold, blocks)
         found = found.unionByName(part)
     found = settle(found, "links")
     links = found.groupBy("rid").agg(F.sum("links").alias("n_links"))
