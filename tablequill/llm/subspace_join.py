@@ -41,7 +41,7 @@ TILE = 256
 SPAN = 1024
 # Pairs verified at once.
 PAIRS = 1 << 16
-# Share of a cell's width by which ranges are widened against rounding.
+# Share of a radius by which ranges are widened against rounding.
 SLACK = 1e-6
 # Squared distances in single precision are near up to so much per coordinate beyond their share.
 COARSE = 2e-6
